@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, simhash, substring, token_output
+from . import bwt, langid, mixing, simhash, substring, token_output
 from .common import documents
 
 #: Folder of the public tokenizers' files.
@@ -37,4 +37,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_rows(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_substring, op4_token_output, op6_simhash, op7_language)}
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bwt.drop_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_substring, op4_token_output, op6_simhash, op7_language, op8_suffix)}
