@@ -8,13 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, graph_ann, langid, mixing, simhash, substring, token_output
+from . import bwt, graph_ann, langid, mixing, simhash, substring, tiling, token_output
 from .common import documents
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("RUNGS_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tiling.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,4 +51,4 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiling, op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix)}
