@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, fresh, written
 
 #: Documents a bucket of the running sums holds, about.
 BUCKET_ROWS = 50_000
@@ -57,7 +57,7 @@ def running(df: DataFrame, group: list[str], bucket: str, order: list, size: str
     return df.withColumns({"_within": within, place: F.row_number().over(by)}).join(base, on, "left").withColumn(out, F.col("_within") + F.col("_before")).drop("_within", "_before", *[f"_{c}" for c in [*group, bucket]])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, tag: str | None = None) -> DataFrame:
     """How many words of each document a mix of the sources takes.
 
     docs has doc_id, text, source. Every source puts its documents, `most` times over, in an order shuffled by the md5
@@ -65,11 +65,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     order of finish time, in ranges, and taken until `share` times all words are used up.
 
     Returns doc_id, source, size, source_size, target, copies (times it is taken) and taken (words). Null texts and
-    texts without words have size 0 and are taken whole times with 0 words; null sources are one source, null ids
+    texts without words have size 0 and take 0 words; null sources are one source, null ids
     come first in a tie, repeated rows are documents of their own, an empty table gives an empty result. Other
     columns of docs are not read.
     """
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    more = [tag] if tag else []  # a column that is kept, and parts rows that are otherwise equal
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *more)
     d = written(d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
     targets = source_targets(d, weights, share, most)
     whole = d.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
@@ -77,7 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # buckets follow the number of documents: hexadecimal digits of the key in front
     digits = max(1, len(f"{whole['n'] // BUCKET_ROWS:x}"))
     d = d.withColumn("bucket", F.substring("key", 1, digits)).withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    d = running(d, ["g"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size"], "size", "cum", "place")
+    d = running(d, ["g"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size", *more], "size", "cum", "place")
     d = d.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     # one row for each time that a document stands in the queue
     q = d.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(most)])))
@@ -86,6 +87,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     q = q.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("long"))
     q = running(q.withColumn("queue", F.lit(0)), ["queue"], "slice", ["finish", "key", F.col("doc_id").asc_nulls_first(), "g", "place", "turn"], "size", "used", "at")
     # the turns of a row meet again by its place in the queue of its source
-    row = ["doc_id", "source", "size", "source_size", "target"]
+    row = ["doc_id", "source", "size", "source_size", "target", *more]
     rows = q.groupBy("g", "bucket", "place", *row).agg(F.sum((F.col("used") <= budget).cast("long")).alias("copies"))
     return rows.select(*row, "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs, each row as often as mix() takes it, and none that it does not take; all columns of docs are kept.
+
+    Rows find their own by a hash of all columns; of rows alike in everything, any takes the place of any.
+    """
+    tag, n, copies = (fresh(c, docs.columns) for c in ("tag", "n", "copies"))
+    alike = W.partitionBy(tag)
+    tagged = docs.withColumn(tag, F.xxhash64(*docs.columns))
+    taken = mix(tagged.select("doc_id", "text", "source", F.col(tag).alias("tag")), weights, share, most, tag="tag").where("copies > 0")
+    taken = taken.select(F.col("tag").alias(tag), F.col("copies").cast("int").alias(copies)).withColumn(n, F.row_number().over(alike.orderBy(F.desc(copies))))
+    tagged = tagged.withColumn(n, F.row_number().over(alike.orderBy("doc_id")))
+    return tagged.join(taken, [tag, n]).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

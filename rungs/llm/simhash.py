@@ -89,6 +89,24 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tup
     return x, y
 
 
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """trie_join() in pieces of a, so that the node pairs of a larger budget stay in memory."""
+    step = 4096 if bits <= 2 else 512
+    found = []
+    for i in range(0, len(a), step):
+        piece = a[i : i + step]
+        if b is not None:
+            x, y = trie_join(piece, b, bits, depth)
+            found.append((x + i, y))
+            continue
+        x, y = trie_join(piece, None, bits, depth)
+        found.append((x + i, y + i))
+        if i + step < len(a):
+            x, y = trie_join(piece, a[i + step :], bits, depth)
+            found.append((x + i, y + i + step))
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
 def _leaves(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of leaves of each pair of nodes."""
     n_b = hi_b - lo_b
@@ -163,7 +181,7 @@ def near_pairs(fps: DataFrame, bits: int = 2, forest: bool = False) -> DataFrame
                 a = np.frombuffer(r["fps"], np.uint64)
                 b = None if r["leaf"] == r["leaf_b"] else np.frombuffer(r["fps_b"], np.uint64)
                 # a leaf may be cut into several of one path: the same start of the paths, whatever comes after it
-                x, y = trie_join(a, b, bits, depth)
+                x, y = trie_pairs(a, b, bits, depth)
                 if not len(x):
                     continue
                 both = a if b is None else np.concatenate([a, b])

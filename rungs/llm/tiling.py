@@ -207,11 +207,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """docs without those that contaminated() would name."""
     for block in blocks(benchmark, least):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), coverage)(F.col("text")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not tilings(t, shared.value, coverage) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(F.col("text")))
-    return docs
+def _clean(shared, coverage: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not tilings(t, shared.value, coverage) for t in texts], dtype=bool)
+
+    return clean
