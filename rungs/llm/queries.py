@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, graph_ann, langid, mixing, simhash, substring, tiling, token_output, winnow_lines
+from . import bwt, graph_ann, kn_quality, langid, mixing, simhash, substring, tiling, token_output, winnow_lines
 from .common import documents
 
 #: Folder of the public tokenizers' files.
@@ -56,4 +56,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiling, op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix, op9_lines)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiling, op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix, op9_lines, op10_quality)}
