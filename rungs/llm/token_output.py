@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,7 +22,7 @@ BLOCK_IDS = 16_384
 #: Ids after which a chunk is closed; a document is never cut, so that one chunk may hold a longer document.
 CHUNK_IDS = 262_144
 #: Pieces of text whose ids a Python worker remembers.
-MEMORY = 300_000
+MEMORY = 500_000
 
 _FILES = "shard int, chunk int, n_docs int, n_ids long, doc_ids array<long>, n_tokens array<int>, planes array<binary>, plane_kind string, block_ids int"
 _ROWS = "doc_id long, shard int, chunk int, offset long, n_tokens long, ids_crc32 long"
@@ -30,17 +32,26 @@ class Encoder:
     """Ids of a text, as little-endian bytes, from the tokenizers library, which is asked once for each piece of text.
 
     A byte-level BPE never joins a token over a space that follows something else than white space, so that a text
-    may be cut before such spaces and the pieces encoded alone.
+    may be cut before such spaces. Pieces that are not remembered are cut into words by the library's own
+    pre-tokenizer (one of letters alone is one word) and these go through its model. Texts that hold an added token,
+    and tokenizers of another kind, are encoded whole.
     """
 
     _known: dict[str, "Encoder"] = {}
-    _cut = re.compile(r"(?<=\S) ")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
-        self.tokenizer, self.memory = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.added = [a.content for a in t.get_added_tokens_decoder().values()]
+        self.by_piece = isinstance(t.model, models.BPE) and isinstance(t.pre_tokenizer, pre_tokenizers.ByteLevel) and t.normalizer is None and not t.pre_tokenizer.add_prefix_space
+        self.model, self.split = t.model, t.pre_tokenizer and t.pre_tokenizer.pre_tokenize_str
+        self.memory: dict[str, bytes] = {}  # of what stands after a space
+        self.words: dict[str, bytes] = {}  # of words as the model sees them
+        # the letters that byte-level models have for bytes: printable ones stay, the others follow after 255
+        odd = iter(range(256, 512))
+        self.letters = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else chr(next(odd)) for b in range(256)}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -49,21 +60,42 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            first, *rest = self._cut.split(t)
-            cut.append([first, *[" " + x for x in rest]])
+    def encode(self, text: str) -> bytes:
+        if not self.by_piece or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        first, *rest = self._cut.split(text) if any(s in text for s in self._doubtful) else text.split(" ")
         memory = self.memory
-        new = list({x for pieces in cut for x in pieces if x not in memory})
-        if len(memory) + len(new) > MEMORY:
-            memory.clear()
-            new = list({x for pieces in cut for x in pieces})
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memory[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memory.__getitem__, pieces)) for pieces in cut]
+        try:
+            after = b"".join(map(memory.__getitem__, rest))
+        except KeyError:
+            if len(memory) + len(rest) > MEMORY:
+                memory.clear()
+            for x in rest:
+                if x not in memory:
+                    memory[x] = self.piece(" " + x, x)
+            after = b"".join(map(memory.__getitem__, rest))
+        return self.piece(first, first) + after
+
+    #: White space before a space, as the library sees it; and cuts before a space that follows anything else.
+    _doubtful = [chr(c) + " " for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    _cut = re.compile(r"(?<=\S) ")
+
+    #: The pattern of byte-level BPE, for Latin letters; the library's own is asked about everything else.
+    _latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
+
+    def piece(self, piece: str, core: str) -> bytes:
+        if piece and max(piece) < "\u0250":
+            words = [piece] if core.isalpha() else self._latin.findall(piece)
+            return b"".join([self.words.get(w) or self.word(w, w.encode().decode("latin-1").translate(self.letters)) for w in words])
+        return b"".join([self.word("", w) for w, _ in self.split(piece)])
+
+    def word(self, word: str, mapped: str) -> bytes:
+        ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if word:
+            if len(self.words) >= MEMORY:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
 
 def planes_of(ids: np.ndarray, kind: str, level: int = 3) -> bytes:
@@ -123,9 +155,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ki
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                for d, x in zip(part["doc_id"].to_pylist(), encoder.encode(part["text"].to_pylist()), strict=True):
-                    held.append((d, x + end))
-                    size += len(x) // 4 + 1
+                for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    held.append((d, encoder.encode(t) + end))
+                    size += len(held[-1][1]) // 4
                     if size >= CHUNK_IDS:
                         yield close()
                         held, size, chunk = [], 0, chunk + 1
