@@ -53,7 +53,7 @@ def missing_locales(ids: DataFrame, translations: DataFrame, locales: list[str],
 
 def region_distribution(entries: DataFrame, regions: list[str], order: list[str] | None = None) -> DataFrame:
     """bracket, spec_id, a count for each region, total, pct of the bracket to one decimal, and the bracket's place in `order`."""
-    c = entries.where(F.col("region").isin(regions) & F.col("spec_id").isNotNull()).groupBy("bracket", "spec_id").pivot("region", regions).agg(F.count("*"))
+    c = entries.where(F.col("region").isin(regions) & F.col("spec_id").isNotNull()).groupBy("bracket", "spec_id").pivot("region", regions).agg(F.count(F.lit(1)))
     c = c.fillna(0, regions).withColumn("total", sum((F.col(f"`{r}`") for r in regions), F.lit(0)))
     c = c.withColumn("pct", X.pct(F.col("total"), F.sum("total").over(W.partitionBy("bracket")), 1))
     if order:

@@ -135,7 +135,7 @@ def top_of_ladder(t: Ladder) -> DataFrame:
     return ladder.top_of_ladder(t.ranked, "AMERICA", "3-MEDIUM", 100).select("entry_id", "character_id", "spec_id", "rating", "rank")
 
 
-@query("""SELECT character_id, nullif(array_to_string(list_transform(string_split(replace(realm, '-', ' '), ' '), x -> upper(x[1]) || x[2:]), ' '), '') AS realm, name || '-' || array_to_string(list_transform(string_split(replace(realm, '-', ' '), ' '), x -> upper(x[1]) || x[2:]), ' ') AS display_name, count(*) AS n
+@query("""SELECT character_id, nullif(array_to_string(list_transform(string_split(replace(realm, '-', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' '), '') AS realm, name || '-' || array_to_string(list_transform(string_split(replace(realm, '-', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS display_name, count(*) AS n
     FROM entries WHERE name LIKE '%77%' GROUP BY ALL""", "entries")
 def name_search(t: Ladder) -> DataFrame:
     rows = ladder.name_contains(t.entries, "77")
@@ -269,7 +269,7 @@ _CHOICE = "CASE WHEN choice AND {t} <> 'common' THEN CASE WHEN {t} = 'bis' AND c
 BUDGETS = {"class": 4, "spec": 5}
 
 
-@query(f"""WITH RECURSIVE {_NODE}, queue AS (SELECT *, row_number() OVER (PARTITION BY bracket, spec_id, talent_type ORDER BY p DESC, node_id) AS i FROM (SELECT DISTINCT bracket, spec_id, talent_type, node_id, primary_pct AS p, cost FROM gaps WHERE built AND talent_type IN ('class', 'spec'))),
+@query(f"""WITH {_NODE}, queue AS (SELECT *, row_number() OVER (PARTITION BY bracket, spec_id, talent_type ORDER BY p DESC, node_id) AS i FROM (SELECT DISTINCT bracket, spec_id, talent_type, node_id, primary_pct AS p, cost FROM gaps WHERE built AND talent_type IN ('class', 'spec'))),
     buy AS (SELECT bracket, spec_id, talent_type, i, node_id, p, cost <= b AS got, CASE WHEN cost <= b THEN b - cost ELSE b END AS rest FROM (SELECT *, CASE WHEN talent_type = 'class' THEN 4 ELSE 5 END AS b FROM queue) WHERE i = 1
     UNION ALL SELECT q.bracket, q.spec_id, q.talent_type, q.i, q.node_id, q.p, q.cost <= b.rest, CASE WHEN q.cost <= b.rest THEN b.rest - q.cost ELSE b.rest END FROM buy b JOIN queue q ON q.bracket = b.bracket AND q.spec_id = b.spec_id AND q.talent_type = b.talent_type AND q.i = b.i + 1),
     least AS (SELECT bracket, spec_id, talent_type, min(p) * 0.5 AS start FROM buy WHERE got GROUP BY ALL),
@@ -284,8 +284,8 @@ def jenks_tiers(t: Ladder) -> DataFrame:
     return tiers.jenks_tiers(_usage(t))
 
 
-@query(f"""WITH RECURSIVE {_NODE}, present AS (SELECT DISTINCT bracket, spec_id, node_id FROM gaps WHERE talent_type = 'hero'), links AS (SELECT p.bracket, p.spec_id, e.node_id AS a, e.prerequisite_id AS b FROM present p JOIN edges e ON e.node_id = p.node_id JOIN present q ON q.bracket = p.bracket AND q.spec_id = p.spec_id AND q.node_id = e.prerequisite_id),
-    both AS (SELECT * FROM links UNION ALL SELECT bracket, spec_id, b, a FROM links), reach AS (SELECT bracket, spec_id, node_id, node_id AS other FROM present UNION SELECT r.bracket, r.spec_id, r.node_id, l.b FROM reach r JOIN both l ON l.bracket = r.bracket AND l.spec_id = r.spec_id AND l.a = r.other),
+@query(f"""WITH {_NODE}, present AS (SELECT DISTINCT bracket, spec_id, node_id FROM gaps WHERE talent_type = 'hero'), links AS (SELECT p.bracket, p.spec_id, e.node_id AS a, e.prerequisite_id AS b FROM present p JOIN edges e ON e.node_id = p.node_id JOIN present q ON q.bracket = p.bracket AND q.spec_id = p.spec_id AND q.node_id = e.prerequisite_id),
+    ways AS (SELECT * FROM links UNION ALL SELECT bracket, spec_id, b, a FROM links), reach AS (SELECT bracket, spec_id, node_id, node_id AS other FROM present UNION SELECT r.bracket, r.spec_id, r.node_id, l.b FROM reach r JOIN ways l ON l.bracket = r.bracket AND l.spec_id = r.spec_id AND l.a = r.other),
     comp AS (SELECT bracket, spec_id, node_id, min(other) AS component FROM reach GROUP BY 1, 2, 3), rows AS (SELECT g.*, component FROM gaps g JOIN comp c ON c.bracket = g.bracket AND c.spec_id = g.spec_id AND c.node_id = g.node_id WHERE talent_type = 'hero'),
     means AS (SELECT *, row_number() OVER (PARTITION BY bracket, spec_id ORDER BY m DESC, component) AS k FROM (SELECT bracket, spec_id, component, avg(usage_pct) AS m FROM rows GROUP BY 1, 2, 3))
     SELECT r.bracket, r.spec_id, talent_type, talent_id, node_id, r.component, usage_pct, CASE WHEN k = 1 THEN {_CHOICE.format(t="'bis'")} WHEN m >= 30 THEN 'situational' ELSE 'common' END AS tier FROM rows r JOIN means m ON m.bracket = r.bracket AND m.spec_id = r.spec_id AND m.component = r.component""", "full_usage", "talent_dim", "edges")
@@ -413,7 +413,7 @@ def shuffle_rollup(t: Ladder) -> DataFrame:
 
 
 _SUM = f"count(*) AS total, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE NOT success) AS failed, {_pct('count(*) FILTER (WHERE success)', 'count(*)')} AS success_pct, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, max(duration) AS max_duration, min(duration) AS min_duration"
-_DAY = "at > (SELECT max(at) FROM metrics) - INTERVAL {0} HOUR"
+_DAY = "ran_at > (SELECT max(ran_at) FROM metrics) - INTERVAL {0} HOUR"
 
 
 def _now(t: Ladder):
@@ -440,7 +440,7 @@ def slow_jobs(t: Ladder) -> DataFrame:
     return health.slow_jobs(t.metrics, 150.0).select("job_id", "job_class", "duration")
 
 
-@query(f"""SELECT queue, jobs, avg_duration, failure_rate, jobs / 86400.0::DOUBLE AS throughput, array_to_string(list_filter([CASE WHEN avg_duration > 30 THEN 'slow' END, CASE WHEN failure_rate > 10 THEN 'failing' END, CASE WHEN jobs / 86400.0 < 0.001 THEN 'behind' END], x -> x IS NOT NULL), ',') AS recommendations
+@query(f"""SELECT queue, jobs, avg_duration, failure_rate, jobs / 86400.0::DOUBLE AS throughput, array_to_string(list_filter([CASE WHEN avg_duration > 30 THEN 'slow' END, CASE WHEN failure_rate > 10 THEN 'failing' END, CASE WHEN jobs / 86400.0 < 0.001 THEN 'behind' END], lambda x: x IS NOT NULL), ',') AS recommendations
     FROM (SELECT CASE WHEN job_class LIKE 'c%' THEN 'fast' WHEN job_class LIKE 'p%' THEN 'bulk' ELSE 'default' END AS queue, count(*) AS jobs, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, {_pct('count(*) FILTER (WHERE NOT success)', 'count(*)')} AS failure_rate FROM metrics WHERE {_DAY.format(24)} GROUP BY 1)""", "metrics")
 def queue_health(t: Ladder) -> DataFrame:
     return health.queue_health(t.metrics, _now(t), {"^c": "fast", "^p": "bulk"}, 0.001, 24).withColumn("recommendations", F.array_join("recommendations", ","))
@@ -503,9 +503,9 @@ def prune_rare(t: Ladder) -> DataFrame:
     return dims.prune_rare(t.assignments, t.talent_dim, t.talents, 10)
 
 
-@query("""SELECT node_id FROM (SELECT p_size AS node_id, count(*) AS v, count(DISTINCT p_brand) AS names, coalesce(max(r), 0) AS top FROM part LEFT JOIN (SELECT l_partkey, max(l_linenumber) AS r FROM lineitem WHERE l_quantity > 49 GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1) WHERE v > 1 AND names <= 25 AND top <= 1 AND names = 1 OR false""")
+@query("""SELECT node_id FROM (SELECT p_partkey // 2 AS node_id, count(*) AS v, count(DISTINCT p_type) AS names, coalesce(max(r), 0) AS top FROM part LEFT JOIN (SELECT l_partkey, max(l_linenumber) AS r FROM lineitem WHERE l_quantity > 49 GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1) WHERE v > 1 AND top <= 1 AND names = 1""")
 def fake_rank_nodes(t: Ladder) -> DataFrame:
-    part = t.table("part").select(F.col("p_partkey").alias("talent_id"), F.col("p_size").alias("node_id"), F.col("p_brand").alias("name"))
+    part = t.table("part").select(F.col("p_partkey").alias("talent_id"), F.floor(F.col("p_partkey") / 2).alias("node_id"), F.col("p_type").alias("name"))
     used = t.table("lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("talent_id"), F.col("l_linenumber").alias("rank"))
     return dims.fake_rank_nodes(part, used)
 
@@ -520,9 +520,9 @@ def assignment_counts(t: Ladder) -> DataFrame:
     return dims.assignment_counts(t.assignments, t.talent_dim)
 
 
-@query("SELECT character_id FROM characters WHERE character_id NOT IN (SELECT character_id FROM entries)", "characters", "entries")
+@query("SELECT character_id FROM characters WHERE character_id NOT IN (SELECT character_id FROM entries WHERE rating > 300000)", "characters", "entries")
 def orphans(t: Ladder) -> DataFrame:
-    return dims.without_entries(t.characters, t.entries).select("character_id")
+    return dims.without_entries(t.characters, t.entries.where("rating > 300000")).select("character_id")
 
 
 @query("""WITH old AS (SELECT * FROM ranked WHERE rank <= 100), new AS (SELECT * FROM ranked WHERE rank <= 80 AND entry_id % 5 <> 0 AND bracket <> '5-LOW') SELECT DISTINCT bracket, character_id FROM old WHERE bracket IN (SELECT bracket FROM new) AND NOT EXISTS (SELECT 1 FROM new WHERE new.bracket = old.bracket AND new.character_id = old.character_id)""", "ranked")
@@ -558,7 +558,7 @@ def best_placement(t: Ladder) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT user_id AS cycle_id, job_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY job_id) AS done, count(*) OVER (PARTITION BY user_id) AS expected FROM metrics), q AS (SELECT *, CAST(done * 100 // expected AS INTEGER) AS pct FROM p), r AS (SELECT *, coalesce(lag(pct) OVER (PARTITION BY cycle_id ORDER BY seq), 0) AS before FROM q)
-    SELECT cycle_id, seq, pct, array_to_string(list_filter([25, 50, 75], x -> before < x AND pct >= x), ',') AS milestones FROM r WHERE (before < 25 AND pct >= 25) OR (before < 50 AND pct >= 50) OR (before < 75 AND pct >= 75)""", "metrics")
+    SELECT cycle_id, seq, pct, array_to_string(list_filter([25, 50, 75], lambda x: before < x AND pct >= x), ',') AS milestones FROM r WHERE (before < 25 AND pct >= 25) OR (before < 50 AND pct >= 50) OR (before < 75 AND pct >= 75)""", "metrics")
 def milestones(t: Ladder) -> DataFrame:
     by = W.partitionBy("user_id")
     p = t.metrics.select(F.col("user_id").alias("cycle_id"), F.col("job_id").alias("seq"), F.row_number().over(by.orderBy("job_id")).alias("done"), F.count("*").over(by).alias("expected"))
@@ -594,18 +594,18 @@ def retry_split(t: Ladder) -> DataFrame:
     return incremental.split_retries(t.entries).select("entry_id", "outcome", "sync_retry_count")
 
 
-@query("""WITH runs AS (SELECT user_id AS run_id, min(at) AS created_at, max(at) AS updated_at FROM metrics GROUP BY 1), n AS (SELECT max(at) - INTERVAL 1 HOUR AS t FROM metrics) SELECT run_id, CASE WHEN created_at < t - INTERVAL 696 HOUR THEN 'abort' ELSE 'recover' END AS action FROM runs, n WHERE updated_at < t - INTERVAL 120 MINUTE""", "metrics")
+@query("""WITH runs AS (SELECT user_id AS run_id, min(ran_at) AS created_at, max(ran_at) AS updated_at FROM metrics GROUP BY 1), n AS (SELECT max(ran_at) - INTERVAL 1 HOUR AS t FROM metrics) SELECT run_id, CASE WHEN created_at < t - INTERVAL 696 HOUR THEN 'abort' ELSE 'recover' END AS action FROM runs, n WHERE updated_at < t - INTERVAL 120 MINUTE""", "metrics")
 def stale_runs(t: Ladder) -> DataFrame:
     runs = t.metrics.groupBy(F.col("user_id").alias("run_id")).agg(F.min("at").alias("created_at"), F.max("at").alias("updated_at")).withColumn("status", F.lit("syncing"))
     return incremental.stale_runs(runs, _now(t) - F.expr("INTERVAL 1 HOUR"), 120, 696).select("run_id", "action")
 
 
-@query("SELECT job_class, count(*) AS n FROM metrics WHERE at >= (SELECT max(at) FROM metrics) - INTERVAL 7 DAY GROUP BY 1", "metrics")
+@query("SELECT job_class, count(*) AS n FROM metrics WHERE ran_at >= (SELECT max(ran_at) FROM metrics) - INTERVAL 7 DAY GROUP BY 1", "metrics")
 def retained_metrics(t: Ladder) -> DataFrame:
     return incremental.retain(t.metrics, "at", _now(t), 7).groupBy("job_class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT date_trunc('hour', at) AS hour, job_class, count(*) AS total, count(*) FILTER (WHERE NOT success) AS failed, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration FROM metrics GROUP BY 1, 2", "metrics")
+@query("SELECT date_trunc('hour', ran_at) AS hour, job_class, count(*) AS total, count(*) FILTER (WHERE NOT success) AS failed, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration FROM metrics GROUP BY 1, 2", "metrics")
 def job_windows(t: Ladder) -> DataFrame:
     return streams.job_windows(t.metrics).withColumn("avg_duration", X.half_up(F.col("avg_duration"), 3))
 

@@ -136,7 +136,7 @@ CTES = {
     "edges": "SELECT DISTINCT node_id, node_id - 1 AS prerequisite_id FROM talent_dim WHERE talent_type = 'hero' AND node_id <> 109",
     "translations": """SELECT type, id, 'en_US' AS locale, 'name ' || right(id, 1) AS value FROM (SELECT DISTINCT 'item' AS type, p_brand AS id FROM part UNION ALL SELECT 'enchantment', CAST(s_suppkey AS VARCHAR) FROM supplier)
         UNION ALL SELECT type, id, 'fr_FR', 'nom ' || right(id, 1) FROM (SELECT DISTINCT 'item' AS type, p_brand AS id FROM part UNION ALL SELECT 'enchantment', CAST(s_suppkey AS VARCHAR) FROM supplier) WHERE right(id, 1) IN ('2', '4', '6')""",
-    "metrics": "SELECT event_id AS job_id, event_type AS job_class, ts AS at, value AS duration, k % 10 <> 0 AS success, 'Error' || (k % 30) AS error_class, user_id, k FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
+    "metrics": "SELECT event_id AS job_id, event_type AS job_class, ts AS ran_at, value AS duration, k % 10 <> 0 AS success, 'Error' || (k % 30) AS error_class, user_id, k FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)",
     # cohorts: the best entry of each character and bracket, ranked in its spec, the first ten kept
     "best_eq": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bracket, character_id ORDER BY rating DESC NULLS FIRST, entry_id) AS k FROM entries WHERE spec_id IS NOT NULL AND equipment_at IS NOT NULL) WHERE k = 1",
     "cohort": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY bracket, spec_id ORDER BY rating DESC NULLS FIRST) AS spec_rank FROM best_eq) WHERE spec_rank <= 10",
@@ -173,4 +173,4 @@ def sql(body: str, *ctes: str) -> str:
     if not parts:
         return body
     # a body that brings expressions of its own goes on with the list
-    return "WITH " + ",\n".join(parts) + (", " + body.lstrip()[5:] if body.lstrip().upper().startswith("WITH ") else "\n" + body)
+    return "WITH RECURSIVE " + ",\n".join(parts) + (", " + body.lstrip()[5:] if body.lstrip().upper().startswith("WITH ") else "\n" + body)
