@@ -38,7 +38,7 @@ def _shape(length: int) -> tuple[int, int]:
     return width, max(1, min(16, length - width + 1))
 
 
-def anchors(rows: DataFrame, length: int) -> DataFrame:
+def anchors(rows: DataFrame, length: int, span: int = PART) -> DataFrame:
     """did, th, core, f1, f2, place, first, after: the windows first..after - 1 that choose the anchor at `place`.
 
     core: hash of the bytes from the anchor on that are in each of its windows; f1, f2: of all bytes of its windows.
@@ -48,8 +48,8 @@ def anchors(rows: DataFrame, length: int) -> DataFrame:
 
     def of(text: bytes) -> list[np.ndarray]:
         found = []
-        for at in range(0, max(1, len(text) - length + 1), PART):
-            values = rolling.byte_values(text[at : at + PART + length - 1])
+        for at in range(0, max(1, len(text) - length + 1), span):
+            values = rolling.byte_values(text[at : at + span + length - 1])
             if len(values) < length:
                 continue
             prefix = [rolling.sums(values, k) for k in (0, 1)]

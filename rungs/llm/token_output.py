@@ -125,11 +125,11 @@ def ids_of(block: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(flat.T).view("<u4").reshape(-1)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str = "byte") -> str:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, kind: str = "byte", block_ids: int = BLOCK_IDS, chunk_ids: int = CHUNK_IDS) -> str:
     """Writes the ids of docs (doc_id, text) to path, in ascending doc_id order, and returns path.
 
     Each document is followed by end_id. A file holds chunks (rows): whole documents, their ids and lengths, and the
-    ids in blocks of BLOCK_IDS as zstandard-compressed byte (or bit) planes; the columns before the planes are the
+    ids in blocks of block_ids as zstandard-compressed byte (or bit) planes; the columns before the planes are the
     chunk index. Spark's writer commits the files, so that lost or repeated tasks leave no half-written ones. Null
     and empty texts have the end id alone; null ids come first; rows of one id follow in order of text; repeated
     rows are kept; no rows, no chunks. Other columns are not read.
@@ -147,8 +147,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ki
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            blocks = [planes_of(ids[i : i + BLOCK_IDS], kind) for i in range(0, len(ids), BLOCK_IDS)]
-            row = [shard, chunk, len(held), len(ids), [d for d, _ in held], [len(x) // 4 for _, x in held], blocks, kind, BLOCK_IDS]
+            blocks = [planes_of(ids[i : i + block_ids], kind) for i in range(0, len(ids), block_ids)]
+            row = [shard, chunk, len(held), len(ids), [d for d, _ in held], [len(x) // 4 for _, x in held], blocks, kind, block_ids]
             types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.string(), pa.int32()]
             return pa.record_batch([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _FILES.split(", ")])
 
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ki
                 for d, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     held.append((d, encoder.encode(t) + end))
                     size += len(held[-1][1]) // 4
-                    if size >= CHUNK_IDS:
+                    if size >= chunk_ids:
                         yield close()
                         held, size, chunk = [], 0, chunk + 1
         if held:
