@@ -117,7 +117,7 @@ def test_encoder_by_pieces_is_the_library_s(tokenizer):
 def test_token_files(spark, tmp_path, tokenizer, kind):
     docs = [(k, t) for k, t in enumerate(ODD)] + [(None, None), (100, "word " * 200), (3, "again")]
     df = spark.createDataFrame([(*d, 5) for d in reversed(docs)], "doc_id long, text string, shard int")
-    path = token_output.write_tokens(df, f"{tmp_path}/{kind}", TOKENIZER, kind=kind, block_ids=16, chunk_ids=30)
+    path = token_output.write_tokens(df, f"{tmp_path}/{kind}", TOKENIZER, kind=kind, block_ids=16, chunk_ids=12)
     rows = sorted(token_output.read_tokens(spark, path).collect(), key=lambda r: r.start)
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
     at = 0
