@@ -64,11 +64,12 @@ def drop_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """
     rows = keyed(docs)
     found = written(fingerprints(rows, run), "fingerprints")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    windows = found.join(twice, "h").select("did", "th", F.explode("windows").alias("w")).select("did", "th", "w.k1", "w.k2", "w.first")
+    twice = written(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    windows = found.join(twice.hint("merge"), "h").select("did", "th", F.explode("windows").alias("w")).select("did", "th", "w.k1", "w.k2", "w.first")
     windows = written(windows, "windows")
     earliest = windows.groupBy("k1", "k2").agg(F.min(F.struct("did", "th", "first")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(earliest.select("k1", "k2", "e"), ["k1", "k2"]).where(F.struct("did", "th", "first") > F.col("e"))
+    earliest = written(earliest.select("k1", "k2", "e"), "earliest")  # on its own, so that the join's hot keys can be split
+    later = windows.join(earliest.hint("merge"), ["k1", "k2"]).where(F.struct("did", "th", "first") > F.col("e"))
     marks = written(later.groupBy("did", "th").agg(F.collect_set("first").alias("firsts")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,4 +92,4 @@ def drop_repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
                 yield pa.record_batch([part["doc_id"], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, span)], names=["doc_id", "text", "n_lines", "n_removed", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(marks, ["did", "th"], "left").select("doc_id", "text", "firsts").mapInArrow(cut, f"doc_id {kind}, text string, n_lines long, n_removed long, spans array<struct<start:int,end:int>>")
+    return rows.join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "firsts").mapInArrow(cut, f"doc_id {kind}, text string, n_lines long, n_removed long, spans array<struct<start:int,end:int>>")
