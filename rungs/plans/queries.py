@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import builds, cohort, dims, health, ladder, popularity, read_models, spec_stats, strength, talents, tiers
-from ..sources import tables
+from ..sources import ingest, tables
 from ..streaming import incremental, streams
 from .testdata import Ladder, sql
 
@@ -610,6 +610,69 @@ def job_windows(t: Ladder) -> DataFrame:
     return streams.job_windows(t.metrics).withColumn("avg_duration", X.half_up(F.col("avg_duration"), 3))
 
 
+@query("""SELECT bracket, region, character_id, rank, CAST(floor(rating) AS INTEGER) AS rating, wins, losses, faction FROM (SELECT *, row_number() OVER (PARTITION BY bracket, region, character_id ORDER BY rank) AS k FROM (SELECT *, CASE entry_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS faction FROM ranked) WHERE rank <= 500) WHERE k = 1""", "ranked")
+def ingest_leaderboard(t: Ladder) -> DataFrame:
+    """Ladders packed as payloads, by rank, and read again: the first 500 of each, a character once."""
+    kind = F.when(F.col("entry_id") % 3 == 0, "ALLIANCE").when(F.col("entry_id") % 3 == 1, "HORDE").otherwise("NEUTRAL")
+    e = F.struct(F.struct(F.col("character_id").alias("id"), "name", F.struct(F.col("realm").alias("slug")).alias("realm")).alias("character"), F.struct(kind.alias("type")).alias("faction"), "rank", F.col("rating").cast("int").alias("rating"), F.struct(F.col("wins").cast("int").alias("won"), F.col("losses").cast("int").alias("lost")).alias("season_match_statistics"))
+    packed = t.ranked.groupBy("bracket", "region").agg(F.array_sort(F.collect_list(F.struct("rank", e.alias("e")))).alias("l"))
+    p = packed.select(F.lit(1).cast("long").alias("season_id"), "bracket", "region", F.lit(None).cast("timestamp").alias("fetched_at"), F.transform("l", lambda x: x["e"]).alias("entries"))
+    return ingest.leaderboard(p).select("bracket", "region", "character_id", "rank", "rating", F.col("wins").cast("long").alias("wins"), F.col("losses").cast("long").alias("losses"), "faction")
+
+
+@query("""SELECT character_id, count(*) AS pieces, CAST(sum(item_level) // count(*) AS INTEGER) AS item_level, CAST(sum(haste) AS BIGINT) AS haste, count(enchantment_id) AS enchants FROM items WHERE slot <> 7 AND item_level > 0 GROUP BY 1""", "items")
+def ingest_equipment(t: Ladder) -> DataFrame:
+    """Worn items packed as equipment payloads and read again; slot 7 is a tabard."""
+    empty = "array<struct<socket_type:struct<type:string>,item:struct<id:bigint,name:string>,display_string:string>>"
+    enchant = F.struct(F.lit("Enchanted: x").alias("display_string"), F.col("enchantment_id").cast("long").alias("enchantment_id"), F.struct(F.lit("PERMANENT").alias("type")).alias("enchantment_slot"), F.struct(F.lit(None).cast("long").alias("id")).alias("source_item"))
+    stat = F.struct(F.struct(F.lit("HASTE_RATING").alias("type")).alias("type"), F.try_element_at("stats", F.lit("haste")).alias("value"), F.lit(False).alias("is_negated"))
+    item = F.struct(F.struct(F.col("slot").cast("long").alias("id")).alias("item"), F.struct(F.when(F.col("slot") == 7, "TABARD").otherwise(F.concat(F.lit("SLOT"), F.col("slot").cast("string"))).alias("type")).alias("slot"), F.struct(F.col("item_level").alias("value")).alias("level"), F.lit("7").alias("context"), F.array(F.lit(1)).alias("bonus_list"), F.when(F.col("enchantment_id").isNotNull(), F.array(enchant)).otherwise(F.array().cast("array<struct<display_string:string,enchantment_id:bigint,enchantment_slot:struct<type:string>,source_item:struct<id:bigint>>>")).alias("enchantments"), F.lit(None).cast(empty).alias("sockets"), F.lit(None).cast("array<struct<type:string>>").alias("modified_crafting_stat"), F.array(stat).alias("stats"))
+    p = t.items.groupBy("character_id", "spec_id").agg(F.collect_list(item).alias("equipped_items"))
+    rows = ingest.equipment(p)
+    return rows.groupBy("character_id").agg(F.count("*").alias("pieces"), F.floor(F.sum("item_level") / F.count("*")).cast("int").alias("item_level"), F.sum(F.try_element_at("stats", F.lit("haste"))).alias("haste"), F.count("enchantment_id").alias("enchants"))
+
+
+@query("""SELECT * FROM (SELECT s_suppkey AS id, s_name AS value FROM supplier WHERE s_suppkey % 2 = 0) UNION ALL (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 5 = 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0))""")
+def insert_ignore(t: Ladder) -> DataFrame:
+    old = t.table("supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("value"))
+    return tables.insert_ignore(old, t.table("customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value")), ["id"])
+
+
+@query("""SELECT character_id, slot, item_level FROM items WHERE character_id % 4 <> 0 UNION ALL SELECT character_id, slot, item_level + 1 FROM items WHERE character_id % 4 = 0 AND slot < 3""", "items")
+def replace_slice(t: Ladder) -> DataFrame:
+    old = t.items.select("character_id", "slot", "item_level")
+    new = old.where("character_id % 4 = 0 and slot < 3").withColumn("item_level", F.col("item_level") + 1)
+    return tables.replace_slice(old, old.where("character_id % 4 = 0").select("character_id"), new)
+
+
+@query("""WITH v AS (SELECT entry_id, spec_id AS season_id, CASE WHEN entry_id % 9 = 0 AND spec_id % 2 = 0 THEN 5 WHEN entry_id % 9 = 1 THEN 4 END AS cycle_id FROM entries), h AS (SELECT season_id, coalesce(bool_or(cycle_id = 5), false) AS h FROM v GROUP BY 1) SELECT entry_id, season_id FROM v JOIN h USING (season_id) WHERE CASE WHEN h THEN cycle_id = 5 ELSE cycle_id IS NULL END""", "entries")
+def live_rows(t: Ladder) -> DataFrame:
+    cycle = F.when((F.col("entry_id") % 9 == 0) & (F.col("spec_id") % 2 == 0), 5).when(F.col("entry_id") % 9 == 1, 4)
+    return ladder.live_rows(t.entries.select("entry_id", F.col("spec_id").alias("season_id"), cycle.alias("cycle_id")), 5).select("entry_id", "season_id")
+
+
+@query("""SELECT character_id, NOT is_private AND (unavailable_until IS NULL OR unavailable_until <= TIMESTAMP '2024-01-01') AS available, character_id NOT IN (SELECT character_id FROM entries WHERE equipment_at > (SELECT max(snapshot_at) FROM entries) - INTERVAL 240 HOUR) AS due FROM characters""", "characters", "entries")
+def sync_candidates(t: Ladder) -> DataFrame:
+    as_of = F.lit(t.table("orders").agg(F.max("o_orderdate")).first()[0])
+    ready = ladder.available(t.characters, F.lit("2024-01-01").cast("timestamp")).select("character_id", F.lit(True).alias("_a"))
+    due = ladder.not_recent(t.characters, t.entries, as_of, 240).select("character_id", F.lit(True).alias("_d"))
+    rows = t.characters.join(ready, "character_id", "left").join(due, "character_id", "left")
+    return rows.select("character_id", F.coalesce("_a", F.lit(False)).alias("available"), F.coalesce("_d", F.lit(False)).alias("due"))
+
+
+@query("""SELECT talent_id, spec_id, default_points FROM (SELECT a.talent_id, a.spec_id, CASE WHEN d.talent_id % 4 = 0 THEN 3 ELSE a.default_points END AS default_points FROM assignments a JOIN talent_dim d ON d.talent_id = a.talent_id)""", "assignments", "talent_dim")
+def copied_points(t: Ladder) -> DataFrame:
+    points = t.talent_dim.select("talent_id", F.when(F.col("talent_id") % 4 == 0, 3).otherwise(0).alias("default_points"))
+    return dims.copy_points(t.assignments, points).select("talent_id", "spec_id", "default_points")
+
+
+@query("""SELECT talent_id, max(talent_type) AS talent_type FROM (SELECT d.talent_id, CASE max(CASE d.talent_type WHEN 'hero' THEN 3 WHEN 'spec' THEN 2 ELSE 1 END) OVER (PARTITION BY node_id, name) WHEN 3 THEN 'hero' WHEN 2 THEN 'spec' ELSE 'class' END AS talent_type FROM talent_dim d WHERE talent_type <> 'pvp') GROUP BY 1""", "talent_dim")
+def section_types(t: Ladder) -> DataFrame:
+    d = t.talent_dim.where("talent_type <> 'pvp'")
+    same = d.select("node_id", "name", F.col("talent_type").alias("kind"))
+    return talents.section_type(d.select("talent_id", "node_id", "name").join(same, ["node_id", "name"]).select("talent_id", F.col("kind").alias("talent_type")))
+
+
 # ---- texts ---------------------------------------------------------------------------------------------------------
 
 
