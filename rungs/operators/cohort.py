@@ -46,8 +46,8 @@ def top_cohort(entries: DataFrame, gate: str | None = None, top_n: int = 1000, w
 
 def gated(entries: DataFrame, good: Column, least: int = 10) -> DataFrame:
     """Rows for which `good` holds, or all where fewer than `least` do."""
-    n = F.count_if(good).over(W.partitionBy(F.lit(0)))
-    return entries.withColumn("_n", n).where((F.col("_n") < least) | good).drop("_n")
+    n = entries.agg(F.count_if(good).alias("_n"))
+    return entries.crossJoin(F.broadcast(n)).where((F.col("_n") < least) | good).drop("_n")  # one row
 
 
 def recent(entries: DataFrame, column: str, as_of: Column, days: int = 60) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -84,13 +83,12 @@ def season_with_rows(seasons: DataFrame, rows: DataFrame) -> DataFrame:
 
 def live_rows(rows: DataFrame, live_cycle: int | None) -> DataFrame:
     """Rows of the live cycle; if there are none, those of no cycle."""
-    by = W.partitionBy("season_id") if "season_id" in rows.columns else W.partitionBy(F.lit(0))
-    live = F.col("cycle_id") == F.lit(live_cycle)
-    some = rows.select(*([c for c in ["season_id"] if c in rows.columns]), live.alias("_l"))
+    live = F.coalesce(F.col("cycle_id") == F.lit(live_cycle), F.lit(False))
     if "season_id" in rows.columns:
-        has = some.groupBy("season_id").agg(F.bool_or(F.coalesce("_l", F.lit(False))).alias("_has"))
-        return rows.join(has, "season_id").where(F.when(F.col("_has"), live).otherwise(F.col("cycle_id").isNull())).drop("_has")
-    return rows.withColumn("_has", F.bool_or(F.coalesce(live, F.lit(False))).over(by)).where(F.when(F.col("_has"), live).otherwise(F.col("cycle_id").isNull())).drop("_has")
+        marked = rows.join(rows.groupBy("season_id").agg(F.bool_or(live).alias("_has")), "season_id")
+    else:
+        marked = rows.crossJoin(F.broadcast(rows.agg(F.bool_or(live).alias("_has"))))  # one row
+    return marked.where(F.when(F.col("_has"), live).otherwise(F.col("cycle_id").isNull())).drop("_has")
 
 
 def discovered(brackets: DataFrame) -> DataFrame:
