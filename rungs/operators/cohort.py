@@ -36,12 +36,14 @@ def top_cohort(entries: DataFrame, gate: str | None = None, top_n: int = 1000, w
 
     weighted adds spec_total (entries before the cut) and weight.
     """
-    by = W.partitionBy("bracket", "spec_id")
     e = best_entry(entries, gate, ties)
-    if weighted:
-        e = e.withColumn("spec_total", F.count("*").over(by))
-    e = e.withColumn("spec_rank", F.rank().over(by.orderBy(F.col("rating").desc_nulls_first()))).where(F.col("spec_rank") <= top_n)
-    return e.withColumn("weight", player_weight(F.col("spec_rank"), F.col("spec_total"), F.col("wins"), F.col("losses"))) if weighted else e
+    by = W.partitionBy("bracket", "spec_id").orderBy(F.col("rating").desc_nulls_first())
+    top = e.withColumn("spec_rank", F.rank().over(by)).where(F.col("spec_rank") <= top_n)
+    if not weighted:
+        return top
+    # sizes are counted apart, so that only the top of a group has to meet in one task
+    top = top.join(e.groupBy("bracket", "spec_id").agg(F.count("*").alias("spec_total")), ["bracket", "spec_id"])
+    return top.withColumn("weight", player_weight(F.col("spec_rank"), F.col("spec_total"), F.col("wins"), F.col("losses")))
 
 
 def gated(entries: DataFrame, good: Column, least: int = 10) -> DataFrame:
