@@ -18,6 +18,11 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def _upper(h: np.ndarray) -> pa.Array:
+    """The upper 32 bits."""
+    return pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
 def _chosen(data: bytes, length: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, hashes of the windows of `short` words, and the runs of windows of `length` words that choose one of these."""
     h = rolling.words(data)[2]
@@ -48,7 +53,8 @@ def repeated_seeds(rows: DataFrame, length: int, short: int) -> DataFrame:
 
     seeds = rows.select("did", "text").mapInArrow(run, "h long, did long, place int")
     first = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
-    return written(seeds.join(first, "h").groupBy("did").agg(F.collect_list("place").alias("places")), "seeds")
+    first = written(first, "repeated")  # on its own, so that the join's hot keys can be split
+    return written(seeds.join(first.hint("merge"), "h").groupBy("did").agg(F.collect_list("place").alias("places")), "seeds")
 
 
 def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
@@ -58,7 +64,7 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataF
     twice their length (or to `length`, if that is less), and so on until `length` is reached and none is left to be
     doubled. At the last level, neighbouring windows that were extended from one seed are first compared as one
     string, which settles most of them; where that string is new, its windows are compared one by one. The hashes of
-    the last level have 128 bits.
+    the last level have 96 bits: of 10**13 windows, two different ones share a hash with a chance under a thousandth.
     """
     lengths = [length]
     while lengths[0] > short:
@@ -66,38 +72,37 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataF
     kept = repeated_seeds(rows, length, lengths[0])
     for now in lengths[1:-1]:
         kept = _doubled(rows, kept, length, lengths[0], now)
-    found = written(_last_level(rows, kept, length, lengths[0]), "runs")
-    strings = written(found.groupBy("f1", "f2").agg(F.min("did").alias("least"), F.first("w1").alias("w1"), F.first("w2").alias("w2")), "strings")
-    zipped = F.explode(F.arrays_zip("w1", "w2")).alias("w")
-    windows = strings.select("least", zipped).groupBy("w.w1", "w.w2").agg(F.min("least").alias("earliest"))
-    back = found.select("f1", "f2", "did", "th", "first", F.size("w1").alias("n")).join(strings.select("f1", "f2", "least"), ["f1", "f2"])
-    whole = back.where("least < did").select("did", "th", "first", "n")
-    # the rest: documents that have a string first; rows of one document meet its windows once a place
-    rest = found.join(strings.select(F.col("f1"), F.col("f2"), F.col("least").alias("did")), ["f1", "f2", "did"], "left_semi")
-    rest = rest.select("did", "th", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("k", "w")).select("did", "th", (F.col("first") + F.col("k")).alias("first"), "w.w1", "w.w2")
-    single = rest.join(windows, ["w1", "w2"]).where("earliest < did").select("did", "th", "first", F.lit(1).alias("n"))
+    found = written(_strings(rows, kept, length, lengths[0]), "strings")
+    first = found.groupBy("f1", "f2").agg(F.min(F.struct("did", "th", "first", "n")).alias("at"))
+    first = written(first, "firsts")
+    whole = found.join(first.select("f1", "f2", F.col("at.did").alias("least")).hint("merge"), ["f1", "f2"]).where("least < did").select("did", "th", "first", "n")
+    # where a string is new, its windows are looked up one by one, among those of all strings
+    new = first.groupBy("at.did", "at.th").agg(F.collect_list(F.struct("at.first", "at.n")).alias("places"))
+    windows = written(_windows(rows, new, length), "windows")
+    earliest = windows.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("last")).where("least < last").select("w1", "w2", "least")
+    single = windows.join(written(earliest, "earliest").hint("merge"), ["w1", "w2"]).where("least < did").select("did", "th", "first", F.lit(1).alias("n"))
     return whole.union(single)
 
 
-def _over_text(rows: DataFrame, kept: DataFrame, each, schema: str) -> DataFrame:
+def _over_text(rows: DataFrame, kept: DataFrame, on: list[str], each, schema: str) -> DataFrame:
     """each(did, th, text, places) for every row that has places left, in batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                made = [each(d, h, t, np.array(p, np.int64)) for d, h, t, p in zip(part["did"].to_pylist(), part["th"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), part["places"].to_pylist(), strict=True)]
+                made = [each(d, h, t, p) for d, h, t, p in zip(part["did"].to_pylist(), part["th"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), part["places"].to_pylist(), strict=True)]
                 made = [m for m in made if m is not None]
                 if made:
                     yield pa.concat_batches(made) if len(made) > 1 else made[0]
 
-    return rows.select("did", "th", "text").join(kept, "did").mapInArrow(run, schema)
+    return rows.select("did", "th", "text").join(kept.hint("merge"), on).select("did", "th", "text", "places").mapInArrow(run, schema)
 
 
 def _doubled(rows: DataFrame, kept: DataFrame, length: int, short: int, now: int) -> DataFrame:
     """did, places: the places left whose windows of `now` words, ending or starting at most so far from the place, two documents have."""
 
-    def each(d: int, th: int, text: bytes, left: np.ndarray) -> pa.RecordBatch | None:
+    def each(d: int, th: int, text: bytes, left: list) -> pa.RecordBatch | None:
         h, _, place, first, after = _chosen(text, length, short)
         own = np.isin(place, left)
         place, first, after = place[own], first[own], after[own]
@@ -111,29 +116,37 @@ def _doubled(rows: DataFrame, kept: DataFrame, length: int, short: int, now: int
         keys = rolling.spans(rolling.sums(h), start[fit], start[fit] + now)
         return pa.record_batch([_signed(keys), pa.array(np.full(len(at), d, np.int64)), pa.array(at.astype(np.int32))], names=["h", "did", "place"])
 
-    grown = written(_over_text(rows, kept, each, "h long, did long, place int"), "doubled")
+    grown = written(_over_text(rows, kept, ["did"], each, "h long, did long, place int"), "doubled")
     first = grown.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
-    return written(grown.join(first, "h").groupBy("did").agg(F.collect_set("place").alias("places")), "seeds")
+    return written(grown.join(written(first, "repeated").hint("merge"), "h").groupBy("did").agg(F.collect_set("place").alias("places")), "seeds")
 
 
-def _last_level(rows: DataFrame, kept: DataFrame, length: int, short: int) -> DataFrame:
-    """did, th, first, f1, f2 (of the words under the run of windows that chose a place), w1, w2 (of each window)."""
+def _strings(rows: DataFrame, kept: DataFrame, length: int, short: int) -> DataFrame:
+    """did, th, first, n, f1, f2: the runs of n windows that chose a place that is left, and the hash of all words under them."""
 
-    def each(d: int, th: int, text: bytes, left: np.ndarray) -> pa.RecordBatch | None:
+    def each(d: int, th: int, text: bytes, left: list) -> pa.RecordBatch | None:
         h, _, place, first, after = _chosen(text, length, short)
         own = np.isin(place, left)
         first, after = first[own], after[own]
         if not len(first):
             return None
-        prefix = [rolling.sums(h, k) for k in (0, 1)]
-        f = [rolling.spans(prefix[k], first, after + length - 1, k) for k in (0, 1)]
-        n = after - first
+        f = [rolling.spans(rolling.sums(h, k), first, after + length - 1, k) for k in (0, 1)]
+        return pa.record_batch([pa.array(np.full(len(first), d, np.int64)), pa.array(np.full(len(first), th, np.int32)), pa.array(first.astype(np.int32)), pa.array((after - first).astype(np.int32)), _signed(f[0]), _upper(f[1])], names=["did", "th", "first", "n", "f1", "f2"])
+
+    return _over_text(rows, kept, ["did"], each, "did long, th int, first int, n int, f1 long, f2 int")
+
+
+def _windows(rows: DataFrame, new: DataFrame, length: int) -> DataFrame:
+    """did, th, first, w1, w2: each window of the runs in new (did, th, places)."""
+
+    def each(d: int, th: int, text: bytes, places: list) -> pa.RecordBatch:
+        h = rolling.words(text)[2]
+        first, n = np.array([[p["first"], p["n"]] for p in places], np.int64).T
         p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
-        ends = pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32))
-        w = [pa.ListArray.from_arrays(ends, _signed(rolling.spans(prefix[k], p, p + length, k))) for k in (0, 1)]
-        return pa.record_batch([pa.array(np.full(len(first), d, np.int64)), pa.array(np.full(len(first), th, np.int64)), pa.array(first.astype(np.int32)), _signed(f[0]), _signed(f[1]), *w], names=["did", "th", "first", "f1", "f2", "w1", "w2"])
+        w = [rolling.spans(rolling.sums(h, k), p, p + length, k) for k in (0, 1)]
+        return pa.record_batch([pa.array(np.full(len(p), d, np.int64)), pa.array(np.full(len(p), th, np.int32)), pa.array(p.astype(np.int32)), _signed(w[0]), _upper(w[1])], names=["did", "th", "first", "w1", "w2"])
 
-    return _over_text(rows, kept, each, "did long, th long, first int, f1 long, f2 long, w1 array<long>, w2 array<long>")
+    return _over_text(rows, new, ["did", "th"], each, "did long, th int, first int, w1 long, w2 int")
 
 
 def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
@@ -144,7 +157,7 @@ def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame
     every other and not below itself; rows that share a doc_id are never each other's earlier document; an empty
     table gives an empty result. Other columns of docs are not read.
     """
-    rows = keyed(docs)
+    rows = keyed(docs).withColumn("th", F.hash("text"))  # half as long: it only parts rows of one id
     found = repeated_windows(rows, length, short)
     marks = written(found.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "spans")
 
@@ -170,4 +183,4 @@ def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame
                 yield pa.record_batch([part["doc_id"], pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(spans, span)], names=["doc_id", "text", "n_words", "n_removed", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(marks, ["did", "th"], "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
+    return rows.join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
