@@ -66,19 +66,22 @@ class Model:
 def training_rows(labelled: DataFrame, lang: str = "lang") -> pd.DataFrame:
     """lang, hashes, counts of a sample for fit(): at most ROWS_A_LANGUAGE of each of the LANGUAGES commonest languages.
 
-    The sample goes by the hash of text and id; whole texts are turned into counts on the executors.
+    The sample goes by the hash of text and id: the least hashes of each language set a limit, and only rows under it
+    have their whole texts turned into counts, where they are. Repeated rows count once.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
     named = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang"))
-    pick = W.partitionBy("lang").orderBy("h")
-    rows = rows.join(named, "lang").withColumn("k", F.row_number().over(pick)).where(F.col("k") <= ROWS_A_LANGUAGE)
+    rows = rows.join(named, "lang")
+    first = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= ROWS_A_LANGUAGE)
+    limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))  # a row a language
+    rows = rows.join(limits, "lang").where("h <= limit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [np.unique(subwords(t), return_counts=True) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["lang"], b["h"], pa.array([x.astype(np.int32).tobytes() for x, _ in pairs], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in pairs], pa.binary())], names=["lang", "h", "hashes", "counts"])
 
-    return rows.select("lang", "h", "text").mapInArrow(count, "lang string, h long, hashes binary, counts binary").toPandas().sort_values(["h", "lang"], ignore_index=True)
+    return rows.select("lang", "h", "text").mapInArrow(count, "lang string, h long, hashes binary, counts binary").dropDuplicates(["lang", "h"]).toPandas().sort_values(["h", "lang"], ignore_index=True)
 
 
 def fit(sample: pd.DataFrame, epochs: int = 12, rate: float = 2.0, batch: int = 64, seed: int = 7) -> Model:
