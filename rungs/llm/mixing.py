@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, written
 
 #: Documents a bucket of the running sums holds, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
