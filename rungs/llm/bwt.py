@@ -103,7 +103,7 @@ def shard_orders(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pa.record_batch([pa.array(core, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(np.full(len(made), shard * 1_000_003 + i, np.int64)), pa.array(np.arange(len(made), dtype=np.int32)), pa.array(lead, pa.int32()), pa.array(low, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(kinds, pa.int64())], names=["core", "f1", "f2", "shard", "rank", "lead", "low", "left", "right", "kinds"])
 
     places = wanted.groupBy("at.did", "at.th").agg(F.collect_list(F.struct("core", "f1", "f2", "at.place", "at.first", "at.after", "kinds")).alias("places"))
-    firsts = rows.select("did", "th", "text").join(places, ["did", "th"])
+    firsts = rows.select("did", "th", "text").join(places.hint("merge"), ["did", "th"])
     return firsts.mapInArrow(run, "core long, f1 long, f2 long, shard long, rank int, lead int, low int, left binary, right binary, kinds long")
 
 
@@ -232,7 +232,8 @@ def repeated_runs(rows: DataFrame, length: int = 400, most: int = MOST) -> DataF
     """
     found = anchors(rows, length)
     twice = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    left = written(found.join(twice, "core"), "anchors")
+    twice = written(twice, "twice")  # on its own, so that the join's hot keys can be split
+    left = written(found.join(twice.hint("merge"), "core"), "anchors")
     strings = left.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place", "first", "after")).alias("at"))
     strings = written(strings, "strings")
     several = strings.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -240,9 +241,9 @@ def repeated_runs(rows: DataFrame, length: int = 400, most: int = MOST) -> DataF
     # a string that is there twice is settled, but others may have one of its windows
     parts = merged(suffixes.where(F.col("kinds") <= most), length).union(one_by_one(suffixes.where(F.col("kinds") > most), length))
     single = strings.where("n = 1").select("core", "f1", "f2")
-    parts = parts.join(single, ["core", "f1", "f2"], "left_semi")
-    whole = left.join(strings.where("n > 1").select("core", "f1", "f2"), ["core", "f1", "f2"]).select("did", "th", "first", (F.col("after") - F.col("first")).alias("n"))
-    part = left.join(parts, ["core", "f1", "f2"]).select("did", "th", "place", F.explode("xs").alias("x"))
+    parts = written(parts.join(single.hint("merge"), ["core", "f1", "f2"], "left_semi"), "parts")
+    whole = left.join(strings.where("n > 1").select("core", "f1", "f2").hint("merge"), ["core", "f1", "f2"]).select("did", "th", "first", (F.col("after") - F.col("first")).alias("n"))
+    part = left.join(parts.hint("merge"), ["core", "f1", "f2"]).select("did", "th", "place", F.explode("xs").alias("x"))
     return whole.union(part.select("did", "th", (F.col("place") - F.col("x.b")).alias("first"), (F.col("x.b") - F.col("x.a") + 1).alias("n")))
 
 
@@ -255,8 +256,8 @@ def drop_repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> DataFr
     own (a repeated row is elsewhere); an empty table gives an empty result. Other columns of docs are not read.
     """
     rows = keyed(docs)
-    marks = repeated_runs(rows, length, most).distinct()  # rows that are alike have the same runs
-    marks = written(marks.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "spans")
+    marks = repeated_runs(rows, length, most)  # rows that are alike have the same runs
+    marks = written(marks.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -277,4 +278,4 @@ def drop_repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> DataFr
                 yield pa.record_batch([part["doc_id"], pa.array(kept, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(spans, span)], names=["doc_id", "kept", "n_bytes", "n_removed", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(marks, ["did", "th"], "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>")
+    return rows.join(marks.hint("merge"), ["did", "th"], "left").select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>")
