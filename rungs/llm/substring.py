@@ -63,8 +63,8 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataF
     rows: did, th, text. Level one keeps the windows of `short` words that two documents have; only these are extended to
     twice their length (or to `length`, if that is less), and so on until `length` is reached and none is left to be
     doubled. At the last level, neighbouring windows that were extended from one seed are first compared as one
-    string, which settles most of them; where that string is new, its windows are compared one by one. The hashes of
-    the last level have 96 bits: of 10**13 windows, two different ones share a hash with a chance under a thousandth.
+    string, which settles most of them; at all places of the least document that has the string, its windows are
+    compared one by one. The hashes of the last level have 96 bits: of 10**13 windows, two different ones share a hash with a chance under a thousandth.
     """
     lengths = [length]
     while lengths[0] > short:
@@ -75,9 +75,13 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataF
     found = written(_strings(rows, kept, length, lengths[0]), "strings")
     first = found.groupBy("f1", "f2").agg(F.min(F.struct("did", "th", "first", "n")).alias("at"))
     first = written(first, "firsts")
-    whole = found.join(first.select("f1", "f2", F.col("at.did").alias("least")).hint("merge"), ["f1", "f2"]).where("least < did").select("did", "th", "first", "n")
+    # every other place of a string: in a later document it is whole a repeat, in the least one it is as new as the first place
+    other = found.join(first.hint("merge"), ["f1", "f2"]).where(F.struct("did", "th", "first") != F.struct("at.did", "at.th", "at.first"))
+    other = written(other.select("did", "th", "first", "n", F.col("at.did").alias("least")), "places")
+    whole = other.where("least < did").select("did", "th", "first", "n")
     # where a string is new, its windows are looked up one by one, among those of all strings
-    new = first.groupBy("at.did", "at.th").agg(F.collect_list(F.struct("at.first", "at.n")).alias("places"))
+    new = first.select("at.did", "at.th", "at.first", "at.n").union(other.where("least = did").select("did", "th", "first", "n"))
+    new = new.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("places"))
     windows = written(_windows(rows, new, length), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("last")).where("least < last").select("w1", "w2", "least")
     single = windows.join(written(earliest, "earliest").hint("merge"), ["w1", "w2"]).where("least < did").select("did", "th", "first", F.lit(1).alias("n"))

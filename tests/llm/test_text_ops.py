@@ -48,6 +48,16 @@ def test_substring_words(spark):
         assert got == sorted(want)
 
 
+def test_substring_of_a_stretch_that_one_document_has_twice(spark):
+    r = random.Random(11)
+    for _ in range(3):
+        z, p, x, y = ([f"w{r.randrange(10**6)}" for _ in range(30)] for _ in range(4))
+        # the second row of id 5 holds the stretch once more, and is no earlier document of the first
+        docs = [(1, z + p), (5, x + p + x + p), (5, y + p)]
+        got = sorted((r.doc_id, r.n_removed, r.text) for r in substring.drop_repeats(frame(spark, [(i, " ".join(w)) for i, w in docs])).collect())
+        assert got == sorted([(1, 0, " ".join(z + p)), (5, 60, " ".join(x + x)), (5, 30, " ".join(y))])
+
+
 def brute_bytes(texts, length):
     seen = {}
     for k, t in enumerate(texts):
