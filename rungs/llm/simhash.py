@@ -11,12 +11,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rolling
 from .common import shuffle_partitions, written
 from .components import components
 
 #: Fingerprints that a leaf of the upper trie holds, about; its pairs are what one step of a task joins.
 LEAF = 4096
 SEED = 42
+#: Bands of a sketch and least hashes in each: of pairs of a similarity of 0.8, 1 - (1 - 0.8**4)**24 (all but 3 in a million) share a band's key.
+BANDS, ROWS = 24, 4
+_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -196,8 +200,76 @@ def near_pairs(fps: DataFrame, bits: int = 2, forest: bool = False) -> DataFrame
     return met.select("leaf", "fps", "leaf_b", "fps_b").mapInArrow(join, "a long, b long")
 
 
-def near_classes(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """doc_id, fp, component_id: the class of every row of docs over links of `bits` differing bits or fewer.
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles of `words` words of a text, in order; none where it has fewer words."""
+    w = text.lower().split()
+    if len(w) < words:
+        return np.zeros(0, np.uint64)
+    h = rolling.words(b" ".join(w))[2]
+    i = np.arange(len(h) - words + 1)
+    return np.unique(rolling.spans(rolling.sums(h), i, i + words))
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A key for each band: the hash of the least of s in each of ROWS orders. Sets of a Jaccard similarity j share a band's with a chance of j**ROWS."""
+    least = np.concatenate([rolling.mixed(s[None, :] ^ m[:, None]).min(axis=1) for m in np.array_split(_ORDERS, 10)]).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        key = rolling.mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+    return key
+
+
+def similar_links(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets.
+
+    Candidates are the texts that share a band's key; each is compared with the least and the greatest of its key, so
+    that a key of n texts makes 2 * n pairs. Texts of fewer than `words` words have no shingles here.
+    """
+    texts = docs.select(F.xxhash64("text").alias("t"), "text").where("text is not null")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, bands = [], []
+            for t, text in zip(b["t"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+                s = shingles(text, words)
+                if len(s):
+                    ids.append(t), bands.append(sketch(s).view(np.int64))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["t", "bands"])
+
+    bands = written(texts.mapInArrow(keys, "t long, bands array<long>").dropDuplicates(["t"]), "bands")
+    each = bands.select("t", F.explode("bands").alias("band"))
+    ends = written(each.groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi"), "ends")
+    met = each.join(ends.hint("merge"), "band").select("t", F.explode(F.array("lo", "hi")).alias("o")).where("t <> o")
+    pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct(), "candidates")
+    named = pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = b["text"].cast(pa.binary()).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in data], np.uint64).view(np.int64)
+            yield pa.record_batch([b["t"], pa.array(fps), pa.array([shingles(t, words).tobytes() for t in data], pa.binary())], names=["t", "fp", "s"])
+
+    held = texts.join(named.hint("merge"), "t", "left_semi").dropDuplicates(["t"])
+    held = written(held.mapInArrow(sets, "t long, fp long, s binary"), "sets")
+    left = held.select(F.col("t").alias("x"), F.col("fp").alias("a"), F.col("s").alias("p"))
+    right = held.select(F.col("t").alias("y"), F.col("fp").alias("b"), F.col("s").alias("q"))
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for p, q in zip(b["p"], b["q"], strict=True):
+                u, v = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= share * (len(u) + len(v) - both))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    one = written(pairs.join(left.hint("merge"), "x").select("y", "a", "p"), "halves")
+    return one.join(right.hint("merge"), "y").where("a <> b").select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long")
+
+
+def near_classes(docs: DataFrame, words: int = 3, bits: int = 2, share: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id: the class of every row of docs over links of `bits` differing bits or fewer, and with
+    share, of texts of a similarity of `share` or more (similar_links).
 
     component_id is the smallest doc_id of the class; rows without words have fingerprint 0 and are linked like any
     other; a class of null ids alone has a null component_id; repeated rows are returned as often as they come; an
@@ -205,6 +277,8 @@ def near_classes(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """
     fps = written(fingerprints(docs, words), "simhash")
     links = near_pairs(fps, bits, forest=True)
+    if share is not None:
+        links = links.union(written(similar_links(docs, words, share), "similar"))
     ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links.select("a", "b"))  # node, root
     ids = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -214,9 +288,9 @@ def near_classes(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return fps.join(classes, fps["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2, share: float | None = None) -> DataFrame:
     """docs with one row of each class: that with the smallest doc_id (null last, then by the hash of its text)."""
-    classes = near_classes(docs.select("doc_id", "text"), words, bits)
+    classes = near_classes(docs.select("doc_id", "text"), words, bits, share)
     keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
 

@@ -51,6 +51,26 @@ def test_fingerprints_and_classes(spark):
     assert simhash.near_classes(df.limit(0)).count() == 0
 
 
+def test_near_copies_at_a_similarity_of_08(spark):
+    r = random.Random(12)
+    docs = []
+    for i in range(40):
+        w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        near, far = list(w), list(w)
+        for k in range(3):
+            near[30 + 60 * k] = "near"  # 15 of 196 shingles differ: 181 / 211
+        for k in range(9):
+            far[10 + 20 * k] = "far"  # 45 differ: 151 / 241
+        docs += [(3 * i, " ".join(w)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id for x in simhash.near_dedup(df, words=5, bits=0, share=0.8).collect()}
+    assert got == {d for d, _ in docs if d % 3 != 1}
+    # the pipeline's own stage leaves none of the near copies
+    import corpus_pipeline
+
+    assert all(x.doc_id % 3 != 1 for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_trie_join(bits):
     g = np.random.default_rng(0)
