@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,10 @@ from ..sources.scratch import shared_dir
 
 #: Words are runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Setting by which Spark drops the shuffle files of a query that is over.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables that written() has made and emptied() has not yet emptied, by path.
+_made: dict[str, DataFrame] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -21,11 +24,22 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark then drops the shuffle files of jobs that nothing refers to any more
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # planned anew, under that setting
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _made[path] = spark.read.schema(schema).parquet(path)
+    return _made[path]
+
+
+def emptied(keep: tuple[DataFrame, ...] = ()) -> None:
+    """Overwrites the tables that written() has made so far with no rows, but for those in keep: for callers whose results are stored."""
+    for path, df in list(_made.items()):
+        if not any(df is k for k in keep):
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+            del _made[path]
 
 
 def fresh(name: str, taken: list[str]) -> str:
