@@ -1,25 +1,27 @@
-"""Benchmark decontamination by greedy string tiling: reordered passages count as much as whole ones."""
+"""Benchmark decontamination by greedy string tiling: reordered passages count as much as whole ones.
+
+Seeds, the runs of a few words that documents and benchmark items share, are joined in Spark; only the words of a
+document under its seeds go on from there, and each document and item that share enough seeds are tiled.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
+from .common import fresh, written
 
 #: Words of a tile at least, and the share of an item's words under tiles from which a document counts as contaminated.
 LEAST, COVERAGE = 5, 0.8
-#: Words of benchmark items that are held in memory, and broadcast, at a time; a larger benchmark takes more passes.
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter of the benchmark's seeds (two to this power: 8 MB), whatever the benchmark's size.
+FILTER_BITS = 26
 #: ASCII but for letters and digits becomes a space.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_FILTER_BITS = 22
 
 
 def plain(text: str | None) -> bytes:
@@ -27,48 +29,14 @@ def plain(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_PLAIN)
 
 
-@dataclass
-class Block:
-    """Items of a benchmark, as word hashes, and where each run of LEAST words occurs in them."""
-
-    least: int
-    ids: list = field(default_factory=list)
-    tokens: list[np.ndarray] = field(default_factory=list)
-    seeds: np.ndarray | None = None
-    items: np.ndarray | None = None
-    filter: np.ndarray | None = None
-
-    def closed(self) -> "Block":
-        grams = [_grams(t, self.least) for t in self.tokens]
-        h = np.concatenate([np.zeros(0, np.uint64), *grams])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        order = np.lexsort((item, h))
-        self.seeds, self.items = h[order], item[order]
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return self
-
-
 def _grams(tokens: np.ndarray, n: int) -> np.ndarray:
     i = np.arange(max(0, len(tokens) - n + 1))
     return rolling.spans(rolling.sums(tokens), i, i + n)
 
 
-def blocks(benchmark: DataFrame, least: int = LEAST, item_id: str = "item_id", text: str = "text") -> Iterator[Block]:
-    """The items of a benchmark, in blocks of BLOCK_WORDS words about; items of fewer than `least` words are left out."""
-    block, size = Block(least), 0
-    for row in benchmark.select(item_id, text).toLocalIterator():
-        tokens = rolling.words(plain(row[1]))[2]
-        if len(tokens) < least:
-            continue
-        block.ids.append(row[0])
-        block.tokens.append(tokens)
-        size += len(tokens)
-        if size >= BLOCK_WORDS:
-            yield block.closed()
-            block, size = Block(least), 0
-    if block.ids:
-        yield block.closed()
+def seeds(tokens: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of all runs of `least` words; of fewer words, one of them all; of none, none."""
+    return _grams(tokens, min(least, len(tokens))) if len(tokens) else np.zeros(0, np.uint64)
 
 
 def tiles(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
@@ -131,89 +99,143 @@ def _rolled(x: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]
             yield j - s + 1, h
 
 
-def tilings(text: str | None, block: Block, coverage: float) -> list[tuple[int, float, list[tuple[int, int, int]]]]:
-    """(item, coverage, tiles) of the items of a block whose words the text covers to `coverage` at least; tiles in words of item and text."""
-    tokens = rolling.words(plain(text))[2]
-    h = _grams(tokens, block.least)
-    at = np.flatnonzero(block.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-    if not len(at):
-        return []
-    lo, hi = (np.searchsorted(block.seeds, h[at], side) for side in ("left", "right"))
-    n = hi - lo
-    item = block.items[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)]
-    place = np.repeat(at, n)
-    order = np.lexsort((place, item))
-    item, place = item[order], place[order]
-    out = []
-    for k in np.unique(item).tolist():
-        p = np.unique(place[np.searchsorted(item, k) : np.searchsorted(item, k, "right")])
-        own = block.tokens[k]
-        under = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(under, p, 1)
-        np.add.at(under, p + block.least, -1)
-        near = np.flatnonzero(under.cumsum()[:-1] > 0)  # no match has words outside its seeds
-        if np.isin(own, tokens[near]).sum() < coverage * len(own):
-            continue  # too few of its words are there at all
-        gap = np.concatenate([[False], near[1:] != near[:-1] + 1])
-        names = {w: i for i, w in enumerate(np.unique(own).tolist())}
-        b, where = [], []
-        for w, g, x in zip(tokens[near].tolist(), gap.tolist(), near.tolist(), strict=True):
-            if g:
-                b.append(-1), where.append(-1)
-            b.append(names.get(w, -1)), where.append(x)
-        found = tiles([names[w] for w in own.tolist()], b, block.least)
-        share = sum(t[2] for t in found) / len(own)
-        if share >= coverage:
-            out.append((k, share, [(i, where[j], m) for i, j, m in sorted(found)]))
+def tiling(own: np.ndarray, words: np.ndarray, places: np.ndarray, coverage: float, least: int) -> tuple[float, list[tuple[int, int, int]]] | None:
+    """Share of the words of an item (own) under tiles, and the tiles, in words of item and text; None under `coverage`.
+
+    words, places: the words of a text that may be in a tile, and where they stand.
+    """
+    least = min(least, len(own))
+    if np.isin(own, words).sum() < coverage * len(own):
+        return None  # too few of its words are there at all
+    # no match has words outside the seeds of the item
+    i = np.arange(max(0, len(words) - least + 1))
+    whole = places[i + least - 1] - places[i] == least - 1
+    at = i[whole][np.isin(_grams(words, least)[whole], _grams(own, least))]
+    under = np.zeros(len(words) + 1, np.int64)
+    np.add.at(under, at, 1)
+    np.add.at(under, at + least, -1)
+    near = np.flatnonzero(under.cumsum()[:-1] > 0)
+    words, places = words[near], places[near]
+    names = {w: k for k, w in enumerate(np.unique(own).tolist())}
+    b, where, last = [], [], None
+    for w, x in zip(words.tolist(), places.tolist(), strict=True):
+        if last is not None and x != last + 1:
+            b.append(-1), where.append(-1)
+        b.append(names.get(w, -1)), where.append(x)
+        last = x
+    found = tiles([names[w] for w in own.tolist()], b, least)
+    share = sum(t[2] for t in found) / len(own)
+    return (share, [(k, where[j], m) for k, j, m in sorted(found)]) if share >= coverage else None
+
+
+def item_table(benchmark: DataFrame, least: int, item_id: str, text: str) -> DataFrame:
+    """item (a number of its own), item_id, n, words (word hashes) and seeds of every row of a benchmark that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for b in batches:
+            tokens = [rolling.words(plain(t))[2] for t in b["text"].to_pylist()]
+            keep = [i for i, x in enumerate(tokens) if len(x)]
+            own = [tokens[i] for i in keep]
+            found = [seeds(x, least).view(np.int64) for x in own]
+            yield pa.record_batch([pa.array(np.arange(number, number + len(own))), b["item_id"].take(pa.array(keep, pa.int64())), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["item", "item_id", "n", "words", "seeds"])
+            number += len(own)
+
+    kind = benchmark.schema[item_id].dataType.simpleString()
+    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(run, f"item long, item_id {kind}, n long, words binary, seeds array<long>"), "items")
+
+
+def seed_filter(found: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits that a seed (h) has; its size does not depend on found."""
+    slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    words = found.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int)))").alias("bits")).toPandas()
+    out = np.zeros(1 << max(0, FILTER_BITS - 6), np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def seeded(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
+    """row (a number of its own), doc_id, th, words, places and seeds of every document with a seed that the filter lets through.
+
+    words, places: only those under such seeds. Documents are read where they are; nothing else of them moves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of a fixed size
+    below = 64 - FILTER_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held = TaskContext.get().partitionId() << 33, shared.value
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                keep, words, places, hashes = [], [], [], []
+                for i, t in enumerate(part["text"].to_pylist()):
+                    tokens = rolling.words(plain(t))[2]
+                    h = seeds(tokens, least)
+                    slot = h >> np.uint64(below)
+                    at = np.flatnonzero((held[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                    if not len(at):
+                        continue
+                    under = np.zeros(len(tokens) + 1, np.int64)
+                    np.add.at(under, at, 1)
+                    np.add.at(under, at + min(least, len(tokens)), -1)
+                    near = np.flatnonzero(under.cumsum()[:-1] > 0)
+                    keep.append(i), words.append(tokens[near].tobytes()), places.append(near.astype(np.int32).tobytes()), hashes.append(np.unique(h[at]).view(np.int64))
+                if keep:
+                    rows = pa.array(keep, pa.int64())
+                    yield pa.record_batch([pa.array(np.arange(number, number + len(keep))), part["doc_id"].take(rows), part["th"].take(rows), pa.array(words, pa.binary()), pa.array(places, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["row", "doc_id", "th", "words", "places", "seeds"])
+                    number += len(keep)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"row long, doc_id {kind}, th long, words binary, places binary, seeds array<long>"), "seeded")
+
+
+def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
+    """doc_id, th, item_id, coverage, tiles."""
+    items = item_table(benchmark, least, "item_id", "text")
+    own = written(items.select("item", "n", F.explode("seeds").alias("h")).groupBy("h", "item").agg(F.count("*").alias("times"), F.max("n").alias("n")), "item_seeds")
+    hits = seeded(docs, seed_filter(own.select("h")), least)
+    # of an item's words, each seed can put `least` under tiles at each of its places
+    met = hits.select("row", F.explode("seeds").alias("h")).join(own, "h").groupBy("row", "item").agg(F.sum("times").alias("times"), F.max("n").alias("n"))
+    met = written(met.where(F.col("times") * least >= coverage * F.col("n")).select("row", "item"), "shared_seeds")
+    pairs = met.join(items.select("item", "item_id", F.col("words").alias("own")), "item").join(hits.select("row", "doc_id", "th", "words", "places"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("item_word", "text_word", "words")]))
+        for b in batches:
+            keep, shares, marks = [], [], []
+            for i, (x, w, p) in enumerate(zip(b["own"], b["words"], b["places"], strict=True)):
+                found = tiling(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(w.as_py(), np.uint64), np.frombuffer(p.as_py(), np.int32).astype(np.int64), coverage, least)
+                if found:
+                    keep.append(i), shares.append(found[0])
+                    marks.append([{"item_word": k, "text_word": j, "words": m} for k, j, m in found[1]])
+            rows = pa.array(keep, pa.int64())
+            yield pa.record_batch([*[b[c].take(rows) for c in ("doc_id", "th", "item_id")], pa.array(shares, pa.float64()), pa.array(marks, kind)], names=["doc_id", "th", "item_id", "coverage", "tiles"])
+
+    doc_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((hits, "doc_id"), (items, "item_id")))
+    schema = f"doc_id {doc_kind}, th long, item_id {item_kind}, coverage double, tiles array<struct<item_word:int,text_word:int,words:int>>"
+    return pairs.select("doc_id", "th", "item_id", "own", "words", "places").mapInArrow(run, schema)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, coverage, tiles: every document that covers an item's words to `coverage` at least, by tiles of `least` words.
 
     Words are lower-cased and split at white space and ASCII punctuation. Each place of a text and of an item is under
-    one tile at most, so that repeating a part of an item does not cover the rest. Null and empty texts, and items of
-    fewer than `least` words, match nothing; repeated rows and items are each on their own; an empty table gives an
-    empty result. Documents don't move: blocks of the benchmark, of a bounded size, go to them. Other columns of
-    either table are not read.
+    one tile at most, so that repeating a part of an item does not cover the rest. An item of fewer than `least` words
+    is covered by a text of just these words. Null and empty texts and items match nothing; repeated rows and items
+    are each on their own; an empty table gives an empty result. Ids may be of any type. Other columns of either table
+    are not read.
     """
-    spark = docs.sparkSession
-    doc_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    schema = f"doc_id {doc_kind}, item_id {item_kind}, coverage double, tiles array<struct<item_word:int,text_word:int,words:int>>"
-    parts = []
-    for block in blocks(benchmark, least):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("item_word", "text_word", "words")]))
-            for b in batches:
-                rows, items, shares, marks = [], [], [], []
-                for i, text in enumerate(b["text"].to_pylist()):
-                    for item, share, found in tilings(text, shared.value, coverage):
-                        rows.append(i), items.append(shared.value.ids[item]), shares.append(share)
-                        marks.append([{"item_word": x, "text_word": y, "words": z} for x, y, z in found])
-                if rows:
-                    yield pa.record_batch([b["doc_id"].take(pa.array(rows)), pa.array(items), pa.array(shares, pa.float64()), pa.array(marks, kind)], names=["doc_id", "item_id", "coverage", "tiles"])
-
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    return _tiled(docs, benchmark, coverage, least).drop("th")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
-    """docs without those that contaminated() would name."""
-    for block in blocks(benchmark, least):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), coverage)(F.col("text")))
-    return docs
-
-
-def _clean(shared, coverage: float):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not tilings(t, shared.value, coverage) for t in texts], dtype=bool)
-
-    return clean
+    """docs without those that contaminated() would name; all columns of docs are kept."""
+    bad = written(_tiled(docs.select("doc_id", "text"), benchmark, coverage, least).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "contaminated")
+    th = fresh("th", [*docs.columns, "_id", "_th"])
+    rows = docs.withColumn(th, F.xxhash64("text"))
+    return rows.join(bad, (rows[th] == bad["_th"]) & rows["doc_id"].eqNullSafe(bad["_id"]), "left_anti").select(*docs.columns)
