@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 #: Hash bits, embedding width, and the bound on labelled rows that a model is fitted on: so many a language, so many languages.
-BITS, WIDTH, ROWS_A_LANGUAGE, LANGUAGES = 14, 16, 400, 64
+BITS, WIDTH, ROWS_A_LANGUAGE, LANGUAGES = 14, 16, 400, 256
 #: Share of rightly labelled validation documents that may fall under the rejection threshold.
 REJECTED = 0.002
 UNDETERMINED = "und"
@@ -67,11 +67,15 @@ def training_rows(labelled: DataFrame, lang: str = "lang") -> pd.DataFrame:
     """lang, hashes, counts of a sample for fit(): at most ROWS_A_LANGUAGE of each of the LANGUAGES commonest languages.
 
     The sample goes by the hash of text and id: the least hashes of each language set a limit, and only rows under it
-    have their whole texts turned into counts, where they are. Repeated rows count once.
+    have their whole texts turned into counts, where they are. Only rows under a first, rougher limit, by the number
+    of a language's rows, are put in order, so that no language's rows meet in one task. Repeated rows count once.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    named = F.broadcast(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang"))
-    rows = rows.join(named, "lang")
+    # hashes are even over the longs: under this limit lie about twice the rows wanted, whatever a language has
+    named = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), 2.0 * ROWS_A_LANGUAGE / F.col("d"))
+    named = F.broadcast(named.select("lang", (share * 2.0**64 - 2.0**63).alias("about")))
+    rows = rows.join(named, "lang").where(F.col("h").cast("double") <= F.col("about")).drop("about")
     first = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= ROWS_A_LANGUAGE)
     limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))  # a row a language
     rows = rows.join(limits, "lang").where("h <= limit")
