@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     order of finish time, in ranges, and taken until `share` times all words are used up.
 
     Returns doc_id, source, size, source_size, target, copies (times it is taken) and taken (words). Null texts and
-    texts without words have size 0 and take 0 words; null sources are one source, null ids
+    texts without words have size 0, no turn in the queue and 0 copies; null sources are one source, null ids
     come first in a tie, repeated rows are documents of their own, an empty table gives an empty result. Other
     columns of docs are not read.
     """
@@ -77,29 +79,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     budget = int(share * whole["words"])
     # buckets follow the number of documents: hexadecimal digits of the key in front
     digits = max(1, len(f"{whole['n'] // BUCKET_ROWS:x}"))
-    d = d.withColumn("bucket", F.substring("key", 1, digits)).withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    # null ids share a key: their rows go to buckets by size, between those of lesser and of greater keys
+    null_key, front = md5(b"").hexdigest(), F.substring("key", 1, digits)
+    after = F.when((front == null_key[:digits]) & (F.col("key") > null_key), "~").otherwise("")
+    bucket = F.when(F.col("doc_id").isNull(), F.concat(front, F.lit("="), F.lpad(F.col("size").cast("string"), 19, "0"))).otherwise(F.concat(front, after))
+    d = d.withColumn("bucket", bucket).withColumn("g", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     d = running(d, ["g"], "bucket", ["key", F.col("doc_id").asc_nulls_first(), "size", *more], "size", "cum", "place")
     d = d.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    # one row for each time that a document stands in the queue
-    q = d.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(most)])))
-    finish = F.when(F.col("target") > 0, (F.col("source_size") * F.col("turn") + F.col("cum")) / F.col("target")).otherwise(F.lit(0.0))
+    # one row for each time that a document stands in the queue; those without words don't stand there
+    q = d.withColumn("turn", F.explode_outer(F.when(F.col("size") > 0, F.array(*[F.lit(i) for i in range(most)]))))
+    finish = F.try_divide(F.col("source_size") * F.col("turn") + F.col("cum"), F.col("target"))
     slices = max(1, whole["n"] * most // BUCKET_ROWS)
-    q = q.withColumn("finish", finish).withColumn("slice", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("long"))
+    # ranges of finish times: even ones up to 2, then as many for each doubling, as a source of a small weight ends late
+    late = F.lit(2 * slices) + F.floor(F.log2(F.greatest(F.col("finish"), F.lit(2.0)) / 2) * slices)
+    piece = F.when(F.col("finish") < 2, F.floor(F.col("finish") * slices)).otherwise(late)
+    idle = -1 - F.pmod(F.xxhash64("key", "g", "place"), F.lit(slices))
+    q = q.withColumn("finish", finish).withColumn("slice", F.when(F.col("turn").isNull(), idle).otherwise(piece).cast("long"))
     q = running(q.withColumn("queue", F.lit(0)), ["queue"], "slice", ["finish", "key", F.col("doc_id").asc_nulls_first(), "g", "place", "turn"], "size", "used", "at")
     # the turns of a row meet again by its place in the queue of its source
     row = ["doc_id", "source", "size", "source_size", "target", *more]
-    rows = q.groupBy("g", "bucket", "place", *row).agg(F.sum((F.col("used") <= budget).cast("long")).alias("copies"))
+    rows = q.groupBy("g", "bucket", "place", *row).agg(F.sum((F.col("turn").isNotNull() & (F.col("used") <= budget)).cast("long")).alias("copies"))
     return rows.select(*row, "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """docs, each row as often as mix() takes it, and none that it does not take; all columns of docs are kept.
 
-    Rows find their own by a hash of all columns; of rows alike in everything, any takes the place of any.
+    Rows find their own by a hash of all columns but those that hold maps; of rows alike in these, any takes the place
+    of any. Documents without words are not taken.
     """
     tag, n, copies = (fresh(c, docs.columns) for c in ("tag", "n", "copies"))
     alike = W.partitionBy(tag)
-    tagged = docs.withColumn(tag, F.xxhash64(*docs.columns))
+    tagged = docs.withColumn(tag, F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]))
     taken = mix(tagged.select("doc_id", "text", "source", F.col(tag).alias("tag")), weights, share, most, tag="tag").where("copies > 0")
     taken = taken.select(F.col("tag").alias(tag), F.col("copies").cast("int").alias(copies)).withColumn(n, F.row_number().over(alike.orderBy(F.desc(copies))))
     tagged = tagged.withColumn(n, F.row_number().over(alike.orderBy("doc_id")))
