@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import shuffle_partitions, written
+from .common import fresh, shuffle_partitions, written
 from .components import components
 
-#: Fingerprints that a leaf of the upper trie holds, about; its pairs are what one step of a task joins.
-LEAF = 4096
+#: Fingerprints of one piece of a trie: pairs of pieces are what one step of a task joins.
+PIECE = 4096
+#: Fingerprints that share the first bits of a trie, about, at most.
+CROWD = 64
 SEED = 42
 #: Bands of a sketch and least hashes in each: of pairs of a similarity of 0.8, 1 - (1 - 0.8**4)**24 (all but 3 in a million) share a band's key.
 BANDS, ROWS = 24, 4
-_ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -43,28 +44,37 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(a), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of every row of docs; letters A-Z count as a-z; null texts have no words."""
+def fingerprints(docs: DataFrame, words: int = 3, bands: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text, null as empty), fp (the 64 bits as a long) of every row of docs, and with bands, the
+    text's sketch (none where it has fewer than `words` words); letters A-Z count as a-z; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", words) for t in b["text"].cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.record_batch([b["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            data = b["text"].cast(pa.binary()).to_pylist()
+            out = [b["doc_id"], b["th"], pa.array(np.array([fingerprint(t, words) for t in data], np.uint64).view(np.int64))]
+            if bands:
+                out.append(pa.array([sketch(s).view(np.int64) if len(s) else None for s in (shingles(t, words) for t in data)], pa.list_(pa.int64())))
+            yield pa.record_batch(out, names=["doc_id", "th", "fp", "bands"][: len(out)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long" + ", bands array<long>" * bands)
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int = 0, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the pairs of a and b (sorted uint64; None: a with itself, each pair once) that differ in `bits` or fewer.
 
-    Pairs of trie nodes go down together, bit by bit from depth; the bits in which their paths differ are counted,
-    and a pair of nodes ends where the count is over the budget. Nodes with few leaves are compared leaf by leaf.
+    Pairs of trie nodes go down together, bit by bit from depth, up to which all of a and b agree or differ alike; the
+    bits in which their paths differ are counted, and a pair of nodes ends where the count is over the budget. Nodes
+    with few leaves are compared leaf by leaf. With cuts (places in a), the nodes between two cuts, which agree up to
+    depth, each start with themselves, and nothing is compared over a cut.
     """
     same = b is None
     b = a if same else b
-    lo_a, hi_a, lo_b, hi_b = (np.array([x]) for x in (0, len(a), 0, len(b)))
+    lo_a, hi_a = (np.array([0]), np.array([len(a)])) if cuts is None else (cuts[:-1], cuts[1:])
+    lo_b, hi_b = (lo_a, hi_a) if same else (np.array([0]), np.array([len(b)]))
     top = np.uint64(a[0] ^ b[0]) >> np.uint64(64 - depth) if depth else np.uint64(0)
-    diff = np.array([int(top).bit_count()])
+    diff = np.full(len(lo_a), 0 if same else int(top).bit_count())
     found_a, found_b = [], []
     for bit in range(63 - depth, -1, -1):
         small = ((hi_a - lo_a) * (hi_b - lo_b) <= 16) & (diff <= bits)
@@ -77,7 +87,7 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tup
         if not len(diff):
             break
         one, mask = np.uint64(1 << bit), np.uint64((1 << 64) - (2 << bit) if bit < 63 else 0)
-        mid_a, mid_b = np.searchsorted(a, (a[lo_a] & mask) | one), np.searchsorted(b, (b[lo_b] & mask) | one)
+        mid_a, mid_b = (_middle(v, lo, hi, (v[lo] & mask) | one) for v, lo, hi in ((a, lo_a, hi_a), (b, lo_b, hi_b)))
         kids = [(lo_a, mid_a, lo_b, mid_b, diff), (mid_a, hi_a, mid_b, hi_b, diff), (lo_a, mid_a, mid_b, hi_b, diff + 1), (mid_a, hi_a, lo_b, mid_b, diff + 1)]
         if same:  # of a node with itself, one of the two mixed pairs
             kids[3] = tuple(x[lo_a != lo_b] for x in kids[3])
@@ -93,7 +103,18 @@ def trie_join(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tup
     return x, y
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _middle(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The first place in each lo..hi of v with `value` at least: v is sorted in each, not as a whole."""
+    lo, hi = lo.copy(), hi.copy()
+    while len(at := np.flatnonzero(lo < hi)):
+        mid = (lo[at] + hi[at]) // 2
+        less = v[mid] < value[at]
+        lo[at[less]] = mid[less] + 1
+        hi[at[~less]] = mid[~less]
+    return lo
+
+
+def trie_pairs(a: np.ndarray, b: np.ndarray | None, bits: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """trie_join() in pieces of a, so that the node pairs of a larger budget stay in memory."""
     step = 4096 if bits <= 2 else 512
     found = []
@@ -134,70 +155,98 @@ def spanning(nodes: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
+def tries(bits: int, n: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(bits in front, blocks as (shift, width) in their new order) of the tries in which every pair that differs in `bits` bits or
+    fewer agrees in front in one at least: the 64 bits are cut into blocks, of which such a pair has all but `bits` alike.
+
+    There are as few blocks as leave about CROWD of n even fingerprints that agree in front.
+    """
+    blocks = next((m for m in range(bits + 1, 16) if (n / CROWD) <= 2.0 ** (64 * (m - bits) // m)), 16)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    cut = list(zip(edges, np.diff(edges).tolist()))
+    out = []
+    for front in combinations(range(blocks), blocks - bits):
+        order = [*front, *[k for k in range(blocks) if k not in front]]
+        out.append((sum(cut[k][1] for k in front), [cut[k] for k in order]))
+    return out
+
+
+def _turned(fp: Column, order: list[tuple[int, int]]) -> Column:
+    """The blocks of fp in another order, the first at the top."""
+    out, at = F.lit(0).cast("long"), 64
+    for shift, width in order:
+        at -= width
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)), at))
+    return out
+
+
+def _turned_back(v: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    out, at = np.zeros(len(v), np.uint64), 64
+    for shift, width in order:
+        at -= width
+        out |= ((v >> np.uint64(at)) & np.uint64((1 << width) - 1)) << np.uint64(shift)
+    return out
+
+
 def near_pairs(fps: DataFrame, bits: int = 2, forest: bool = False) -> DataFrame:
     """a, b (fp of a below fp of b, as unsigned): all pairs of the distinct longs `fp` that differ in 1 to `bits` bits.
 
-    Upper levels of the trie are Spark's: fingerprints lie in leaves by their first bits, and only pairs of leaves
-    whose paths differ in `bits` bits or fewer meet. With forest, the links of each pair of leaves are thinned to
-    those that keep its fingerprints connected; no connection is lost.
+    Each trie (see tries()) has the bits in another order. Spark brings together what agrees in front, and below that,
+    pairs of nodes go down together (trie_join). Of a node with many fingerprints Spark deals out pairs of pieces.
+    With forest, links are thinned to those that keep fingerprints connected; no connection is lost.
     """
     spark = fps.sparkSession
     distinct = written(fps.select("fp").where("fp is not null").distinct(), "fingerprints")
-    n = distinct.count()
-    depth = max(0, min(20, math.ceil(math.log2(max(1, n / LEAF)))))
-    parts = shuffle_partitions(spark)
-    ordered = distinct.withColumn("u", F.col("fp").bitwiseXOR(F.lit(-(2**63))))  # signed order is then that of the bits
-    ordered = ordered.repartitionByRange(parts, "u").sortWithinPartitions("u").select("fp")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.uint64)
-
-        def leaves(a: np.ndarray, last: bool) -> tuple[list, np.ndarray]:
-            path = (a >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(a), np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(a)]
-            out = []
-            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                whole = y if last or i < len(cuts) - 2 else x + (y - x) // (2 * LEAF) * 2 * LEAF
-                out += [(int(path[j]), a[j : min(j + 2 * LEAF, whole)]) for j in range(x, whole, 2 * LEAF)]
-                x = whole
-            return out, a[x:] if len(a) else a
-
-        def table(rows: list) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([p for p, _ in rows], pa.int64()), pa.array([int(x[:1].view(np.int64)[0]) for _, x in rows], pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["path", "leaf", "fps"])
-
+    made = tries(bits, distinct.count())
+    tagged = [F.struct(F.lit(k).alias("trie"), F.shiftrightunsigned(_turned(F.col("fp"), order), 64 - front).alias("path"), _turned(F.col("fp"), order).alias("v")) for k, (front, order) in enumerate(made)]
+    rows = distinct.select(F.explode(F.array(*tagged)).alias("t")).select("t.*")
+    several = written(rows.groupBy("trie", "path").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    rows = rows.join(several.hint("merge"), ["trie", "path"]).withColumn("pieces", F.ceil(F.col("n") / PIECE))
+    whole = rows.where("pieces = 1").groupBy("trie", "path").agg(F.collect_list("v").alias("v"))
+
+    def links(trie: int, v: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if forest:
+            root = spanning(len(v), x, y)
+            y = np.flatnonzero(root != np.arange(len(v)))
+            x = root[y]
+        p, q = (_turned_back(v[z], made[trie][1]) for z in (x, y))
+        if len(p):
+            yield pa.record_batch([pa.array(np.minimum(p, q).view(np.int64)), pa.array(np.maximum(p, q).view(np.int64))], names=["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, held = leaves(np.concatenate([held, b["fp"].to_numpy(zero_copy_only=False).view(np.uint64)]), False)
-            if rows:
-                yield table(rows)
-        rows, held = leaves(held, True)
-        if rows:
-            yield table(rows)
-
-    leaves = written(ordered.mapInArrow(pack, "path long, leaf long, fps binary"), "leaves")
-    flips = [0, *[1 << i for i in range(depth)], *[(1 << i) | (1 << j) for i in range(depth) for j in range(i)]] if bits == 2 else [m for m in range(1 << depth) if m.bit_count() <= bits]
-    left = leaves.withColumn("other", F.explode(F.transform(F.array(*[F.lit(m).cast("long") for m in flips]), lambda m: F.col("path").bitwiseXOR(m)))).where("other >= path")
-    right = leaves.select(F.col("path").alias("other"), F.col("leaf").alias("leaf_b"), F.col("fps").alias("fps_b"))
-    met = left.hint("shuffle_merge").join(right, "other").where("other > path or leaf_b >= leaf").repartition(parts)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                a = np.frombuffer(r["fps"], np.uint64)
-                b = None if r["leaf"] == r["leaf_b"] else np.frombuffer(r["fps_b"], np.uint64)
-                # a leaf may be cut into several of one path: the same start of the paths, whatever comes after it
-                x, y = trie_pairs(a, b, bits, depth)
-                if not len(x):
-                    continue
-                both = a if b is None else np.concatenate([a, b])
-                y = y if b is None else y + len(a)
-                if forest:
-                    root = spanning(len(both), x, y)
-                    y = np.flatnonzero(root != np.arange(len(both)))
-                    x = root[y]
-                p, q = both[x], both[y]
-                yield pa.record_batch([pa.array(np.minimum(p, q).view(np.int64)), pa.array(np.maximum(p, q).view(np.int64))], names=["a", "b"])
-
-    return met.select("leaf", "fps", "leaf_b", "fps_b").mapInArrow(join, "a long, b long")
+            kind = b["trie"].to_numpy(zero_copy_only=False)
+            size = b["v"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            v = b["v"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            node = np.repeat(np.arange(len(size)), size)
+            v, ends = v[np.lexsort((v, node))], np.cumsum(size)
+            i = 0
+            while i < len(size):  # nodes of one trie, some thousand fingerprints of them at a time
+                first, j = ends[i] - size[i], i + 1
+                while j < len(size) and kind[j] == kind[i] and ends[j] - first <= PIECE:
+                    j += 1
+                part = v[first : ends[j - 1]]
+                yield from links(int(kind[i]), part, *trie_join(part, None, bits, made[kind[i]][0], np.concatenate([[0], ends[i:j] - first])))
+                i = j
+
+    pieces = rows.where("pieces > 1").withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces"))).groupBy("trie", "path", "piece").agg(F.collect_list("v").alias("v"))
+    pieces = written(pieces, "pieces")
+    other = pieces.select("trie", "path", F.col("piece").alias("piece_b"), F.col("v").alias("w"))
+    met = pieces.hint("shuffle_merge").join(other, ["trie", "path"]).where("piece_b >= piece").repartition(shuffle_partitions(spark))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                trie = b["trie"][k].as_py()
+                one, two = (np.sort(b[c][k].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("v", "w"))
+                if b["piece"][k] == b["piece_b"][k]:
+                    yield from links(trie, one, *trie_pairs(one, None, bits, made[trie][0]))
+                else:
+                    x, y = trie_pairs(one, two, bits, made[trie][0])
+                    yield from links(trie, np.concatenate([one, two]), x, y + len(one))
+
+    found = whole.mapInArrow(within, "a long, b long").union(met.select("trie", "piece", "piece_b", "v", "w").mapInArrow(across, "a long, b long"))
+    return found if forest else found.distinct()
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -211,48 +260,50 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """A key for each band: the hash of the least of s in each of ROWS orders. Sets of a Jaccard similarity j share a band's with a chance of j**ROWS."""
-    least = np.concatenate([rolling.mixed(s[None, :] ^ m[:, None]).min(axis=1) for m in np.array_split(_ORDERS, 10)]).reshape(BANDS, ROWS)
+    """A key for each band of the sorted distinct hashes s: of ROWS least hashes. Sets of a Jaccard similarity j share a band's with a chance of j**ROWS.
+
+    The hashes are cut into BANDS * ROWS bins by their upper bits, each with a least hash; an empty bin takes that of
+    another, tried in an order of its own until one is not empty.
+    """
+    n = BANDS * ROWS
+    edges = (np.arange(n, dtype=np.float64) / n * 2.0**64).astype(np.uint64)
+    at = np.searchsorted(s, edges)
+    filled = np.diff(np.append(at, len(s))) > 0
+    donor = np.arange(n)
+    for tries_ in range(1, 1 << 16):
+        empty = np.flatnonzero(~filled[donor])
+        if not len(empty):
+            break
+        donor[empty] = (rolling.mixed(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(tries_)) % np.uint64(n)).astype(np.int64)
+    least = s[at[donor]].reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         key = rolling.mixed(key * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
     return key
 
 
-def similar_links(docs: DataFrame, words: int, share: float) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float, bits: int) -> DataFrame:
     """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets.
 
-    Candidates are the texts that share a band's key; each is compared with the least and the greatest of its key, so
-    that a key of n texts makes 2 * n pairs. Texts of fewer than `words` words have no shingles here.
+    prints: what fingerprints() gives for docs, with bands. Candidates are the texts that share a band's key; each is
+    compared with the least and the greatest of its key (by a hash), so that a key of n texts makes 2 * n pairs, less
+    those that the trie links at `bits` bits. Texts of fewer than `words` words have no shingles here.
     """
-    texts = docs.select(F.xxhash64("text").alias("t"), "text").where("text is not null")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, bands = [], []
-            for t, text in zip(b["t"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                s = shingles(text, words)
-                if len(s):
-                    ids.append(t), bands.append(sketch(s).view(np.int64))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["t", "bands"])
-
-    bands = written(texts.mapInArrow(keys, "t long, bands array<long>").dropDuplicates(["t"]), "bands")
-    each = bands.select("t", F.explode("bands").alias("band"))
+    each = prints.where("bands is not null").select(F.struct(F.col("th").alias("t"), F.col("fp").alias("f")).alias("t"), F.explode("bands").alias("band"))
     ends = written(each.groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi"), "ends")
-    met = each.join(ends.hint("merge"), "band").select("t", F.explode(F.array("lo", "hi")).alias("o")).where("t <> o")
-    pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct(), "candidates")
-    named = pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct()
+    met = each.join(ends.hint("merge"), "band").select("t", F.explode(F.array("lo", "hi")).alias("o")).where(F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits)
+    pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct().select(F.col("x.t").alias("x"), F.col("x.f").alias("a"), F.col("y.t").alias("y"), F.col("y.f").alias("b")), "candidates")
+    named = written(pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct(), "candidate_texts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = b["text"].cast(pa.binary()).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in data], np.uint64).view(np.int64)
-            yield pa.record_batch([b["t"], pa.array(fps), pa.array([shingles(t, words).tobytes() for t in data], pa.binary())], names=["t", "fp", "s"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield pa.record_batch([part["t"], pa.array([shingles(t, words).tobytes() for t in part["text"].cast(pa.binary()).to_pylist()], pa.binary())], names=["t", "s"])
 
-    held = texts.join(named.hint("merge"), "t", "left_semi").dropDuplicates(["t"])
-    held = written(held.mapInArrow(sets, "t long, fp long, s binary"), "sets")
-    left = held.select(F.col("t").alias("x"), F.col("fp").alias("a"), F.col("s").alias("p"))
-    right = held.select(F.col("t").alias("y"), F.col("fp").alias("b"), F.col("s").alias("q"))
+    text = F.coalesce("text", F.lit(""))
+    held = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(named.hint("merge"), "t", "left_semi")
+    held = written(held.mapInArrow(sets, "t long, s binary").groupBy("t").agg(F.any_value("s").alias("s")), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,8 +314,20 @@ def similar_links(docs: DataFrame, words: int, share: float) -> DataFrame:
                 good.append(both >= share * (len(u) + len(v) - both))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = written(pairs.join(left.hint("merge"), "x").select("y", "a", "p"), "halves")
-    return one.join(right.hint("merge"), "y").where("a <> b").select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long")
+    one = pairs.join(held.select(F.col("t").alias("x"), F.col("s").alias("p")).hint("merge"), "x")
+    two = one.join(held.select(F.col("t").alias("y"), F.col("s").alias("q")).hint("merge"), "y")
+    return two.select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long")
+
+
+def _classes(docs: DataFrame, words: int, bits: int, share: float | None) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and fp, root: the least fingerprint (as a long) that is linked with each over any number of links."""
+    prints = written(fingerprints(docs, words, share is not None), "simhash")
+    links = near_pairs(prints, bits, forest=True)
+    if share is not None:
+        links = links.union(written(similar_links(docs, prints, words, share, bits), "similar"))
+    roots = components(links)  # node, root
+    ids = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return prints.select("doc_id", "th", "fp"), written(ids, "classes")
 
 
 def near_classes(docs: DataFrame, words: int = 3, bits: int = 2, share: float | None = None) -> DataFrame:
@@ -275,24 +338,29 @@ def near_classes(docs: DataFrame, words: int = 3, bits: int = 2, share: float |
     other; a class of null ids alone has a null component_id; repeated rows are returned as often as they come; an
     empty table gives an empty result. Other columns of docs are not read.
     """
-    fps = written(fingerprints(docs, words), "simhash")
-    links = near_pairs(fps, bits, forest=True)
-    if share is not None:
-        links = links.union(written(similar_links(docs, words, share), "similar"))
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links.select("a", "b"))  # node, root
-    ids = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = written(ids, "classes")
-    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = ids.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fps.join(classes, fps["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id")
+    prints, ids = _classes(docs, words, bits, share)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = ids.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(ids.join(least, "root").select("fp", "component_id"), "components")
+    return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2, share: float | None = None) -> DataFrame:
-    """docs with one row of each class: that with the smallest doc_id (null last, then by the hash of its text)."""
-    classes = near_classes(docs.select("doc_id", "text"), words, bits, share)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
+    """docs with one row of each class: that with the smallest doc_id (null last), then with the least hash of its text;
+    of rows alike in both, any one. All columns of docs are kept."""
+    prints, ids = _classes(docs.select("doc_id", "text"), words, bits, share)
+    one = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    keep = ids.join(one, "fp").groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"))
+    times = prints.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.count("*").alias("_n"))
+    keep = written(keep.join(times, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t"))).select("_id", "_th", "_n"), "kept")
+    th = fresh("th", [*docs.columns, "_id", "_th"])
+    rows = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = lambda k: (rows[th] == k["_th"]) & rows["doc_id"].cast("long").eqNullSafe(k["_id"])
+    single, repeated = keep.where("_n = 1"), keep.where("_n > 1")
+    out = rows.join(keep, own(keep), "left_semi")
+    if not repeated.isEmpty():  # rows alike in id and text: one of them stays
+        out = rows.join(single, own(single), "left_semi").union(rows.join(repeated, own(repeated), "left_semi").dropDuplicates(["doc_id", th]))
+    return out.select(*docs.columns)
 
 
 def hex_digits(fp):
