@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 
-#: Vectors a shard, queries a block (both on average, by hash), edges a node, beam while building and searching, relaxation.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 1024, 24, 40, 96, 1.2
+#: Vectors a shard (on average, by hash), edges a node, beam while building and searching, relaxation.
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 24, 40, 96, 1.2
 _INDEX = "dim int, shard int, vectors binary, graph binary, entries binary, owners array<array<long>>"
 
 
@@ -158,39 +158,48 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "v
     """query_id, rank, vec_id, score: of every usable query the k nearest that the beam searches of all shards find.
 
     A query never finds rows of its own id. Ties go to the smaller id; score is the Euclidean distance in doubles.
-    Queries go to the shards in blocks; what a shard finds for a query is k rows at most. Queries that are null, zero
+    A shard moves once, and all queries are read past it; what a shard finds for a query is k rows at most. Queries that are null, zero
     or hold a null or a number that isn't finite are left out; a query of a length that no shard has finds nothing;
     repeated queries count once.
     """
     v = F.transform(F.col(vector).cast("array<double>"), lambda x: x + 0.0)
     q = queries.select(F.col(query_id).cast("long").alias("id"), v.alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).distinct()
-    q = q.withColumn("dim", F.size("v"))
-    blocks = max(1, -(-q.count() // BLOCK))
-    packed = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("dim", "block").agg(F.collect_list("id").alias("query_ids"), F.flatten(F.collect_list("v")).alias("flat"))
+    q = q.select("id", "v", F.xxhash64("v").alias("vh"), F.size("v").alias("dim"))
     shards = index.groupBy("dim").agg((F.max("shard") + 1).alias("shards"))
-    packed = packed.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    to = q.join(shards, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    # each shard once, and behind it the queries, which go past it in batches
+    both = index.withColumn("query", F.lit(False)).unionByName(to.select("dim", "shard", "id", "v", "vh", F.lit(True).alias("query")), allowMissingColumns=True)
+    parts = max(shuffle_partitions(q.sparkSession), index.count())
+    both = both.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "query").select("query", "dim", "shard", "vectors", "graph", "entries", "owners", "id", "vh", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = graph = entries = owners = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
-                graph = np.frombuffer(r["graph"], np.int32).reshape(len(x), -1).astype(np.int64)
-                entries, ids, own = np.frombuffer(r["entries"], np.int32).astype(np.int64), np.array(r["query_ids"]), r["owners"]
-                vs = np.array(r["flat"]).reshape(-1, r["dim"])
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for part in np.array_split(np.arange(len(ids)), -(-len(ids) // 256)):
-                    near, _ = beam_search(x, graph, entries, vs[part], max(beam, 2 * k))
-                    for j, found in zip(part.tolist(), near, strict=True):
+            kind = batch["query"].to_numpy(zero_copy_only=False)
+            place = batch["dim"].to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch["shard"].to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((kind[1:] != kind[:-1]) | (place[1:] != place[:-1])) + 1
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows]):
+                if i == j:
+                    continue
+                if not kind[i]:
+                    x = np.frombuffer(batch["vectors"][i].as_py()).reshape(-1, batch["dim"][i].as_py())
+                    graph = np.frombuffer(batch["graph"][i].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
+                    entries, owners = np.frombuffer(batch["entries"][i].as_py(), np.int32).astype(np.int64), batch["owners"][i].as_py()
+                    continue
+                for at in range(i, j, 256):
+                    part = batch.slice(at, min(256, j - at))
+                    ids, vs = part["id"].to_pylist(), part["v"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    near, _ = beam_search(x, graph, entries, vs, max(beam, 2 * k))
+                    out: tuple[list, list, list, list] = ([], [], [], [])
+                    for own, vh, q_, found in zip(ids, part["vh"].to_pylist(), vs, near, strict=True):
                         found = found[found >= 0]
-                        score = np.sqrt(((x[found] - vs[j]) ** 2).sum(axis=1))
-                        rows = sorted((s, o) for s, f in zip(score.tolist(), found.tolist(), strict=True) for o in own[f] if o != ids[j])[:k]
-                        out[0].extend([int(ids[j])] * len(rows)), out[1].extend([vs[j]] * len(rows)), out[2].extend(o for _, o in rows), out[3].extend(s for s, _ in rows)
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "v", "vec_id", "score"])
-
-    met = packed.join(index, ["dim", "shard"]).repartition(shuffle_partitions(q.sparkSession)).select("dim", "query_ids", "flat", "vectors", "graph", "entries", "owners")
-    found = met.mapInArrow(run, "query_id long, v array<double>, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id", "v").orderBy("score", "vec_id"))
+                        score = np.sqrt(((x[found] - q_) ** 2).sum(axis=1))
+                        rows = sorted((s, o) for s, f in zip(score.tolist(), found.tolist(), strict=True) for o in owners[f] if o != own)[:k]
+                        out[0].extend([own] * len(rows)), out[1].extend([vh] * len(rows)), out[2].extend(o for _, o in rows), out[3].extend(s for s, _ in rows)
+                    yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "vh", "vec_id", "score"])
+
+    found = both.mapInArrow(run, "query_id long, vh long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id", "vh").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
