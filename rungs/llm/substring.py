@@ -36,28 +36,28 @@ def _chosen(data: bytes, length: int, short: int) -> tuple[np.ndarray, np.ndarra
 
 
 def repeated_seeds(rows: DataFrame, length: int, short: int) -> DataFrame:
-    """did, places: level one. Of each window of `length` words one inner window of `short` words stands for it, the one
+    """did, th, places: level one. Of each window of `length` words one inner window of `short` words stands for it, the one
     with the least hash, so that equal windows choose alike; those seen in one document alone are out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ids, places = [], [], []
-            for d, t in zip(b["did"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
+            hs, ids, ths, places = [], [], [], []
+            for d, th, t in zip(b["did"].to_pylist(), b["th"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
                 _, seeds, place, _, _ = _chosen(t, length, short)
                 if len(place):
                     hs.append(seeds[place] >> np.uint64(16))  # 48 bits: more would be no help, later levels check
-                    ids.append(np.full(len(place), d, np.int64))
+                    ids.append(np.full(len(place), d, np.int64)), ths.append(np.full(len(place), th, np.int64))
                     places.append(place.astype(np.int32))
             if hs:
-                yield pa.record_batch([_signed(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["h", "did", "place"])
+                yield pa.record_batch([_signed(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)), pa.array(np.concatenate(places))], names=["h", "did", "th", "place"])
 
-    seeds = rows.select("did", "text").mapInArrow(run, "h long, did long, place int")
+    seeds = rows.select("did", "th", "text").mapInArrow(run, "h long, did long, th long, place int")
     first = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
     first = written(first, "repeated")  # on its own, so that the join's hot keys can be split
-    return written(seeds.join(first.hint("merge"), "h").groupBy("did").agg(F.collect_list("place").alias("places")), "seeds")
+    return written(seeds.join(first.hint("merge"), "h").groupBy("did", "th").agg(F.collect_set("place").alias("places")), "seeds")
 
 
-def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
+def repeated_windows(rows: DataFrame, length: int = 13, short: int = 4) -> DataFrame:
     """did, th, first, n: runs of n windows of `length` words, from word `first` on, that also start in a document with a smaller did.
 
     rows: did, th, text. Level one keeps the windows of `short` words that two documents have; only these are extended to
@@ -81,15 +81,15 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataF
     whole = other.where("least < did").select("did", "th", "first", "n")
     # where a string is new, its windows are looked up one by one, among those of all strings
     new = first.select("at.did", "at.th", "at.first", "at.n").union(other.where("least = did").select("did", "th", "first", "n"))
-    new = new.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("places"))
+    new = new.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("places"))
     windows = written(_windows(rows, new, length), "windows")
     earliest = windows.groupBy("w1", "w2").agg(F.min("did").alias("least"), F.max("did").alias("last")).where("least < last").select("w1", "w2", "least")
     single = windows.join(written(earliest, "earliest").hint("merge"), ["w1", "w2"]).where("least < did").select("did", "th", "first", F.lit(1).alias("n"))
     return whole.union(single)
 
 
-def _over_text(rows: DataFrame, kept: DataFrame, on: list[str], each, schema: str) -> DataFrame:
-    """each(did, th, text, places) for every row that has places left, in batches."""
+def _over_text(rows: DataFrame, kept: DataFrame, each, schema: str) -> DataFrame:
+    """each(did, th, text, places) for every row that has places left, in batches. The places are those of one text, whatever its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,11 +100,11 @@ def _over_text(rows: DataFrame, kept: DataFrame, on: list[str], each, schema: st
                 if made:
                     yield pa.concat_batches(made) if len(made) > 1 else made[0]
 
-    return rows.select("did", "th", "text").join(kept.hint("merge"), on).select("did", "th", "text", "places").mapInArrow(run, schema)
+    return rows.select("did", "th", "text").join(kept.hint("merge"), ["did", "th"]).select("did", "th", "text", "places").mapInArrow(run, schema)
 
 
 def _doubled(rows: DataFrame, kept: DataFrame, length: int, short: int, now: int) -> DataFrame:
-    """did, places: the places left whose windows of `now` words, ending or starting at most so far from the place, two documents have."""
+    """did, th, places: the places left whose windows of `now` words, ending or starting at most so far from the place, two documents have."""
 
     def each(d: int, th: int, text: bytes, left: list) -> pa.RecordBatch | None:
         h, _, place, first, after = _chosen(text, length, short)
@@ -118,11 +118,11 @@ def _doubled(rows: DataFrame, kept: DataFrame, length: int, short: int, now: int
         fit = (start >= 0) & (start + now <= len(h))
         at = np.concatenate([place[right], place[back]])[fit]
         keys = rolling.spans(rolling.sums(h), start[fit], start[fit] + now)
-        return pa.record_batch([_signed(keys), pa.array(np.full(len(at), d, np.int64)), pa.array(at.astype(np.int32))], names=["h", "did", "place"])
+        return pa.record_batch([_signed(keys), pa.array(np.full(len(at), d, np.int64)), pa.array(np.full(len(at), th, np.int64)), pa.array(at.astype(np.int32))], names=["h", "did", "th", "place"])
 
-    grown = written(_over_text(rows, kept, ["did"], each, "h long, did long, place int"), "doubled")
+    grown = written(_over_text(rows, kept, each, "h long, did long, th long, place int"), "doubled")
     first = grown.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
-    return written(grown.join(written(first, "repeated").hint("merge"), "h").groupBy("did").agg(F.collect_set("place").alias("places")), "seeds")
+    return written(grown.join(written(first, "repeated").hint("merge"), "h").groupBy("did", "th").agg(F.collect_set("place").alias("places")), "seeds")
 
 
 def _strings(rows: DataFrame, kept: DataFrame, length: int, short: int) -> DataFrame:
@@ -135,9 +135,9 @@ def _strings(rows: DataFrame, kept: DataFrame, length: int, short: int) -> DataF
         if not len(first):
             return None
         f = [rolling.spans(rolling.sums(h, k), first, after + length - 1, k) for k in (0, 1)]
-        return pa.record_batch([pa.array(np.full(len(first), d, np.int64)), pa.array(np.full(len(first), th, np.int32)), pa.array(first.astype(np.int32)), pa.array((after - first).astype(np.int32)), _signed(f[0]), _upper(f[1])], names=["did", "th", "first", "n", "f1", "f2"])
+        return pa.record_batch([pa.array(np.full(len(first), d, np.int64)), pa.array(np.full(len(first), th, np.int64)), pa.array(first.astype(np.int32)), pa.array((after - first).astype(np.int32)), _signed(f[0]), _upper(f[1])], names=["did", "th", "first", "n", "f1", "f2"])
 
-    return _over_text(rows, kept, ["did"], each, "did long, th int, first int, n int, f1 long, f2 int")
+    return _over_text(rows, kept, each, "did long, th long, first int, n int, f1 long, f2 int")
 
 
 def _windows(rows: DataFrame, new: DataFrame, length: int) -> DataFrame:
@@ -148,12 +148,12 @@ def _windows(rows: DataFrame, new: DataFrame, length: int) -> DataFrame:
         first, n = np.array([[p["first"], p["n"]] for p in places], np.int64).T
         p = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
         w = [rolling.spans(rolling.sums(h, k), p, p + length, k) for k in (0, 1)]
-        return pa.record_batch([pa.array(np.full(len(p), d, np.int64)), pa.array(np.full(len(p), th, np.int32)), pa.array(p.astype(np.int32)), _signed(w[0]), _upper(w[1])], names=["did", "th", "first", "w1", "w2"])
+        return pa.record_batch([pa.array(np.full(len(p), d, np.int64)), pa.array(np.full(len(p), th, np.int64)), pa.array(p.astype(np.int32)), _signed(w[0]), _upper(w[1])], names=["did", "th", "first", "w1", "w2"])
 
-    return _over_text(rows, new, ["did", "th"], each, "did long, th int, first int, w1 long, w2 int")
+    return _over_text(rows, new, each, "did long, th long, first int, w1 long, w2 int")
 
 
-def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 13, short: int = 4) -> DataFrame:
     """doc_id, text (the words that stay, joined by a space), n_words, n_removed, spans of every row of docs.
 
     A word goes if a window of `length` words over it also starts in a row with a smaller doc_id; windows are judged
@@ -161,9 +161,9 @@ def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame
     every other and not below itself; rows that share a doc_id are never each other's earlier document; an empty
     table gives an empty result. Other columns of docs are not read.
     """
-    rows = keyed(docs).withColumn("th", F.hash("text"))  # half as long: it only parts rows of one id
+    rows = keyed(docs)
     found = repeated_windows(rows, length, short)
-    marks = written(found.groupBy("did", "th").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "spans")
+    marks = written(found.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
