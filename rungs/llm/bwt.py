@@ -236,8 +236,8 @@ def repeated_runs(rows: DataFrame, length: int = 400, most: int = MOST) -> DataF
     left = written(found.join(twice.hint("merge"), "core"), "anchors")
     strings = left.groupBy("core", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "place", "first", "after")).alias("at"))
     strings = written(strings, "strings")
-    several = strings.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    suffixes = written(shard_orders(rows, strings.join(several, "core"), length), "suffixes")
+    several = written(strings.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
+    suffixes = written(shard_orders(rows, strings.join(several.hint("merge"), "core"), length), "suffixes")
     # a string that is there twice is settled, but others may have one of its windows
     parts = merged(suffixes.where(F.col("kinds") <= most), length).union(one_by_one(suffixes.where(F.col("kinds") > most), length))
     single = strings.where("n = 1").select("core", "f1", "f2")
