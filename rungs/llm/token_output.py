@@ -21,8 +21,10 @@ from .common import new_path, shuffle_partitions
 BLOCK_IDS = 16_384
 #: Ids after which a chunk is closed; a document is never cut, so that one chunk may hold a longer document.
 CHUNK_IDS = 262_144
-#: Pieces of text whose ids a Python worker remembers.
-MEMORY = 500_000
+#: Characters of the longest piece of text, and bytes of pieces and ids, about, that a Python worker remembers.
+LONGEST, MEMORY = 64, 96 << 20
+#: Bytes that an entry takes besides its text and ids.
+_ENTRY = 200
 
 _FILES = "shard int, chunk int, n_docs int, n_ids long, doc_ids array<long>, n_tokens array<int>, planes array<binary>, plane_kind string, block_ids int"
 _ROWS = "doc_id long, shard int, chunk int, offset long, n_tokens long, ids_crc32 long"
@@ -49,6 +51,7 @@ class Encoder:
         self.model, self.split = t.model, t.pre_tokenizer and t.pre_tokenizer.pre_tokenize_str
         self.memory: dict[str, bytes] = {}  # of what stands after a space
         self.words: dict[str, bytes] = {}  # of words as the model sees them
+        self.size = [0, 0]  # bytes of both
         # the letters that byte-level models have for bytes: printable ones stay, the others follow after 255
         odd = iter(range(256, 512))
         self.letters = {b: chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b else chr(next(odd)) for b in range(256)}
@@ -68,12 +71,7 @@ class Encoder:
         try:
             after = b"".join(map(memory.__getitem__, rest))
         except KeyError:
-            if len(memory) + len(rest) > MEMORY:
-                memory.clear()
-            for x in rest:
-                if x not in memory:
-                    memory[x] = self.piece(" " + x, x)
-            after = b"".join(map(memory.__getitem__, rest))
+            after = b"".join([self.remembered(x) for x in rest])
         return self.piece(first, first) + after
 
     #: White space before a space, as the library sees it; and cuts before a space that follows anything else.
@@ -83,6 +81,22 @@ class Encoder:
     #: The pattern of byte-level BPE, for Latin letters; the library's own is asked about everything else.
     _latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 
+    def remembered(self, x: str) -> bytes:
+        ids = self.memory.get(x)
+        if ids is None:
+            ids = self.piece(" " + x, x)
+            self.keep(0, self.memory, x, ids)
+        return ids
+
+    def keep(self, which: int, memory: dict[str, bytes], x: str, ids: bytes) -> None:
+        """Remembers the ids of x, unless x is long; forgets everything first where there is no room."""
+        if len(x) <= LONGEST:
+            if self.size[which] > MEMORY // 2:
+                memory.clear()
+                self.size[which] = 0
+            memory[x] = ids
+            self.size[which] += len(x) + len(ids) + _ENTRY
+
     def piece(self, piece: str, core: str) -> bytes:
         if piece and max(piece) < "\u0250":
             words = [piece] if core.isalpha() else self._latin.findall(piece)
@@ -92,9 +106,7 @@ class Encoder:
     def word(self, word: str, mapped: str) -> bytes:
         ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if word:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = ids
+            self.keep(1, self.words, word, ids)
         return ids
 
 
