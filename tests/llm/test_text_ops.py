@@ -48,6 +48,16 @@ def test_substring_words(spark):
         assert got == sorted(want)
 
 
+@pytest.mark.parametrize("short", [2, 3, 7])
+def test_substring_with_other_first_lengths(spark, short):
+    docs = some_docs(11)
+    rows = sorted(map(str, substring.drop_repeats(frame(spark, docs), 9, 4).collect()))
+    assert sorted(map(str, substring.drop_repeats(frame(spark, docs), 9, short).collect())) == rows
+    # texts without an id are each their own
+    nulls = [(None, t) for _, t in docs]
+    assert all(x.n_removed == 0 for x in substring.drop_repeats(frame(spark, nulls), 9, short).collect())
+
+
 def test_substring_of_a_stretch_that_one_document_has_twice(spark):
     r = random.Random(11)
     for _ in range(3):
@@ -165,17 +175,61 @@ def test_decontamination(spark):
     clean = tiling.decontaminate(frame(spark, docs), bench)
     assert clean.columns == frame(spark, docs).columns
     assert sorted(r.doc_id for r in clean.collect()) == [3, 5, 6, 7]
+    named = spark.createDataFrame([("d", " ".join(words[:20]), {"k": 1}), ("e", "clean", None)], "doc_id string, text string, th map<string,int>")
+    assert [x.doc_id for x in tiling.decontaminate(named, bench).collect()] == ["e"]
     assert tiling.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
     assert tiling.decontaminate(frame(spark, docs), bench.limit(0)).count() == len(docs)
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(tiling, "BLOCK_WORDS", 1)
-    words = [f"w{k}" for k in range(12)]
-    bench = spark.createDataFrame([(1, " ".join(words[:6])), (2, " ".join(words[6:]))], "item_id long, text string")
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, "none of it")], "doc_id long, text string")
-    assert sorted((r.doc_id, r.item_id) for r in tiling.contaminated(docs, bench).collect()) == [(1, 1), (1, 2)]
-    assert [r.doc_id for r in tiling.decontaminate(docs, bench).collect()] == [2]
+def brute_tiling(own, words, least):
+    """Words of own under greedy tiles: the longest common run of unmarked words first, leftmost in own, then in words."""
+    free, there, got = [True] * len(own), [True] * len(words), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(own)):
+            for j in range(len(words)):
+                k = 0
+                while i + k < len(own) and j + k < len(words) and free[i + k] and there[j + k] and own[i + k] == words[j + k]:
+                    k += 1
+                best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < least:
+            return got
+        free[i : i + k] = [False] * k
+        there[j : j + k] = [False] * k
+        got += k
+
+
+@pytest.mark.parametrize("bits", [6, 26])
+def test_contaminated_is_what_brute_force_finds(spark, monkeypatch, bits):
+    monkeypatch.setattr(tiling, "FILTER_BITS", bits)  # with 6, nearly everything passes the filter
+    r = random.Random(21)
+    items = [(k, " ".join(r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.randrange(1, 30)))) for k in range(12)] + [(3, "a b c d e f"), (None, "a b c d e f"), (50, None), (51, ""), (52, "...")]
+    docs = []
+    for i in range(60):
+        w = [r.choice("abcdefgh") + str(r.randrange(3)) for _ in range(r.randrange(0, 30))]
+        for _ in range(r.randrange(3)):  # parts of an item, in any order
+            own = r.choice(items)[1] or ""
+            own = own.split()
+            cut = r.randrange(len(own) + 1)
+            w += own[cut:] + [f"x{i}"] * r.randrange(2) + own[:cut]
+        docs.append((i, " ".join(w) or None))
+    docs += [(None, items[4][1]), (7, items[5][1]), (7, items[5][1]), (90, "A, b; c! D e (f)"), (91, items[0][1] + " more")]
+    bench = spark.createDataFrame([(k, t, 9) for k, t in items], "item_id int, text string, row int")
+    want = []
+    for d, t in docs:
+        words = tiling.plain(t).split()
+        for k, item in items:
+            own = tiling.plain(item).split()
+            least = min(5, len(own))
+            if own and (words == own if len(own) < 5 else brute_tiling(own, words, least) >= 0.8 * len(own)):
+                want.append((d, k))
+    got = tiling.contaminated(frame(spark, docs), bench)
+    assert sorted(map(str, ((x.doc_id, x.item_id) for x in got.collect()))) == sorted(map(str, want))
+    assert dict(got.dtypes)["item_id"] == "int" and len(want) > 10
+    clean = tiling.decontaminate(frame(spark, docs), bench)
+    out = {d for d, _ in want}
+    assert sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(d) for d, t in docs if d not in out)
 
 
 def brute_mix(docs, weights=(3, 1, 2), share=1.5, most=2):
@@ -215,8 +269,18 @@ def test_mix_targets_and_words_taken(spark):
     assert whole.count() == sum(x.copies for x in rows)
 
 
+def test_mixing_keeps_map_columns_and_an_empty_source(spark):
+    docs = [(1, "a b c", "s", {"k": 1}), (2, "a", "s", None), (3, None, "none", {"k": 2}), (4, "", "none", {}), (5, "x y", None, {"k": 3})]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, tag map<string,int>")
+    rows = {x.doc_id: x for x in mixing.mix(df).collect()}
+    assert {k: rows[k].taken for k in (3, 4)} == {3: 0, 4: 0} and rows[3].target == 0
+    assert sum(x.taken for x in rows.values()) <= 9
+    whole = mixing.mixed_documents(df)
+    assert whole.columns == df.columns and {x.doc_id for x in whole.collect()} <= {1, 2, 5}
+
+
 def test_mixing_in_small_buckets_is_the_same(spark, monkeypatch):
-    docs = [(i, " ".join(["w"] * (i % 17)), f"s{i % 3}") for i in range(200)]
+    docs = [(i if i % 9 else None, " ".join(["w"] * (i % 17 if i % 3 else 1)), f"s{min(i % 40, 3)}") for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     whole = sorted(map(str, mixing.mix(df).collect()))
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
