@@ -61,10 +61,14 @@ def clean_enchant_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"^Enchanted:\s*", ""))
 
 
+#: The tags that end a line, `<br>` and these at their end.
+LINE_TAGS = ("div", "p", "td", "tr", "li")
+
+
 def strip_html(text: Column) -> Column:
-    """Block tags become line feeds, other tags go, runs of three and more line feeds become two; null if nothing is left."""
-    t = F.regexp_replace(text, r"(?i)<\s*(?:br|/p|/div|/li|/h[1-6])[^>]*>", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"\n{3,}", "\n\n")
+    """Tags that end a line become line feeds, other tags go, runs of three and more line feeds become two; null if nothing is left."""
+    t = F.regexp_replace(text, rf"(?i)<br\s*/?>|</(?:{'|'.join(LINE_TAGS)})>", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", ""), r"\n{3,}", "\n\n")
     return F.nullif(F.regexp_replace(t, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), F.lit(""))
 
 

@@ -47,8 +47,21 @@ def source_items(enchants: DataFrame) -> DataFrame:
     return enchants.where("source_item_id is not null").groupBy("enchantment_id").agg(F.min("source_item_id").alias("source_item_id"))
 
 
+def with_stubs(dim: DataFrame, rows: DataFrame, vendor: str, key: str, buckets: int = 256) -> DataFrame:
+    """dim and, for each vendor's id in rows that it lacks, a row with the id and a key of its own above all others; its
+    other columns are null. New keys are numbered in buckets, so that they are not all put in one order."""
+    new = rows.select(vendor).where(F.col(vendor).isNotNull()).distinct().join(dim.select(vendor), vendor, "left_anti")
+    new = new.withColumn("_b", F.pmod(F.xxhash64(vendor), F.lit(buckets))).withColumn("_k", F.row_number().over(W.partitionBy("_b").orderBy(vendor)))
+    sizes = new.groupBy("_b").agg(F.max("_k").alias("_n"))
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))  # a row a bucket
+    top = dim.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    kind = dim.schema[key].dataType
+    stubs = new.join(F.broadcast(starts), "_b").crossJoin(F.broadcast(top)).select(vendor, (F.col("_top") + F.col("_s") + F.col("_k")).cast(kind).alias(key))  # one row, a row a bucket
+    return dim.unionByName(stubs, allowMissingColumns=True)
+
+
 def repoint(rows: DataFrame, dim: DataFrame, vendor: str, key: str) -> DataFrame:
-    """rows with the surrogate key of dim (vendor, key) in place of the vendor's id; rows whose id dim lacks are left out."""
+    """rows with the surrogate key of dim (vendor, key; see with_stubs()) in place of the vendor's id; rows without an id are left out."""
     return rows.join(dim.select(vendor, key), vendor).drop(vendor)
 
 

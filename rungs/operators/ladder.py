@@ -121,6 +121,21 @@ def incomplete_talents(talents: DataFrame, translations: DataFrame, locale: str)
     return talents.where("icon is null").unionByName(talents.join(said, "talent_id", "left_anti")).dropDuplicates(["talent_id"])
 
 
+def newest_cycle(cycles: DataFrame) -> DataFrame:
+    """The newest cycle of each season: that created last, then that with the highest id."""
+    rest = F.struct(*[c for c in cycles.columns if c != "season_id"])
+    return cycles.groupBy("season_id").agg(F.max_by(rest, F.struct("created_at", "cycle_id")).alias("_c")).select("season_id", "_c.*")
+
+
+#: What a cycle is that isn't over.
+UNDER_WAY = ("syncing_leaderboards", "syncing_characters")
+
+
+def active_cycle(cycles: DataFrame) -> DataFrame:
+    """The newest cycle of each season among those under way."""
+    return newest_cycle(cycles.where(F.col("status").isin(*UNDER_WAY)))
+
+
 def last_cycles(cycles: DataFrame, n: int = 5) -> DataFrame:
     """The last n completed cycles with their seconds."""
     done = cycles.where("status = 'completed'").orderBy(F.desc("completed_at"), F.desc("cycle_id")).limit(n)

@@ -77,7 +77,7 @@ def natural_breaks(values: np.ndarray, k: int = 3) -> list[float]:
     for _ in range(k - 1):
         # the last class starts at s: the best split before it, and its own run
         total = np.concatenate([np.full((1, n), np.inf), cost[:-1, None] + run[1:]], axis=0)
-        total = np.where(j >= i, total, np.inf)
+        total = np.where(j >= i, total.round(9), np.inf)  # of splits that are equal but for rounding, the first
         starts.append(total.argmin(axis=0))
         cost = total.min(axis=0)
     at, out = n - 1, []
@@ -100,12 +100,13 @@ def jenks_tiers(usage: DataFrame, k: int = 3) -> DataFrame:
     return rows.groupBy("bracket", "spec_id").applyInPandas(tiers, f"bracket string, spec_id {dict(rows.dtypes)['spec_id']}, talent_id {dict(rows.dtypes)['talent_id']}, usage_pct double, tier string")
 
 
-def hero_tiers(usage: DataFrame, dim: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def hero_tiers(usage: DataFrame, dim: DataFrame, edges: DataFrame) -> DataFrame:
     """usage rows of hero nodes with component and tier: the connected part with the largest mean share (then the least
     node) is bis, choice nodes split; other parts are situational from a mean of 30 on, else common.
 
-    edges: node_id, prerequisite_id, of which those between present nodes of one bracket and spec count. Labels spread
-    along the edges until none changes; each round is written out.
+    edges: node_id, prerequisite_id, of which those between present nodes of one bracket and spec count. A label, the
+    least node known to be connected, spreads along the edges and then from label to label, until none changes: few
+    rounds, for long paths too. Each round is written out.
     """
     rows = node_rows(usage.where("talent_type = 'hero'"), dim)
     key = ["bracket", "spec_id"]
@@ -113,11 +114,16 @@ def hero_tiers(usage: DataFrame, dim: DataFrame, edges: DataFrame, most_rounds:
     pairs = edges.select(F.col("node_id").alias("a"), F.col("prerequisite_id").alias("b"))
     pairs = pairs.union(pairs.select("b", "a"))
     present = nodes.join(pairs, nodes["node_id"] == pairs["a"]).select(*key, "a", "b")
-    present = present.join(nodes.withColumnRenamed("node_id", "b"), [*key, "b"])
+    present = cut_lineage(present.join(nodes.withColumnRenamed("node_id", "b"), [*key, "b"]))
     labels = nodes.withColumn("component", F.col("node_id"))
-    for _ in range(most_rounds):
-        least = present.join(labels.withColumnRenamed("node_id", "b"), [*key, "b"]).groupBy(*key, F.col("a").alias("node_id")).agg(F.min("component").alias("_near"))
-        spread = labels.join(least, [*key, "node_id"], "left").withColumn("_new", F.least("component", "_near"))
+    while True:
+        # a node, and the node that is its label, hear of the labels beside it
+        ends = present.join(labels.withColumnRenamed("node_id", "a").withColumnRenamed("component", "_ca"), [*key, "a"]).join(labels.withColumnRenamed("node_id", "b").withColumnRenamed("component", "_cb"), [*key, "b"])
+        least = ends.select(*key, F.explode(F.array_distinct(F.array("a", "_ca"))).alias("node_id"), "_cb").groupBy(*key, "node_id").agg(F.min("_cb").alias("_near"))
+        spread = labels.join(least, [*key, "node_id"], "left").withColumn("_near", F.least("component", "_near"))
+        # what the label itself is labelled with
+        known = labels.select(*key, F.col("node_id").alias("_near"), F.col("component").alias("_far"))
+        spread = spread.join(known, [*key, "_near"]).withColumn("_new", F.least("_near", "_far"))
         spread = spread.select(*key, "node_id", F.col("_new").alias("component"), (F.col("_new") < F.col("component")).cast("int").alias("_moved"))
         spread = cut_lineage(spread)
         labels = spread.drop("_moved")

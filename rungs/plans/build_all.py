@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builds, cohort, popularity, talents, tiers
 from ..sources import tables
+from ..sources.scratch import cut_lineage
 
 
 @dataclass
@@ -28,7 +29,7 @@ def talent_frame(t: LadderTables, weighted: DataFrame) -> DataFrame:
     """Talent popularity after all steps: usage, builds, rank variants, stale variants, unresolvable rows, tiers."""
     usage = builds.with_build(builds.weighted_usage(weighted, t.talents, t.dim, t.assignments), builds.modal_build(weighted, t.talents), builds.modal_rank(weighted, t.talents))
     usage = talents.merge_rank_variants(usage, t.dim)
-    usage = talents.drop_unresolvable(talents.merge_stale_variants(usage, t.dim, t.assignments), t.dim, t.assignments).persist()
+    usage = cut_lineage(talents.drop_unresolvable(talents.merge_stale_variants(usage, t.dim, t.assignments), t.dim, t.assignments))
     keys = ["bracket", "spec_id", "talent_type", "talent_id"]
     by_type = tiers.budget_tiers(usage, t.dim).select(*keys, "tier")
     by_type = by_type.union(tiers.hero_tiers(usage, t.dim, t.edges).select(*keys, "tier")).union(tiers.jenks_tiers(usage).withColumn("talent_type", F.lit("pvp")).select(*keys, "tier"))
@@ -40,25 +41,21 @@ def build_all(t: LadderTables, path: str, cycle: int, top_n: int = 1000) -> Data
     """Builds item, enchant, gem and talent popularity with their trends against the live version, and publishes them as
     a cycle; either all are published or none. Returns the (bracket, spec) pairs without a hero row.
 
-    Both cohorts are computed once and kept while the aggregates read them.
+    Both cohorts and the talents' usage are computed once: they are checkpointed in the shared folder.
     """
     spark = t.entries.sparkSession
-    top = cohort.top_cohort(t.entries, "equipment_at", top_n).persist()
-    weighted = cohort.top_cohort(t.entries, "talents_at", top_n, weighted=True).persist()
-    try:
-        frames = {
-            "items": (popularity.popularity(top, t.items, popularity.ITEMS), ["bracket", "spec_id", "slot", "item_id"]),
-            "enchants": (popularity.popularity(top, t.items, popularity.ENCHANTS), ["bracket", "spec_id", "slot", "enchantment_id"]),
-            "gems": (popularity.popularity(top, t.sockets, popularity.GEMS), ["bracket", "spec_id", "slot", "socket_type", "gem_id"]),
-            "talents": (talent_frame(t, weighted), ["bracket", "spec_id", "talent_id"]),
-        }
-        out = {}
-        for name, (frame, keys) in frames.items():
-            before = tables.published(spark, path, name)
-            none = frame.select(*keys, "usage_pct").limit(0)
-            out[name] = popularity.with_previous(frame, none if before is None else before.select(*keys, "usage_pct"), keys)
-        tables.publish(out, path, cycle)
-    finally:
-        top.unpersist()
-        weighted.unpersist()
+    top = cohort.top_cohort(t.entries, "equipment_at", top_n)
+    top, weighted = cut_lineage(top), cut_lineage(cohort.top_cohort(t.entries, "talents_at", top_n, weighted=True))
+    frames = {
+        "items": (popularity.popularity(top, t.items, popularity.ITEMS), ["bracket", "spec_id", "slot", "item_id"]),
+        "enchants": (popularity.popularity(top, t.items, popularity.ENCHANTS), ["bracket", "spec_id", "slot", "enchantment_id"]),
+        "gems": (popularity.popularity(top, t.sockets, popularity.GEMS), ["bracket", "spec_id", "slot", "socket_type", "gem_id"]),
+        "talents": (talent_frame(t, weighted), ["bracket", "spec_id", "talent_id"]),
+    }
+    out = {}
+    for name, (frame, keys) in frames.items():
+        before = tables.published(spark, path, name)
+        none = frame.select(*keys, "usage_pct").limit(0)
+        out[name] = popularity.with_previous(frame, none if before is None else before.select(*keys, "usage_pct"), keys)
+    tables.publish(out, path, cycle)
     return talents.integrity_check(tables.published(spark, path, "talents"))

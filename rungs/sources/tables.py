@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,11 +12,13 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_only:
     are added whole. Columns that the updates lack keep what they had, or are null in added rows. Keys are unique in updates."""
     new = [c for c in updates.columns if c not in keys]
     written = [c for c in new if update_only is None or c in update_only]
-    u = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new], F.lit(True).alias("_there"))
-    both = target.withColumn("_had", F.lit(True)).join(u, keys, "full")
+    u = updates.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_new_{c}") for c in new], F.lit(True).alias("_there"))
+    both = target.withColumn("_had", F.lit(True)).join(u, _same(keys), "full")
     cols = []
     for c in target.columns:
-        if c in keys or c not in new:
+        if c in keys:
+            cols.append(F.when(F.col("_had").isNull(), F.col(f"_key_{c}")).otherwise(F.col(c)).alias(c))
+        elif c not in new:
             cols.append(F.col(c))
         elif c in written:
             cols.append(F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c))
@@ -24,14 +27,23 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_only:
     return both.select(*cols)
 
 
+def _same(keys: list[str]) -> list[Column]:
+    """Keys and their _key_ copies are alike; null is a key like any other."""
+    return [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+
+
+def _keys_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """target and the rows whose keys it lacks, one a key."""
-    return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    """target and the rows whose keys it lacks, one a key; null is a key like any other."""
+    return target.unionByName(rows.dropDuplicates(keys).join(_keys_of(target, keys), _same(keys), "left_anti"), allowMissingColumns=True)
 
 
 def replace_slice(target: DataFrame, slices: DataFrame, rows: DataFrame) -> DataFrame:
-    """target without the slices (key values, one row a slice) and with rows in their place."""
-    return target.join(slices.distinct(), slices.columns, "left_anti").unionByName(rows)
+    """target without the slices (key values, one row a slice; null is a key like any other) and with rows in their place."""
+    return target.join(_keys_of(slices, slices.columns), _same(slices.columns), "left_anti").unionByName(rows)
 
 
 def update_from(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -58,24 +70,28 @@ def _version(path: str, name: str, cycle: int) -> str:
     return f"{path}/{name}/cycle_id={cycle}"
 
 
-def live_cycle(spark: SparkSession, path: str) -> int | None:
-    """The published cycle; None before the first."""
+_LOG = "seq long, cycle_id long, state string"
+
+
+def _log(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """What has become of the cycles, oldest first: rows (seq, cycle_id, state), one for each publishing and purge."""
     try:
-        row = spark.read.json(f"{path}/live").agg(F.max("cycle_id")).first()
-    except Exception as e:  # noqa: BLE001  no pointer yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e) or "UNRESOLVED_COLUMN" in str(e):
-            return None
+        return sorted(tuple(r) for r in spark.read.schema(_LOG).json(f"{path}/live").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # before the first
+            return []
         raise
-    return row[0]
 
 
-def _point(spark: SparkSession, path: str, cycle: int) -> None:
-    spark.range(1).select(F.lit(cycle).cast("long").alias("cycle_id")).coalesce(1).write.mode("overwrite").json(f"{path}/live")
+def _note(spark: SparkSession, path: str, cycle: int, state: str) -> None:
+    """Adds one file to the log; nothing that is there changes, so that a crash leaves the live cycle as it was."""
+    seq = max([r[0] for r in _log(spark, path)], default=0) + 1
+    spark.createDataFrame([(seq, cycle, state)], _LOG).coalesce(1).write.mode("append").json(f"{path}/live")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def live_cycle(spark: SparkSession, path: str) -> int | None:
+    """The published cycle; None before the first."""
+    return next((c for _, c, state in reversed(_log(spark, path)) if state == "live"), None)
 
 
 def publish(frames: dict[str, DataFrame], path: str, cycle: int, keep_old: bool = False) -> int | None:
@@ -84,26 +100,38 @@ def publish(frames: dict[str, DataFrame], path: str, cycle: int, keep_old: bool
     Returns the cycle that was live before."""
     spark = next(iter(frames.values())).sparkSession
     before = live_cycle(spark, path)
+    if cycle == before:
+        raise ValueError(f"cycle {cycle} is live: its version can't be written again")
+    done: list[str] = []
     try:
         for name, df in frames.items():
             df.write.mode("overwrite").parquet(_version(path, name, cycle))
+            done.append(name)
     except Exception:
-        purge(spark, path, list(frames), cycle)
+        purge(spark, path, done, cycle)
         raise
-    _point(spark, path, cycle)
-    if before is not None and before != cycle and not keep_old:
+    _note(spark, path, cycle, "live")
+    if before is not None and not keep_old:
         purge(spark, path, list(frames), before)
     return before
 
 
 def rollback(spark: SparkSession, path: str, cycle: int) -> None:
-    """Makes an older version that is still there the live one."""
-    _point(spark, path, cycle)
+    """Makes an older version the live one; it must have been published, and not purged since."""
+    state = next((s for _, c, s in reversed(_log(spark, path)) if c == cycle), None)
+    if state != "live":
+        raise ValueError(f"cycle {cycle} was " + ("purged" if state else "never published"))
+    _note(spark, path, cycle, "live")
 
 
 def purge(spark: SparkSession, path: str, names: list[str], cycle: int) -> None:
+    """Empties the versions of a cycle that isn't live; it can't be rolled back to any more."""
+    if cycle == live_cycle(spark, path):
+        raise ValueError(f"cycle {cycle} is live")
+    _note(spark, path, cycle, "purged")
     for name in names:
-        _drop(spark, _version(path, name, cycle))
+        version = _version(path, name, cycle)
+        spark.createDataFrame([], spark.read.parquet(version).schema).write.mode("overwrite").parquet(version)
 
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,13 +36,42 @@ def merge_ladders(target: DataFrame | None, payloads: DataFrame) -> DataFrame:
     return merged.join(gone, _KEYS, "left_anti")
 
 
+_LADDER = ["season_id", "bracket", "region"]
+
+
+def stored_ladders(spark: SparkSession, path: str) -> DataFrame | None:
+    """What ladder_sink() keeps at path; None where there is nothing yet."""
+    rows = _read(lambda: spark.read.parquet(f"{path}/entries"))
+    return rows and rows.withColumns({"season_id": F.col("season_id").cast("long"), "bracket": F.col("bracket").cast("string"), "region": F.col("region").cast("string")})
+
+
+def _read(table: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        return table()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def ladder_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the entries at path: each batch writes a version of its own, so that a repeated batch writes the same again."""
+    """Keeps the entries at path, partitioned by ladder: a batch rewrites the ladders that it has payloads of, and no others.
+
+    What becomes of them is written aside first and noted, and from there over their partitions: a batch that is
+    repeated after a crash is taken from there, and gives the same.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/v={batch_id - 1}") if batch_id else None
-        merge_ladders(before, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark, aside = batch.sparkSession, f"{path}/batch"
+        noted = _read(lambda: spark.read.schema("batch long").json(f"{path}/noted"))
+        if noted is None or noted.where(F.col("batch") == batch_id).isEmpty():
+            stored = stored_ladders(spark, path)
+            if stored is not None:
+                stored = stored.join(F.broadcast(batch.select(*_LADDER).distinct()), _LADDER, "left_semi")  # a row a payload
+            merge_ladders(stored, batch).write.mode("overwrite").parquet(aside)
+            spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{path}/noted")
+        out = spark.read.parquet(aside).repartition(*_LADDER)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_LADDER).parquet(f"{path}/entries")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

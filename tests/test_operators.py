@@ -248,7 +248,11 @@ def test_small_repairs(spark):
     a = spark.createDataFrame([(1, 71, 0), (2, 71, 5)], "talent_id long, spec_id int, default_points int")
     t = spark.createDataFrame([(1, 3), (2, 0)], "talent_id long, default_points int")
     assert {x.talent_id: x.default_points for x in dims.copy_points(a, t).collect()} == {1: 3, 2: 5}
-    assert dims.repoint(spark.createDataFrame([(7, "x"), (8, "y")], "vendor long, v string"), spark.createDataFrame([(7, 1)], "vendor long, key long"), "vendor", "key").collect()[0].key == 1
+    rows, dim = spark.createDataFrame([(7, "x"), (8, "y"), (9, "z"), (None, "n")], "vendor long, v string"), spark.createDataFrame([(7, 4, "name")], "vendor long, key long, name string")
+    whole = dims.with_stubs(dim, rows, "vendor", "key")
+    assert sorted((r.vendor, r.name) for r in whole.collect() if r.vendor != 7) == [(8, None), (9, None)]
+    assert sorted(r.key for r in whole.collect()) == [4, 5, 6] and dims.with_stubs(whole, rows, "vendor", "key").count() == 3
+    assert sorted(r.v for r in dims.repoint(rows, whole, "vendor", "key").collect()) == ["x", "y", "z"]
     e = spark.createDataFrame([(1, 9), (1, 4), (2, None)], "enchantment_id long, source_item_id long")
     assert [tuple(x) for x in dims.source_items(e).collect()] == [(1, 4)]
 
@@ -267,3 +271,19 @@ def test_modal_build_ties(spark):
     t = spark.createDataFrame([(1, 71, 5, 1), (1, 71, 3, 2), (2, 71, 3, 1), (2, 71, 5, 1), (3, 71, 2, 1), (4, 71, 2, 3), (4, 71, 9, 0)], "character_id long, spec_id int, talent_id long, rank int")
     assert builds.modal_build(c, t).first().build == [2]  # as heavy as [3, 5]
     assert {r.talent_id: r.top_build_rank for r in builds.modal_rank(c, t).collect()} == {2: 1, 3: 1, 5: 1}
+
+
+def test_long_hero_paths_are_one_part(spark):
+    n = 100
+    order = [(i * 37) % n for i in range(n)]  # the path visits the nodes in no order of their ids
+    edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(500, 501)], "node_id long, prerequisite_id long")
+    uses = [("2v2", 71, k, "hero", 0, 1, 10.0, False) for k in [*range(n), 500, 501, 600]]
+    dim = [(k, k, f"t{k}", 1) for k in [*range(n), 500, 501, 600]]
+    rows = tiers.hero_tiers(spark.createDataFrame(uses, "bracket string, spec_id int, talent_id long, talent_type string, default_points int, usage_count int, usage_pct double, in_top_build boolean"), spark.createDataFrame(dim, "talent_id long, node_id long, name string, max_rank int"), edges)
+    assert {r.node_id: r.component for r in rows.collect()} == {k: 0 for k in range(n)} | {500: 500, 501: 500, 600: 600}
+
+
+def test_strip_html_ends_lines_where_cells_and_rows_end(spark):
+    html = "<table><tr><td>1</td><TD>2</TD></tr><tr><td>3</td></tr></table><h1>head</h1><brand>x</brand><pre>y</pre>a<br>b<br/>c<BR />d<ul><li>e</li></ul><p>f</p>"
+    want = "1\n2\n\n3\n\nheadxya\nb\nc\nde\nf"
+    assert spark.createDataFrame([(html,)], "h string").select(X.strip_html(F.col("h")).alias("t")).first().t == want

@@ -103,6 +103,10 @@ def test_upserts_and_slices(spark):
     u = spark.createDataFrame([(2, None), (3, "c")], "k long, v string")
     assert sorted(map(tuple, tables.upsert(t, u, ["k"]).collect())) == [(1, "a", 1), (2, None, 2), (3, "c", None)]
     assert sorted(map(tuple, tables.upsert(t, u, ["k"], []).collect())) == [(1, "a", 1), (2, "b", 2), (3, "c", None)]
+    nulls = spark.createDataFrame([(None, "n", 5)], t.schema)
+    once = tables.upsert(t, nulls, ["k"])
+    assert sorted(map(str, tables.upsert(once, nulls, ["k"]).collect())) == sorted(map(str, once.collect())) and once.count() == 3
+    assert tables.insert_ignore(once, nulls, ["k"]).count() == 3 and tables.replace_slice(once, nulls.select("k"), nulls).count() == 3
     assert sorted(r.v for r in tables.insert_ignore(t, spark.createDataFrame([(2, "x"), (4, "y")], "k long, v string"), ["k"]).collect()) == ["a", "b", "y"]
     assert sorted(map(tuple, tables.replace_slice(t, t.where("k = 1").select("k"), spark.createDataFrame([(1, "z", 9)], t.schema)).collect())) == [(1, "z", 9), (2, "b", 2)]
     got = {r.k: (r.v, r.changed) for r in tables.update_from(t, u, "k").collect()}
@@ -120,13 +124,18 @@ def test_publishing_moves_the_pointer_last(spark, tmp_path):
     broken = good.select(F.raise_error(F.lit("no")).cast("int").alias("v"))
     with pytest.raises(Exception, match="no"):
         tables.publish({"items": good, "gems": broken}, path, 2)
-    assert tables.live_cycle(spark, path) == 1 and not (tmp_path / "meta/items/cycle_id=2").exists()
+    assert tables.live_cycle(spark, path) == 1 and spark.read.parquet(f"{path}/items/cycle_id=2").count() == 0
     assert tables.publish({"items": good, "gems": good}, path, 3, keep_old=True) == 1
     assert tables.published(spark, path, "items").first().cycle_id == 3
     tables.rollback(spark, path, 1)
     assert tables.published(spark, path, "gems").first().cycle_id == 1
     tables.publish({"items": good, "gems": good}, path, 4)
-    assert not (tmp_path / "meta/items/cycle_id=1").exists()
+    for gone in (1, 2, 9):  # purged, never whole, never there
+        with pytest.raises(ValueError, match=f"cycle {gone}"):
+            tables.rollback(spark, path, gone)
+    with pytest.raises(ValueError, match="live"):
+        tables.purge(spark, path, ["items"], 4)
+    assert tables.live_cycle(spark, path) == 4 and tables.published(spark, path, "items").count() == 1
     tables.write_report(spark.createDataFrame([("EU/r/n",)], "line string"), f"{path}/report")
     assert spark.read.text(f"{path}/report").first().value == "EU/r/n"
 
@@ -176,8 +185,11 @@ def test_ladder_stream_keeps_the_newest_ladder(spark, tmp_path):
     streams.ladder_sink(streams.ladder_stream(spark, str(src)), out, cp).awaitTermination()
     (src / "2.json").write_text(json.dumps(ladder("2v2", [player(2, 1, 3050), player(3, 2, 2950)], "2024-01-10T06:00:00Z")))
     streams.ladder_sink(streams.ladder_stream(spark, str(src)), out, cp).awaitTermination()
-    got = sorted((r.bracket, r.character_id, r["rank"]) for r in spark.read.parquet(f"{out}/v=1").collect())
-    assert got == [("2v2", 2, 1), ("2v2", 3, 2), ("3v3", 9, 1)]
+    (src / "3.json").write_text(json.dumps(ladder("3v3", [player(9, 2, 1990), player(8, 1, 2010)], "2024-01-10T07:00:00Z")))
+    # a new checkpoint begins to count anew: what is stored is kept
+    streams.ladder_sink(streams.ladder_stream(spark, str(src)), out, str(tmp_path / "cp2")).awaitTermination()
+    got = sorted((r.bracket, r.character_id, r["rank"]) for r in streams.stored_ladders(spark, out).collect())
+    assert got == [("2v2", 2, 1), ("2v2", 3, 2), ("3v3", 8, 1), ("3v3", 9, 2)]
 
 
 def test_metric_and_milestone_streams(spark, tmp_path):
