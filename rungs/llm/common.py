@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from ..sources.scratch import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Setting by which Spark drops the shuffle files of a query that is over.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Tables that written() has made and emptied() has not yet emptied, by path.
-_made: dict[str, DataFrame] = {}
+#: Tables that written() has made inside the innermost scope().
+_made: ContextVar[list[tuple[str, DataFrame]] | None] = ContextVar("made", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -30,16 +33,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.select("*").write.parquet(path)  # planned anew, under that setting
     finally:
         spark.conf.set(_CLEANUP, before)
-    _made[path] = spark.read.schema(schema).parquet(path)
-    return _made[path]
+    out = spark.read.schema(schema).parquet(path)
+    if (made := _made.get()) is not None:
+        made.append((path, out))
+    return out
 
 
-def emptied(keep: tuple[DataFrame, ...] = ()) -> None:
-    """Overwrites the tables that written() has made so far with no rows, but for those in keep: for callers whose results are stored."""
-    for path, df in list(_made.items()):
+@contextmanager
+def scope() -> Iterator[list[tuple[str, DataFrame]]]:
+    """The tables that written() makes inside, for emptied()."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
+
+
+def emptied(made: list[tuple[str, DataFrame]], *keep: DataFrame) -> None:
+    """Overwrites tables that nothing reads any more with no rows: all of made but those in keep."""
+    for path, df in made:
         if not any(df is k for k in keep):
             df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
-            del _made[path]
+    made[:] = [m for m in made if any(m[1] is k for k in keep)]
 
 
 def fresh(name: str, taken: list[str]) -> str:
