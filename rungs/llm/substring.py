@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import keyed, written
+from .common import emptied, keyed, scope, written
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -35,26 +35,65 @@ def _chosen(data: bytes, length: int, short: int) -> tuple[np.ndarray, np.ndarra
     return h, seeds, *rolling.runs(rolling.least_of(seeds, length - short + 1))
 
 
-def repeated_seeds(rows: DataFrame, length: int, short: int) -> DataFrame:
-    """did, th, places: level one. Of each window of `length` words one inner window of `short` words stands for it, the one
-    with the least hash, so that equal windows choose alike; those seen in one document alone are out."""
+def seeds_of(rows: DataFrame, length: int, lengths: list[int]) -> DataFrame:
+    """did, th, place, h, and a column r and l for each length between: of each window of `length` words one inner window
+    of lengths[0] words stands for it, the one with the least hash, so that equal windows choose alike.
+
+    h: its hash; r<n>, l<n>: those of the n words from its start on and up to its end, where one of the windows that it
+    stands for holds them, else null. All have 48 bits: more would be no help, as the last level checks.
+    """
+    short = lengths[0]
+    names = ["did", "th", "place", "h", *[f"{side}{n}" for n in lengths[1:-1] for side in "rl"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ids, ths, places = [], [], [], []
-            for d, th, t in zip(b["did"].to_pylist(), b["th"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), strict=True):
-                _, seeds, place, _, _ = _chosen(t, length, short)
-                if len(place):
-                    hs.append(seeds[place] >> np.uint64(16))  # 48 bits: more would be no help, later levels check
-                    ids.append(np.full(len(place), d, np.int64)), ths.append(np.full(len(place), th, np.int64))
-                    places.append(place.astype(np.int32))
-            if hs:
-                yield pa.record_batch([_signed(np.concatenate(hs)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ths)), pa.array(np.concatenate(places))], names=["h", "did", "th", "place"])
-
-    seeds = rows.select("did", "th", "text").mapInArrow(run, "h long, did long, th long, place int")
-    first = seeds.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
-    first = written(first, "repeated")  # on its own, so that the join's hot keys can be split
-    return written(seeds.join(first.hint("merge"), "h").groupBy("did", "th").agg(F.collect_set("place").alias("places")), "seeds")
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                made: list[list[np.ndarray]] = []
+                for d, th, t in zip(part["did"].to_pylist(), part["th"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True):
+                    h, seeds, place, first, after = _chosen(t, length, short)
+                    if not len(place):
+                        continue
+                    row = [np.full(len(place), d, np.int64), np.full(len(place), th, np.int64), place, _cut(seeds[place])]
+                    sums = rolling.sums(h)
+                    for n in lengths[1:-1]:
+                        # a window of `length` that starts late enough holds the n words from the place on; an earlier one those up to the place's end
+                        right, back = after - 1 + length >= place + n, first <= place + short - n
+                        for fit, at in ((right, place), (back, place + short - n)):
+                            fit &= (at >= 0) & (at + n <= len(h))
+                            at = np.where(fit, at, 0)
+                            row += [_cut(rolling.spans(sums, at, np.minimum(at + n, len(h)))), fit]
+                    made.append(row)
+                if made:
+                    did, th, place, h, *more = (np.concatenate(x) for x in zip(*made, strict=True))
+                    cols = [pa.array(did), pa.array(th), pa.array(place.astype(np.int32)), pa.array(h)]
+                    yield pa.record_batch([*cols, *[pa.array(v, mask=~fit) for v, fit in zip(more[::2], more[1::2], strict=True)]], names=names)
+
+    kinds = ["long", "long", "int", *["long"] * (len(names) - 3)]
+    return rows.select("did", "th", "text").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def _cut(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(16)).view(np.int64)
+
+
+def _in_two(rows: DataFrame, key: str) -> DataFrame:
+    """rows whose key two documents have."""
+    keys = rows.groupBy(key).agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select(key)
+    return rows.join(written(keys, "repeated").hint("merge"), key)  # on its own, so that the join's hot keys can be split
+
+
+def repeated_places(rows: DataFrame, length: int, lengths: list[int]) -> DataFrame:
+    """did, th, places: those that are left when windows seen in one document alone are out, level by level."""
+    with scope() as made:
+        kept = written(_in_two(written(seeds_of(rows, length, lengths), "seeds"), "h").drop("h"), "kept")
+        for n in lengths[1:-1]:
+            later = [c for c in kept.columns if c[0] in "rl" and int(c[1:]) > n]
+            grown = kept.select("did", "th", "place", *later, F.explode(F.array(f"r{n}", f"l{n}")).alias("h")).where("h is not null")
+            kept = written(_in_two(grown, "h").drop("h").dropDuplicates(["did", "th", "place"]), "kept")
+        out = written(kept.groupBy("did", "th").agg(F.collect_set("place").alias("places")), "places")
+    emptied(made, out)
+    return out
 
 
 def repeated_windows(rows: DataFrame, length: int = 13, short: int = 4) -> DataFrame:
@@ -69,9 +108,7 @@ def repeated_windows(rows: DataFrame, length: int = 13, short: int = 4) -> DataF
     lengths = [length]
     while lengths[0] > short:
         lengths.insert(0, -(-lengths[0] // 2))
-    kept = repeated_seeds(rows, length, lengths[0])
-    for now in lengths[1:-1]:
-        kept = _doubled(rows, kept, length, lengths[0], now)
+    kept = repeated_places(rows, length, lengths)
     found = written(_strings(rows, kept, length, lengths[0]), "strings")
     first = found.groupBy("f1", "f2").agg(F.min(F.struct("did", "th", "first", "n")).alias("at"))
     first = written(first, "firsts")
@@ -103,28 +140,6 @@ def _over_text(rows: DataFrame, kept: DataFrame, each, schema: str) -> DataFrame
     return rows.select("did", "th", "text").join(kept.hint("merge"), ["did", "th"]).select("did", "th", "text", "places").mapInArrow(run, schema)
 
 
-def _doubled(rows: DataFrame, kept: DataFrame, length: int, short: int, now: int) -> DataFrame:
-    """did, th, places: the places left whose windows of `now` words, ending or starting at most so far from the place, two documents have."""
-
-    def each(d: int, th: int, text: bytes, left: list) -> pa.RecordBatch | None:
-        h, _, place, first, after = _chosen(text, length, short)
-        own = np.isin(place, left)
-        place, first, after = place[own], first[own], after[own]
-        if not len(place):
-            return None
-        # a window of `length` that starts late enough holds the `now` words from the place on; an earlier one those up to the place's end
-        right, back = after - 1 + length >= place + now, first <= place + short - now
-        start = np.concatenate([place[right], place[back] + short - now])
-        fit = (start >= 0) & (start + now <= len(h))
-        at = np.concatenate([place[right], place[back]])[fit]
-        keys = rolling.spans(rolling.sums(h), start[fit], start[fit] + now)
-        return pa.record_batch([_signed(keys), pa.array(np.full(len(at), d, np.int64)), pa.array(np.full(len(at), th, np.int64)), pa.array(at.astype(np.int32))], names=["h", "did", "th", "place"])
-
-    grown = written(_over_text(rows, kept, each, "h long, did long, th long, place int"), "doubled")
-    first = grown.groupBy("h").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("h")
-    return written(grown.join(written(first, "repeated").hint("merge"), "h").groupBy("did", "th").agg(F.collect_set("place").alias("places")), "seeds")
-
-
 def _strings(rows: DataFrame, kept: DataFrame, length: int, short: int) -> DataFrame:
     """did, th, first, n, f1, f2: the runs of n windows that chose a place that is left, and the hash of all words under them."""
 
@@ -162,8 +177,10 @@ def drop_repeats(docs: DataFrame, length: int = 13, short: int = 4) -> DataFrame
     table gives an empty result. Other columns of docs are not read.
     """
     rows = keyed(docs)
-    found = repeated_windows(rows, length, short)
-    marks = written(found.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
+    with scope() as made:
+        found = repeated_windows(rows, length, short)
+        marks = written(found.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
+    emptied(made, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
