@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import keyed, shuffle_partitions, written
+from .common import emptied, keyed, scope, shuffle_partitions, written
 
 #: Bytes of a text that are looked at together.
 PART = 1 << 20
@@ -256,8 +256,10 @@ def drop_repeats(docs: DataFrame, length: int = 400, most: int = MOST) -> DataFr
     own (a repeated row is elsewhere); an empty table gives an empty result. Other columns of docs are not read.
     """
     rows = keyed(docs)
-    marks = repeated_runs(rows, length, most)  # rows that are alike have the same runs
-    marks = written(marks.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
+    with scope() as made:
+        marks = repeated_runs(rows, length, most)  # rows that are alike have the same runs
+        marks = written(marks.groupBy("did", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "spans")
+    emptied(made, marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
