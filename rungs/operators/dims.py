@@ -115,3 +115,13 @@ def without_entries(characters: DataFrame, entries: DataFrame) -> DataFrame:
 def dropped_entries(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("leaderboard", "character_id")) -> DataFrame:
     """Entries of ladders in `new` whose character is no longer there; ladders that `new` has no rows of are passed over."""
     return old.join(new.select(keys[0]).distinct(), keys[0], "left_semi").join(new.select(*keys), list(keys), "left_anti")
+
+
+def without_rows(characters: DataFrame, rows: DataFrame) -> DataFrame:
+    """Characters that have none of the rows (items, say)."""
+    return characters.join(rows.select("character_id").distinct(), "character_id", "left_anti")
+
+
+def processed_without(entries: DataFrame, gate: str, rows: DataFrame) -> DataFrame:
+    """Entries that passed the gate although their character has none of the rows that it stands for."""
+    return without_rows(entries.where(F.col(gate).isNotNull()), rows)

@@ -22,6 +22,12 @@ def item_rows(popularity: DataFrame, translations: DataFrame, crafting: DataFram
     return rows.select("bracket", "spec_id", "slot", "item_id", "name", F.col("crafting_stats").isNotNull().alias("crafted"), F.coalesce("crafting_stats", F.array().cast("array<string>")).alias("top_crafting_stats"), usage_block(rows))
 
 
+def named_rows(popularity: DataFrame, translations: DataFrame, kind: str, id_col: str, locale: str, dims: tuple[str, ...] = ("slot",)) -> DataFrame:
+    """Popularity of enchants or gems (an id column, and the dimensions it is counted by) with name and usage block."""
+    rows = localized(popularity.withColumn("_key", F.col(id_col).cast("string")), translations, kind, "_key", locale)
+    return rows.select("bracket", "spec_id", *dims, id_col, "name", usage_block(rows))
+
+
 def talent_rows(rows: DataFrame, dim: DataFrame, edges: DataFrame) -> DataFrame:
     """Talent rows with node, default points and the sorted prerequisite nodes of their node."""
     pre = edges.groupBy("node_id").agg(F.array_sort(F.collect_set("prerequisite_id")).alias("prerequisites"))

@@ -44,7 +44,7 @@ def stat_priority(entries: DataFrame, characters: DataFrame, group: list[str] |
     rows = entries.join(characters.where(F.size("stat_totals") > 0).select("character_id", "stat_totals"), "character_id")
     # counted by value first, so that a group's buffer holds its different values alone
     long = rows.select(*group, F.explode("stat_totals").alias("stat", "value")).groupBy(*group, "stat", "value").agg(F.count("*").alias("n"))
-    out = long.groupBy(*group, "stat").agg(F.percentile("value", F.lit(0.5), "n").alias("m"))
+    out = long.groupBy(*group, "stat").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("m"))
     return out.select(*group, "stat", X.half_up(F.col("m"), 1).alias("median"))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,31 +10,13 @@ from ..functions import exprs as X
 from ..operators import builds, cohort, dims, health, ladder, popularity, read_models, spec_stats, strength, talents, tiers
 from ..sources import ingest, tables
 from ..streaming import incremental, streams
-from .testdata import Ladder, sql
+from .registry import QUERIES, SQL, pct, query
+from .testdata import Ladder
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TOP_N = 10
 LOCALES = ["en_US", "fr_FR"]
 
 
-def query(text: str | None = None, *ctes: str) -> Callable:
-    """Registers a function of the ladder tables under its name, and the SQL beside it."""
-
-    def add(f: Callable[[Ladder], DataFrame]) -> Callable[[Ladder], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Ladder(spark, folder))
-        if text is not None:
-            SQL[f.__name__] = sql(text, *ctes)
-        return f
-
-    return add
-
-
-def _pct(count: str, total: str, digits: int = 2) -> str:
-    scale = 10**digits
-    return f"CAST((({count}) * {200 * scale} + ({total})) // (2 * ({total})) AS DOUBLE) / {scale}"
-
-
 # ---- popularity ----------------------------------------------------------------------------------------------------
 
 _SHARE = "SELECT *, CAST(sum(usage_count) OVER (PARTITION BY bracket, spec_id, slot) AS BIGINT) AS total FROM (SELECT bracket, c.spec_id, slot, {0}, count(*) AS usage_count FROM cohort c JOIN items i ON i.character_id = c.character_id AND i.spec_id = c.spec_id WHERE {0} IS NOT NULL GROUP BY ALL)"
@@ -46,18 +26,18 @@ def _cohort(t: Ladder) -> DataFrame:
     return cohort.top_cohort(t.entries, "equipment_at", TOP_N)
 
 
-@query(f"SELECT *, {_pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('item_id')})", "cohort", "items")
+@query(f"SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('item_id')})", "cohort", "items")
 def item_popularity(t: Ladder) -> DataFrame:
     return popularity.popularity(_cohort(t), t.items, popularity.ITEMS)
 
 
-@query(f"SELECT *, {_pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id')})", "cohort", "items")
+@query(f"SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id')})", "cohort", "items")
 def enchant_popularity(t: Ladder) -> DataFrame:
     return popularity.popularity(_cohort(t), t.items, popularity.ENCHANTS)
 
 
 @query(f"""WITH worn AS (SELECT bracket, c.spec_id, slot, socket_type, gem_id, c.character_id FROM cohort c JOIN sockets s ON s.character_id = c.character_id AND s.spec_id = c.spec_id)
-    SELECT bracket, spec_id, slot, socket_type, gem_id, usage_count, total, {_pct('usage_count', 'total')} AS usage_pct
+    SELECT bracket, spec_id, slot, socket_type, gem_id, usage_count, total, {pct('usage_count', 'total')} AS usage_pct
     FROM (SELECT bracket, spec_id, slot, socket_type, gem_id, count(DISTINCT character_id) AS usage_count FROM worn WHERE gem_id IS NOT NULL GROUP BY ALL) JOIN (SELECT bracket, spec_id, slot, count(DISTINCT character_id) AS total FROM worn GROUP BY ALL) USING (bracket, spec_id, slot)""", "cohort", "sockets")
 def gem_popularity(t: Ladder) -> DataFrame:
     return popularity.popularity(_cohort(t), t.sockets, popularity.GEMS)
@@ -66,7 +46,7 @@ def gem_popularity(t: Ladder) -> DataFrame:
 _SPLIT = "TIMESTAMP '1995-01-01'"
 _TRENDS = f"""WITH old_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bracket, character_id ORDER BY rating DESC NULLS FIRST, entry_id) AS k FROM entries WHERE equipment_at < (SELECT quantile_disc(snapshot_at, 0.5) FROM entries)) WHERE k = 1),
     old_cohort AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY bracket, spec_id ORDER BY rating DESC NULLS FIRST) AS spec_rank FROM old_best) WHERE spec_rank <= 10),
-    now_pop AS (SELECT *, {_pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id')})), old_pop AS (SELECT *, {_pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id').replace('cohort c', 'old_cohort c')})),
+    now_pop AS (SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id')})), old_pop AS (SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id').replace('cohort c', 'old_cohort c')})),
     trended AS (SELECT n.*, o.usage_pct AS prev_usage_pct, CASE WHEN o.usage_pct IS NULL THEN 'new' WHEN n.usage_pct - o.usage_pct > 1 THEN 'up' WHEN n.usage_pct - o.usage_pct < -1 THEN 'down' ELSE 'stable' END AS trend
     FROM now_pop n LEFT JOIN old_pop o USING (bracket, spec_id, slot, enchantment_id))"""
 
@@ -97,7 +77,7 @@ def top_crafting(t: Ladder) -> DataFrame:
     return popularity.top_crafting(t.items)
 
 
-@query(f"""WITH pop AS (SELECT *, {_pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('item_id')})), craft AS (SELECT item_id, crafting_stats FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, crafting_stats) AS k FROM (SELECT item_id, crafting_stats, count(*) AS n FROM items WHERE len(crafting_stats) > 0 GROUP BY 1, 2)) WHERE k = 1)
+@query(f"""WITH pop AS (SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('item_id')})), craft AS (SELECT item_id, crafting_stats FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, crafting_stats) AS k FROM (SELECT item_id, crafting_stats, count(*) AS n FROM items WHERE len(crafting_stats) > 0 GROUP BY 1, 2)) WHERE k = 1)
     SELECT bracket, spec_id, slot, p.item_id, coalesce(f.value, e.value) AS name, crafting_stats IS NOT NULL AS crafted, coalesce(array_to_string(crafting_stats, ','), '') AS top_crafting_stats, usage_count AS count, usage_pct AS pct
     FROM pop p LEFT JOIN craft c ON c.item_id = p.item_id LEFT JOIN translations f ON f.type = 'item' AND f.id = p.item_id AND f.locale = 'fr_FR' LEFT JOIN translations e ON e.type = 'item' AND e.id = p.item_id AND e.locale = 'en_US'""", "cohort", "items", "translations")
 def item_read_model(t: Ladder) -> DataFrame:
@@ -145,19 +125,19 @@ def name_search(t: Ladder) -> DataFrame:
 # ---- specs ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT bracket, spec_id, n AS count, {_pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, count(*) AS n FROM entries GROUP BY 1, 2)", "entries")
+@query(f"SELECT bracket, spec_id, n AS count, {pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, count(*) AS n FROM entries GROUP BY 1, 2)", "entries")
 def spec_distribution(t: Ladder) -> DataFrame:
     return spec_stats.spec_distribution(t.entries)
 
 
-@query(f"""WITH c AS (SELECT *, {_pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket, spec_id) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, loadout_code, count(*) AS n FROM entries WHERE loadout_code IS NOT NULL GROUP BY ALL))
+@query(f"""WITH c AS (SELECT *, {pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket, spec_id) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, loadout_code, count(*) AS n FROM entries WHERE loadout_code IS NOT NULL GROUP BY ALL))
     SELECT bracket, spec_id, loadout_code, n AS count, pct, place FROM (SELECT *, row_number() OVER (PARTITION BY bracket, spec_id ORDER BY n DESC, loadout_code) AS place FROM c) WHERE place <= 3""", "entries")
 def loadout_distribution(t: Ladder) -> DataFrame:
     return spec_stats.loadout_distribution(t.entries, limit=3)
 
 
 def _group_share(col: str) -> str:
-    return f"SELECT * FROM (SELECT bracket, spec_id, {col}, n AS count, {_pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket, spec_id) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, {col}, count(*) AS n FROM entries GROUP BY ALL)) WHERE {col} IS NOT NULL"
+    return f"SELECT * FROM (SELECT bracket, spec_id, {col}, n AS count, {pct('n', 'CAST(sum(n) OVER (PARTITION BY bracket, spec_id) AS BIGINT)')} AS pct FROM (SELECT bracket, spec_id, {col}, count(*) AS n FROM entries GROUP BY ALL)) WHERE {col} IS NOT NULL"
 
 
 @query(_group_share("hero_tree_id"), "entries")
@@ -279,7 +259,14 @@ def budget_tiers(t: Ladder) -> DataFrame:
     return tiers.budget_tiers(_usage(t), t.talent_dim, BUDGETS)
 
 
-@query()
+#: Every way to cut a group's sorted shares into three runs, by the sum of squared deviations within the runs.
+_BREAKS = """WITH p AS (SELECT bracket, spec_id, talent_id, usage_pct, row_number() OVER (PARTITION BY bracket, spec_id ORDER BY usage_pct) AS i, count(*) OVER (PARTITION BY bracket, spec_id) AS n FROM full_usage WHERE talent_type = 'pvp'),
+    runs AS (SELECT a.bracket, a.spec_id, a.i AS lo, b.i AS hi, a.n, a.usage_pct AS first, sum(c.usage_pct * c.usage_pct) - sum(c.usage_pct) * sum(c.usage_pct) / count(*) AS spread FROM p a JOIN p b ON b.bracket = a.bracket AND b.spec_id = a.spec_id AND b.i >= a.i JOIN p c ON c.bracket = a.bracket AND c.spec_id = a.spec_id AND c.i BETWEEN a.i AND b.i WHERE a.n > 3 GROUP BY ALL),
+    cuts AS (SELECT x.bracket, x.spec_id, y.first AS sit, z.first AS bis, row_number() OVER (PARTITION BY x.bracket, x.spec_id ORDER BY round(x.spread + y.spread + z.spread, 8), z.lo, y.lo) AS k FROM runs x JOIN runs y ON y.bracket = x.bracket AND y.spec_id = x.spec_id AND y.lo = x.hi + 1 JOIN runs z ON z.bracket = y.bracket AND z.spec_id = y.spec_id AND z.lo = y.hi + 1 WHERE x.lo = 1 AND z.hi = z.n)
+    SELECT p.bracket, p.spec_id, talent_id, usage_pct, CASE WHEN usage_pct >= coalesce(bis, 75) THEN 'bis' WHEN usage_pct >= coalesce(sit, 50) THEN 'situational' ELSE 'common' END AS tier FROM p LEFT JOIN cuts c ON c.bracket = p.bracket AND c.spec_id = p.spec_id AND k = 1"""
+
+
+@query(_BREAKS, "full_usage")
 def jenks_tiers(t: Ladder) -> DataFrame:
     return tiers.jenks_tiers(_usage(t))
 
@@ -358,7 +345,7 @@ def source_quality_shrinkage(t: Ladder) -> DataFrame:
 # ---- health and telemetry ------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT *, {_pct('fully', 'total', 1)} AS pct FROM (SELECT bracket, count(*) AS total, count(*) FILTER (WHERE equipment_at IS NOT NULL AND talents_at IS NOT NULL) AS fully, count(*) FILTER (WHERE equipment_at IS NOT NULL AND talents_at IS NULL) AS eq_only, count(*) FILTER (WHERE equipment_at IS NULL AND talents_at IS NOT NULL) AS spec_only, count(*) FILTER (WHERE equipment_at IS NULL AND talents_at IS NULL) AS none FROM entries GROUP BY 1)""", "entries")
+@query(f"""SELECT *, {pct('fully', 'total', 1)} AS pct FROM (SELECT bracket, count(*) AS total, count(*) FILTER (WHERE equipment_at IS NOT NULL AND talents_at IS NOT NULL) AS fully, count(*) FILTER (WHERE equipment_at IS NOT NULL AND talents_at IS NULL) AS eq_only, count(*) FILTER (WHERE equipment_at IS NULL AND talents_at IS NOT NULL) AS spec_only, count(*) FILTER (WHERE equipment_at IS NULL AND talents_at IS NULL) AS none FROM entries GROUP BY 1)""", "entries")
 def processing_health(t: Ladder) -> DataFrame:
     return health.processing_health(t.entries)
 
@@ -381,7 +368,7 @@ def _ids(t: Ladder) -> DataFrame:
     return t.items.select(F.lit("item").alias("type"), F.col("item_id").alias("id")).union(t.items.where("enchantment_id is not null").select(F.lit("enchantment"), F.col("enchantment_id").cast("string"))).distinct()
 
 
-@query(f"""SELECT type, locale, total, present, total - present AS missing, {_pct('present', 'total', 1)} AS pct FROM (SELECT i.type, l.locale, count(*) AS total, count(t.value) AS present FROM ({_IDS}) i CROSS JOIN (VALUES ('en_US'), ('fr_FR')) l(locale) LEFT JOIN translations t ON t.type = i.type AND t.id = i.id AND t.locale = l.locale GROUP BY ALL)""", "items", "translations")
+@query(f"""SELECT type, locale, total, present, total - present AS missing, {pct('present', 'total', 1)} AS pct FROM (SELECT i.type, l.locale, count(*) AS total, count(t.value) AS present FROM ({_IDS}) i CROSS JOIN (VALUES ('en_US'), ('fr_FR')) l(locale) LEFT JOIN translations t ON t.type = i.type AND t.id = i.id AND t.locale = l.locale GROUP BY ALL)""", "items", "translations")
 def translation_coverage(t: Ladder) -> DataFrame:
     return health.translation_coverage(_ids(t), t.translations, LOCALES)
 
@@ -395,7 +382,7 @@ _REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE region = '{r}') AS \"{r}\"" for r in _REGIONS[:2])
 
 
-@query(f"SELECT *, {_pct('total', 'CAST(sum(total) OVER (PARTITION BY bracket) AS BIGINT)', 1)} AS pct FROM (SELECT bracket, spec_id, {_COUNTS}, count(*) AS total FROM entries WHERE region IN ('AFRICA', 'AMERICA') GROUP BY 1, 2)", "entries")
+@query(f"SELECT *, {pct('total', 'CAST(sum(total) OVER (PARTITION BY bracket) AS BIGINT)', 1)} AS pct FROM (SELECT bracket, spec_id, {_COUNTS}, count(*) AS total FROM entries WHERE region IN ('AFRICA', 'AMERICA') GROUP BY 1, 2)", "entries")
 def region_distribution(t: Ladder) -> DataFrame:
     return health.region_distribution(t.entries, _REGIONS[:2])
 
@@ -412,7 +399,7 @@ def shuffle_rollup(t: Ladder) -> DataFrame:
     return out.withColumn("specs", F.array_join(F.transform("specs", lambda s: F.concat(s["spec_id"].cast("string"), F.lit(":"), s["count"].cast("string"))), ","))
 
 
-_SUM = f"count(*) AS total, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE NOT success) AS failed, {_pct('count(*) FILTER (WHERE success)', 'count(*)')} AS success_pct, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, max(duration) AS max_duration, min(duration) AS min_duration"
+_SUM = f"count(*) AS total, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE NOT success) AS failed, {pct('count(*) FILTER (WHERE success)', 'count(*)')} AS success_pct, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, max(duration) AS max_duration, min(duration) AS min_duration"
 _DAY = "ran_at > (SELECT max(ran_at) FROM metrics) - INTERVAL {0} HOUR"
 
 
@@ -441,12 +428,12 @@ def slow_jobs(t: Ladder) -> DataFrame:
 
 
 @query(f"""SELECT queue, jobs, avg_duration, failure_rate, jobs / 86400.0::DOUBLE AS throughput, array_to_string(list_filter([CASE WHEN avg_duration > 30 THEN 'slow' END, CASE WHEN failure_rate > 10 THEN 'failing' END, CASE WHEN jobs / 86400.0 < 0.001 THEN 'behind' END], lambda x: x IS NOT NULL), ',') AS recommendations
-    FROM (SELECT CASE WHEN job_class LIKE 'c%' THEN 'fast' WHEN job_class LIKE 'p%' THEN 'bulk' ELSE 'default' END AS queue, count(*) AS jobs, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, {_pct('count(*) FILTER (WHERE NOT success)', 'count(*)')} AS failure_rate FROM metrics WHERE {_DAY.format(24)} GROUP BY 1)""", "metrics")
+    FROM (SELECT CASE WHEN job_class LIKE 'c%' THEN 'fast' WHEN job_class LIKE 'p%' THEN 'bulk' ELSE 'default' END AS queue, count(*) AS jobs, floor(avg(duration) * 1000 + 0.5) / 1000 AS avg_duration, {pct('count(*) FILTER (WHERE NOT success)', 'count(*)')} AS failure_rate FROM metrics WHERE {_DAY.format(24)} GROUP BY 1)""", "metrics")
 def queue_health(t: Ladder) -> DataFrame:
     return health.queue_health(t.metrics, _now(t), {"^c": "fast", "^p": "bulk"}, 0.001, 24).withColumn("recommendations", F.array_join("recommendations", ","))
 
 
-@query(f"""SELECT batch_id, total, ok, failed, skipped, {_pct('failed', 'total')} AS failure_pct, failed = total AS all_failed, coalesce(f, '') AS failures FROM (SELECT user_id AS batch_id, count(*) AS total, count(*) FILTER (WHERE k % 10 >= 4) AS ok, count(*) FILTER (WHERE k % 10 = 0) AS failed, count(*) FILTER (WHERE k % 10 BETWEEN 1 AND 3) AS skipped FROM metrics GROUP BY 1)
+@query(f"""SELECT batch_id, total, ok, failed, skipped, {pct('failed', 'total')} AS failure_pct, failed = total AS all_failed, coalesce(f, '') AS failures FROM (SELECT user_id AS batch_id, count(*) AS total, count(*) FILTER (WHERE k % 10 >= 4) AS ok, count(*) FILTER (WHERE k % 10 = 0) AS failed, count(*) FILTER (WHERE k % 10 BETWEEN 1 AND 3) AS skipped FROM metrics GROUP BY 1)
     LEFT JOIN (SELECT user_id AS batch_id, string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY job_id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY job_id) AS i FROM metrics WHERE k % 10 = 0) WHERE i <= 5 GROUP BY 1) USING (batch_id)""", "metrics")
 def batch_outcome(t: Ladder) -> DataFrame:
     status = F.when(F.col("k") % 10 == 0, "failed").when(F.col("k") % 10 < 4, "skipped").otherwise("ok")
@@ -676,7 +663,7 @@ def section_types(t: Ladder) -> DataFrame:
 # ---- texts ---------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT page_id, md5(coalesce(t, '')) AS digest, length(t) AS n_chars FROM (SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<\s*(?:br|/p|/div|/li|/h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '') AS t FROM pages)""")
+@query(r"""SELECT page_id, md5(coalesce(t, '')) AS digest, length(t) AS n_chars FROM (SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br[ \t\r\n\f]*/?>', chr(10), 'gi'), '</(p|li|tr|td|div)>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '') AS t FROM pages)""")
 def strip_html(t: Ladder) -> DataFrame:
     text = X.strip_html(F.col("html"))
     return t.table("pages").select("page_id", F.md5(F.coalesce(text, F.lit(""))).alias("digest"), F.length(text).cast("long").alias("n_chars"))
