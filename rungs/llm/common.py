@@ -55,6 +55,8 @@ def emptied(made: list[tuple[str, DataFrame]], *keep: DataFrame) -> None:
         if not any(df is k for k in keep):
             df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
     made[:] = [m for m in made if any(m[1] is k for k in keep)]
+    if (outer := _made.get()) is not None and outer is not made:
+        outer.extend(made)
 
 
 def fresh(name: str, taken: list[str]) -> str:

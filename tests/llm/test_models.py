@@ -277,3 +277,28 @@ def test_quality(spark):
     none = kn_quality.quality(df, labels.limit(0)).collect()
     assert sum(x.keep for x in none) == len(docs) - 2 and all(x.threshold is None for x in none)
     assert kn_quality.quality(df.limit(0), labels).count() == 0
+
+
+def test_thresholds_and_keep_are_what_brute_force_gives(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["aa", "bb", None]), r.choice([None, math.exp(r.uniform(0.5, 3))])) for i in range(300)]
+    got = {x.lang: x.threshold for x in kn_quality.thresholds(spark.createDataFrame(rows, "doc_id long, lang string, perplexity double"), 0.9, 1.1).collect()}
+    for lang in ("aa", "bb", None):
+        bins = sorted(math.floor(math.log(p) / kn_quality.STEP) for _, k, p in rows if p is not None and lang in (k, None))
+        at = next(b for i, b in enumerate(bins) if sum(x <= b for x in bins) >= 0.9 * len(bins))
+        assert got[lang] == pytest.approx(1.1 * math.exp((at + 1) * kn_quality.STEP))
+    # of the whole operator: the same limits from the perplexities that it gives, and keep by them
+    words = ["red", "green", "blue", "one", "two", "three"]
+    docs = [(i, r.choice(["aa", "bb"]), " ".join(r.choice(words) for _ in range(30)) if i % 7 else "".join(r.choice("zqxjkv@#") for _ in range(60))) for i in range(200)] + [(None, "aa", "red green"), (300, "cc", "one two"), (301, "aa", None), (302, "aa", "")]
+    labels = [(i, 1, 0) for i in range(0, 160) if i % 7] + [(170, 0, 0), (None, 1, 0)]
+    df, lab = spark.createDataFrame(docs, "doc_id long, lang string, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = kn_quality.quality(df, lab, 0.9, 1.1).collect()
+    held = {x._id for x in spark.createDataFrame([(i,) for i, q, _ in labels if q == 1 and i is not None], "_id long").where("pmod(xxhash64(_id), 5) = 0").collect()}
+    judged = [(x.lang, x.perplexity) for x in out if x.doc_id in held and x.perplexity is not None]
+    for x in out:
+        own = [p for k, p in judged if k == x.lang] or [p for _, p in judged]
+        bins = sorted(math.floor(math.log(p) / kn_quality.STEP) for p in own)
+        at = next(b for b in bins if sum(y <= b for y in bins) >= 0.9 * len(bins))
+        assert x.threshold == pytest.approx(1.1 * math.exp((at + 1) * kn_quality.STEP))
+        assert x.keep == (x.perplexity is not None and x.perplexity <= x.threshold)
+    assert sum(not x.keep for x in out if x.doc_id is not None and x.doc_id < 200 and x.doc_id % 7 == 0) > 20
