@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from . import bwt, graph_ann, kn_quality, langid, mixing, simhash, substring, tiling, token_output, winnow_lines
 from .common import documents
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("RUNGS_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """A public tokenizer's file: in the folder RUNGS_TOKENIZERS, if that is set, else in the package of these files."""
+    folder = os.environ.get("RUNGS_TOKENIZERS")
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +37,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_digest(documents(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_output.token_digest(documents(spark, sf_dir), tokenizer())
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_rows(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.language_rows(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

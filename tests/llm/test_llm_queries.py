@@ -1,4 +1,3 @@
-import os
 import zlib
 
 import duckdb
@@ -17,8 +16,7 @@ def test_query_gives_what_its_sql_gives(spark, data, name):
 
 
 def test_pipeline_stages(spark, data):
-    if not os.path.isdir("/opt/tokenizers"):
-        pytest.skip("no tokenizer file")
+    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -67,8 +65,7 @@ def brute_near(rows, words=5, bits=4, share=0.8):
 def test_pipeline_is_what_brute_force_gives(spark, data, tmp_path):
     """Every stage, on what the stage before has kept, against a version of it without Spark."""
     tokenizers = pytest.importorskip("tokenizers")
-    if not os.path.isdir("/opt/tokenizers"):
-        pytest.skip("no tokenizer file")
+    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -100,7 +97,7 @@ def test_pipeline_is_what_brute_force_gives(spark, data, tmp_path):
             rows = c.execute(f"SELECT doc_id, CAST(taken / size AS BIGINT) FROM ({oracle.SQL['op2_mixing']}) WHERE taken > 0").fetchall()
             assert sorted(kept) == sorted(d for d, n in rows for _ in range(n))
         else:
-            encode = tokenizers.Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json").encode
+            encode = tokenizers.Tokenizer.from_file(queries.tokenizer()).encode
             ids = {d: np.array([*encode(t, add_special_tokens=False).ids, 0], "<u4") for d, t in before.items()}
             order = sorted(r.doc_id for r in docs.select("doc_id").collect())
             starts = np.cumsum([0, *[len(ids[d]) for d in order]])
@@ -111,8 +108,7 @@ def test_pipeline_is_what_brute_force_gives(spark, data, tmp_path):
 
 
 def test_run_gives_what_its_stages_give(spark, data, tmp_path):
-    if not os.path.isdir("/opt/tokenizers"):
-        pytest.skip("no tokenizer file")
+    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
