@@ -31,6 +31,15 @@ def item_popularity(t: Ladder) -> DataFrame:
     return popularity.popularity(_cohort(t), t.items, popularity.ITEMS)
 
 
+_WIDE = "WITH wide AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY bracket, spec_id ORDER BY rating DESC NULLS FIRST) AS spec_rank FROM best_eq) WHERE spec_rank <= 1000)"
+
+
+@query(f"{_WIDE} SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('item_id').replace('cohort c', 'wide c')})", "best_eq", "items")
+def item_popularity_of_1000(t: Ladder) -> DataFrame:
+    """With as many players of a bracket and spec as a full refresh takes."""
+    return popularity.popularity(cohort.top_cohort(t.entries, "equipment_at"), t.items, popularity.ITEMS)
+
+
 @query(f"SELECT *, {pct('usage_count', 'total')} AS usage_pct FROM ({_SHARE.format('enchantment_id')})", "cohort", "items")
 def enchant_popularity(t: Ladder) -> DataFrame:
     return popularity.popularity(_cohort(t), t.items, popularity.ENCHANTS)
