@@ -608,11 +608,11 @@ def job_windows(t: Ladder) -> DataFrame:
 
 @query("""SELECT bracket, region, character_id, rank, CAST(floor(rating) AS INTEGER) AS rating, wins, losses, faction FROM (SELECT *, row_number() OVER (PARTITION BY bracket, region, character_id ORDER BY rank) AS k FROM (SELECT *, CASE entry_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS faction FROM ranked) WHERE rank <= 500) WHERE k = 1""", "ranked")
 def ingest_leaderboard(t: Ladder) -> DataFrame:
-    """Ladders packed as payloads, by rank, and read again: the first 500 of each, a character once."""
+    """Ladders packed as payloads, in pages of 400 by rank, and read again: the first 500 of each, a character once."""
     kind = F.when(F.col("entry_id") % 3 == 0, "ALLIANCE").when(F.col("entry_id") % 3 == 1, "HORDE").otherwise("NEUTRAL")
     e = F.struct(F.struct(F.col("character_id").alias("id"), "name", F.struct(F.col("realm").alias("slug")).alias("realm")).alias("character"), F.struct(kind.alias("type")).alias("faction"), "rank", F.col("rating").cast("int").alias("rating"), F.struct(F.col("wins").cast("int").alias("won"), F.col("losses").cast("int").alias("lost")).alias("season_match_statistics"))
-    packed = t.ranked.groupBy("bracket", "region").agg(F.array_sort(F.collect_list(F.struct("rank", e.alias("e")))).alias("l"))
-    p = packed.select(F.lit(1).cast("long").alias("season_id"), "bracket", "region", F.lit(None).cast("timestamp").alias("fetched_at"), F.transform("l", lambda x: x["e"]).alias("entries"))
+    packed = t.ranked.withColumn("offset", F.floor((F.col("rank") - 1) / 400) * 400).groupBy("bracket", "region", "offset").agg(F.array_sort(F.collect_list(F.struct("rank", e.alias("e")))).alias("l"))
+    p = packed.select(F.lit(1).cast("long").alias("season_id"), "bracket", "region", "offset", F.lit(None).cast("timestamp").alias("fetched_at"), F.transform("l", lambda x: x["e"]).alias("entries"))
     return ingest.leaderboard(p).select("bracket", "region", "character_id", "rank", "rating", F.col("wins").cast("long").alias("wins"), F.col("losses").cast("long").alias("losses"), "faction")
 
 

@@ -21,8 +21,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def leaderboard(payloads: DataFrame) -> DataFrame:
     """One row an entry of each ladder payload, of the first top-N of its list: season_id, bracket, region, character_id,
     name, realm, faction, rank, rating, wins, losses, and class and spec where the bracket names them. A character that
-    stands in a ladder several times keeps its best place."""
-    p = payloads.select("season_id", "bracket", "region", "fetched_at", F.posexplode("entries").alias("pos", "e")).where(F.col("pos") < X.bracket_top_n(F.col("bracket")))
+    stands in a ladder several times keeps its best place. A ladder may come in pages, with the number of entries before
+    each as `offset`."""
+    before = F.coalesce("offset", F.lit(0)) if "offset" in payloads.columns else F.lit(0)
+    p = payloads.select("season_id", "bracket", "region", "fetched_at", before.alias("before"), F.posexplode("entries").alias("pos", "e")).where(F.col("before") + F.col("pos") < X.bracket_top_n(F.col("bracket")))
     p = p.select(
         "season_id", "bracket", "region", F.col("fetched_at").alias("snapshot_at"), F.col("e.character.id").alias("character_id"), F.col("e.character.name").alias("name"), F.col("e.character.realm.slug").alias("realm"),
         X.faction_code(F.col("e.faction.type")).alias("faction"), "e.rank", "e.rating", F.coalesce("e.season_match_statistics.won", F.lit(0)).alias("wins"), F.coalesce("e.season_match_statistics.lost", F.lit(0)).alias("losses"),
