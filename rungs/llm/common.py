@@ -27,7 +27,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.select("*").write.parquet(path)  # planned anew, under that setting
