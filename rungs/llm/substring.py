@@ -86,17 +86,18 @@ def _in_two(rows: DataFrame, key: str) -> DataFrame:
 def repeated_places(rows: DataFrame, length: int, lengths: list[int]) -> DataFrame:
     """did, th, places: those that are left when windows seen in one document alone are out, level by level."""
     with scope() as made:
-        kept = written(_in_two(written(seeds_of(rows, length, lengths), "seeds"), "h").drop("h"), "kept")
+        kept = _in_two(written(seeds_of(rows, length, lengths), "seeds"), "h").drop("h")
         for n in lengths[1:-1]:
             later = [c for c in kept.columns if c[0] in "rl" and int(c[1:]) > n]
-            grown = kept.select("did", "th", "place", *later, F.explode(F.array(f"r{n}", f"l{n}")).alias("h")).where("h is not null")
-            kept = written(_in_two(grown, "h").drop("h").dropDuplicates(["did", "th", "place"]), "kept")
+            grown = written(kept, "kept").select("did", "th", "place", *later, F.explode(F.array(f"r{n}", f"l{n}")).alias("h")).where("h is not null")
+            kept = _in_two(grown, "h").drop("h")
+            kept = kept.dropDuplicates(["did", "th", "place"]) if later else kept
         out = written(kept.groupBy("did", "th").agg(F.collect_set("place").alias("places")), "places")
     emptied(made, out)
     return out
 
 
-def repeated_windows(rows: DataFrame, length: int = 13, short: int = 4) -> DataFrame:
+def repeated_windows(rows: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
     """did, th, first, n: runs of n windows of `length` words, from word `first` on, that also start in a document with a smaller did.
 
     rows: did, th, text. Level one keeps the windows of `short` words that two documents have; only these are extended to
@@ -168,7 +169,7 @@ def _windows(rows: DataFrame, new: DataFrame, length: int) -> DataFrame:
     return _over_text(rows, new, each, "did long, th long, first int, w1 long, w2 int")
 
 
-def drop_repeats(docs: DataFrame, length: int = 13, short: int = 4) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 13, short: int = 7) -> DataFrame:
     """doc_id, text (the words that stay, joined by a space), n_words, n_removed, spans of every row of docs.
 
     A word goes if a window of `length` words over it also starts in a row with a smaller doc_id; windows are judged
