@@ -5,6 +5,9 @@ from __future__ import annotations
 _SPACE = r"[\x20\x09-\x0D]"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: CRC-32 of a column's decimal digits: eight shifts a byte.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"
+
 SQL: dict[str, str] = {
     "op2_mixing": f"""
 WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
@@ -42,4 +45,17 @@ s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE NOT before) A
 k AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY x.j) AS kept FROM x LEFT JOIN o ON o.doc_id = x.doc_id AND o.j = x.j WHERE o.j IS NULL GROUP BY 1)
 SELECT d.doc_id, coalesce((SELECT count(*) FROM n WHERE n.doc_id = d.doc_id), 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id""",
+    "op12_trie": f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+s AS (SELECT conv_id, list({{role: role, text: text}} ORDER BY part, pos) AS turns FROM r GROUP BY 1),
+f AS (SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN s USING (conv_id)),
+p AS (SELECT conv_id, len(turns) AS n, d AS depth, turns[:d] AS seq, CASE WHEN d > 0 THEN strlen(turns[d].text) ELSE 0 END AS bytes FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM f)),
+k AS (SELECT *, md5(CAST(list_transform(seq, lambda x: md5(x.role) || md5(x.text)) AS VARCHAR)) AS key FROM p),
+v AS (SELECT key, min(conv_id) AS conv_id, min(depth) AS depth, count(*) AS n_convs, min(bytes) AS bytes, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth) AS ends FROM k GROUP BY 1),
+o AS (SELECT v.*, w.key AS parent, w.conv_id AS parent_conv_id FROM v LEFT JOIN k ON k.conv_id = v.conv_id AND k.depth = v.depth - 1 LEFT JOIN v w ON w.key = k.key),
+n AS (SELECT parent AS key, count(*) AS n_children FROM o WHERE parent IS NOT NULL GROUP BY 1),
+g AS (SELECT k.key, count(*) FILTER (WHERE n.key IS NULL) AS n_leaves, sum((o.n_convs - 1) * o.bytes) AS saved_tokens FROM o JOIN k ON k.conv_id = o.conv_id AND k.depth <= o.depth LEFT JOIN n ON n.key = o.key GROUP BY 1)
+SELECT o.conv_id, o.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM o JOIN g ON g.key = o.key LEFT JOIN n ON n.key = o.key""",
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, graph_ann, kn_quality, langid, mixing, simhash, substring, tiling, token_output, winnow_lines
+from . import bwt, graph_ann, kn_quality, langid, mixing, pieces, prefix_trie, simhash, substring, tiling, token_output, whitening, winnow_lines
 from .common import documents
 
 
@@ -67,4 +67,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiling, op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix, op9_lines, op10_quality)}
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    ids = pieces.encode(documents(spark, sf_dir), model).select("doc_id", "ids")
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return pieces.decode(ids, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tiling, op2_mixing, op3_substring, op4_token_output, op5_neighbours, op6_simhash, op7_language, op8_suffix, op9_lines, op10_quality, op11_pieces, op12_trie, op13_whitening)}
