@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -16,7 +17,7 @@ _SPACE_BYTES = SPACE.encode()
 #: Kinds of pieces in a model file (fixed values of the format).
 _UNKNOWN, _CONTROL, _USER_DEFINED, _BYTE = 2, 3, 4, 6
 #: Bytes of remembered units and their ids in a worker, about; characters of the longest; what an entry takes besides.
-MEMORY, LONGEST, _ENTRY = 160 << 20, 64, 200
+MEMORY, LONGEST, _ENTRY = 128 << 20, 64, 200
 #: Characters up to which all neighbours are looked through for each merge.
 _SHORT = 128
 #: Characters that are cut into units at a time, and tokens after which a batch of results is closed.
@@ -206,7 +207,7 @@ class Pieces:
         self.strip = self.normalizer.prefix or self.normalizer.squeeze
         # no merge reaches over a space sign that follows something else, unless a piece does
         self.by_unit = not any(SPACE in n.lstrip(SPACE) for n in self.ids)
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}
         self.size = 0
 
     @classmethod
@@ -260,24 +261,24 @@ class Pieces:
                 heappush(heap, (-scores[both], before, i, both))
         return [p for p in parts if p is not None]
 
-    def unit_ids(self, unit: str) -> list[int]:
-        found = self.memory.get(unit)
-        if found is None:
-            found = []
-            for p in self.merged(unit):
-                if (i := self.ids.get(p)) is not None:
-                    found.append(i)
-                elif self.bytes:
-                    found.extend(self.bytes[b] for b in p.encode())
-                elif not found or found[-1] != self.unknown:
-                    found.append(self.unknown)
-            if len(unit) <= LONGEST:
-                if self.size > MEMORY:
-                    self.memory.clear()
-                    self.size = 0
-                self.memory[unit] = found
-                self.size += len(unit) + 8 * len(found) + _ENTRY
-        return found
+    def unit_ids(self, unit: str) -> bytes:
+        """The ids of a unit, as little-endian bytes."""
+        found: list[int] = []
+        for p in self.merged(unit):
+            if (i := self.ids.get(p)) is not None:
+                found.append(i)
+            elif self.bytes:
+                found.extend([self.bytes[b] for b in p.encode()])
+            elif not found or found[-1] != self.unknown:
+                found.append(self.unknown)
+        out = array("i", found).tobytes()
+        if len(unit) <= LONGEST:
+            if self.size > MEMORY:
+                self.memory.clear()
+                self.size = 0
+            self.memory[unit] = out
+            self.size += len(unit) + len(out) + _ENTRY
+        return out
 
     def units(self, form: str) -> Iterator[list[str]]:
         """The parts of a normal form that no piece reaches out of, a stretch of them at a time."""
@@ -297,12 +298,8 @@ class Pieces:
         Of the byte pieces of one character the last has its whole span, the others an empty one at its beginning.
         """
         form, place = self.normalizer.normalize(text)
-        ids: list[int] = []
-        known = self.memory
-        for units in self.units(form.decode()):
-            for u in units:
-                ids += known.get(u) or self.unit_ids(u)
-        out = np.array(ids, np.int32)
+        known, ids_of = self.memory.get, self.unit_ids
+        out = np.frombuffer(b"".join([b"".join([known(u) or ids_of(u) for u in units]) for units in self.units(form.decode())]), "<i4")
         if self.bytes:
             end = np.cumsum(self.length[out])
             begin = end - self.length[out]
@@ -334,9 +331,10 @@ class Pieces:
         model doesn't have count as unknown.
         """
         ids = np.where((ids < 0) | (ids >= len(self.length)), self.unknown, ids)
-        out = [self.surfaces[i] for i in ids.tolist()]
+        listed = ids.tolist()
+        out = list(map(self.surfaces.__getitem__, listed))
         if self.strip:
-            for k, i in enumerate(ids.tolist()):
+            for k, i in enumerate(listed):
                 if i in self.led:
                     out[k] = out[k][1:]
                 if i not in self.silent and (out[k] or not self.normalizer.squeeze or i not in self.led):
