@@ -50,6 +50,21 @@ def popularity(cohort: DataFrame, facts: DataFrame, spec: PopularitySpec) -> Dat
     return out.select(*keys, spec.item, "usage_count", "total", X.pct(F.col("usage_count"), F.col("total")).alias("usage_pct"))
 
 
+def popularity_trend(cohorts: DataFrame, facts: DataFrame, spec: PopularitySpec) -> DataFrame:
+    """popularity() of each item with the share it had before, and the trend, in one pass: `old` tells the rows of cohorts that are of the version before.
+
+    Shares are of rows. What only the version before had is left out.
+    """
+    keys = ["bracket", "spec_id", *spec.dims]
+    worn = cohorts.select("old", "bracket", "character_id", "spec_id").join(facts.where(F.col(spec.item).isNotNull()), ["character_id", "spec_id"])
+    rows = worn.groupBy(*keys, spec.item).agg(F.count_if(~F.col("old")).alias("usage_count"), F.count_if("old").alias("_before"))
+    group = W.partitionBy(*keys)
+    rows = rows.withColumns({"total": F.sum("usage_count").over(group), "_all": F.sum("_before").over(group)}).where("usage_count > 0")
+    before = F.when(F.col("_before") > 0, X.pct(F.col("_before"), F.col("_all")))
+    rows = rows.withColumns({"usage_pct": X.pct(F.col("usage_count"), F.col("total")), "prev_usage_pct": before})
+    return rows.select(*keys, spec.item, "usage_count", "total", "usage_pct", "prev_usage_pct", X.trend(F.col("usage_pct"), F.col("prev_usage_pct")).alias("trend"))
+
+
 def socket_rows(items: DataFrame) -> DataFrame:
     """character_id, spec_id, slot, socket_type, gem_id of each socket of items that have any; gem_id is null in an empty one."""
     s = items.where(F.size("sockets") > 0).select("character_id", "spec_id", "slot", F.explode("sockets").alias("s"))

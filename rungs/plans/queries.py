@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import builds, cohort, dims, health, ladder, popularity, read_models, spec_stats, strength, talents, tiers
 from ..sources import ingest, tables
+from ..sources.scratch import written
 from ..streaming import incremental, streams
 from .registry import QUERIES, SQL, pct, query
 from .testdata import Ladder
@@ -61,10 +62,10 @@ _TRENDS = f"""WITH old_best AS (SELECT * FROM (SELECT *, row_number() OVER (PART
 
 
 def _trended(t: Ladder) -> DataFrame:
-    half = t.entries.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(snapshot_at AS TIMESTAMP)))").alias("h"))
-    old = t.entries.crossJoin(F.broadcast(half)).where(F.expr("unix_micros(CAST(equipment_at AS TIMESTAMP)) < h"))  # one row
-    keys = ["bracket", "spec_id", "slot", "enchantment_id"]
-    return popularity.with_previous(enchant_popularity(t), popularity.popularity(cohort.top_cohort(old, "equipment_at", TOP_N), t.items, popularity.ENCHANTS), keys)
+    half = t.table("orders").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(o_orderdate AS TIMESTAMP)))").alias("h"))
+    was = F.expr("unix_micros(CAST(equipment_at AS TIMESTAMP)) < h")
+    both = t.orders.crossJoin(F.broadcast(half)).withColumn("old", F.explode(F.when(was, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))  # one row
+    return popularity.popularity_trend(cohort.top_cohort(both, "equipment_at", TOP_N, versions=("old",)), t.items, popularity.ENCHANTS)
 
 
 @query(f"{_TRENDS} SELECT * FROM trended", "cohort", "items")
@@ -207,8 +208,13 @@ def _weighted(t: Ladder) -> DataFrame:
 
 
 def _usage(t: Ladder) -> DataFrame:
-    w = _weighted(t)
-    return builds.with_build(builds.weighted_usage(w, t.talents, t.talent_dim, t.assignments), builds.modal_build(w, t.talents), builds.modal_rank(w, t.talents))
+    """Usage, commonest build and ranks in one pass, which reads the large tables once."""
+    return builds.full_usage(cohort.top_cohort(t.best_with_talents, "talents_at", TOP_N, weighted=True), t.talent_dim, t.assignments)
+
+
+def _stored_usage(t: Ladder) -> DataFrame:
+    """_usage(), written out for what reads it more than once: a row for each talent of a bracket and spec."""
+    return written(_usage(t), "usage")
 
 
 _U = "bracket, spec_id, talent_id, talent_type, default_points, usage_count, usage_pct, in_top_build, top_build_rank, tier"
@@ -232,7 +238,7 @@ def modal_rank(t: Ladder) -> DataFrame:
 @query(f"""SELECT {_U} FROM (SELECT u.* REPLACE (max(default_points) OVER w AS default_points, bool_or(in_top_build) OVER w AS in_top_build, max(top_build_rank) OVER w AS top_build_rank), row_number() OVER (PARTITION BY bracket, spec_id, node_id, name ORDER BY usage_pct DESC, u.talent_id) AS k
     FROM full_usage u JOIN talent_dim d ON d.talent_id = u.talent_id WINDOW w AS (PARTITION BY bracket, spec_id, node_id, name)) WHERE k = 1""", "full_usage", "talent_dim")
 def rank_variants(t: Ladder) -> DataFrame:
-    return talents.merge_rank_variants(_usage(t), t.talent_dim).select(*_U.split(", "))
+    return talents.merge_rank_variants(_stored_usage(t), t.talent_dim).select(*_U.split(", "))
 
 
 _STALE = """WITH n AS (SELECT u.*, d.name, a.talent_id IS NOT NULL AS given, count(a.talent_id) OVER w AS n, count(*) OVER w AS every, row_number() OVER (PARTITION BY bracket, u.spec_id, d.name ORDER BY usage_pct DESC, u.talent_id) AS k FROM full_usage u JOIN talent_dim d ON d.talent_id = u.talent_id LEFT JOIN assignments a ON a.talent_id = u.talent_id AND a.spec_id = u.spec_id WINDOW w AS (PARTITION BY bracket, u.spec_id, d.name)),
@@ -242,7 +248,7 @@ _STALE = """WITH n AS (SELECT u.*, d.name, a.talent_id IS NOT NULL AS given, cou
 
 @query(f"{_STALE} SELECT {_U} FROM stale", "full_usage", "talent_dim", "assignments")
 def stale_variants(t: Ladder) -> DataFrame:
-    return talents.merge_stale_variants(_usage(t), t.talent_dim, t.assignments).select(*_U.split(", "))
+    return talents.merge_stale_variants(_stored_usage(t), t.talent_dim, t.assignments).select(*_U.split(", "))
 
 
 @query(f"SELECT {_U} FROM full_usage u WHERE EXISTS (SELECT 1 FROM assignments a WHERE a.talent_id = u.talent_id AND a.spec_id = u.spec_id) OR EXISTS (SELECT 1 FROM talent_dim d WHERE d.talent_id = u.talent_id AND d.icon IS NOT NULL)", "full_usage", "talent_dim", "assignments")
@@ -265,7 +271,7 @@ BUDGETS = {"class": 4, "spec": 5}
     tiered AS (SELECT g.*, CASE WHEN b.got THEN 'bis' WHEN primary_pct >= coalesce(l.start, 50) THEN 'situational' ELSE 'common' END AS node_tier FROM gaps g LEFT JOIN buy b ON b.bracket = g.bracket AND b.spec_id = g.spec_id AND b.talent_type = g.talent_type AND b.node_id = g.node_id LEFT JOIN least l ON l.bracket = g.bracket AND l.spec_id = g.spec_id AND l.talent_type = g.talent_type WHERE g.talent_type IN ('class', 'spec'))
     SELECT bracket, spec_id, talent_type, talent_id, node_id, usage_pct, node_tier, {_CHOICE.format(t='node_tier')} AS tier FROM tiered""", "full_usage", "talent_dim")
 def budget_tiers(t: Ladder) -> DataFrame:
-    return tiers.budget_tiers(_usage(t), t.talent_dim, BUDGETS)
+    return tiers.budget_tiers(_stored_usage(t), t.talent_dim, BUDGETS)
 
 
 #: Every way to cut a group's sorted shares into three runs, by the sum of squared deviations within the runs.
@@ -286,7 +292,7 @@ def jenks_tiers(t: Ladder) -> DataFrame:
     means AS (SELECT *, row_number() OVER (PARTITION BY bracket, spec_id ORDER BY m DESC, component) AS k FROM (SELECT bracket, spec_id, component, avg(usage_pct) AS m FROM rows GROUP BY 1, 2, 3))
     SELECT r.bracket, r.spec_id, talent_type, talent_id, node_id, r.component, usage_pct, CASE WHEN k = 1 THEN {_CHOICE.format(t="'bis'")} WHEN m >= 30 THEN 'situational' ELSE 'common' END AS tier FROM rows r JOIN means m ON m.bracket = r.bracket AND m.spec_id = r.spec_id AND m.component = r.component""", "full_usage", "talent_dim", "edges")
 def hero_components(t: Ladder) -> DataFrame:
-    return tiers.hero_tiers(_usage(t), t.talent_dim, t.edges)
+    return tiers.hero_tiers(_stored_usage(t), t.talent_dim, t.edges)
 
 
 @query("""WITH want AS (SELECT talent_id, spec_id, default_points, node_id, name, talent_type FROM (SELECT *, row_number() OVER (PARTITION BY spec_id, node_id, name ORDER BY icon IS NULL, talent_id) AS k FROM assignments JOIN talent_dim USING (talent_id)) WHERE k = 1
@@ -295,7 +301,7 @@ def hero_components(t: Ladder) -> DataFrame:
     WHERE NOT EXISTS (SELECT 1 FROM full_usage u WHERE u.bracket = g.bracket AND u.spec_id = g.spec_id AND u.talent_id = w.talent_id) AND NOT EXISTS (SELECT 1 FROM full_usage u JOIN talent_dim d ON d.talent_id = u.talent_id WHERE u.bracket = g.bracket AND u.spec_id = g.spec_id AND d.node_id = w.node_id AND d.name = w.name))
     SELECT bracket, spec_id, talent_id, talent_type, default_points, usage_count, usage_pct, tier FROM full_usage UNION ALL SELECT * FROM zero""", "full_usage", "talent_dim", "assignments", "talents")
 def zero_fill(t: Ladder) -> DataFrame:
-    return talents.zero_fill(_usage(t), t.assignments, t.talent_dim, t.talents)
+    return talents.zero_fill(_stored_usage(t), t.assignments, t.talent_dim, t.talents)
 
 
 @query("SELECT DISTINCT bracket, spec_id FROM usage u WHERE NOT EXISTS (SELECT 1 FROM usage v WHERE v.bracket = u.bracket AND v.spec_id = u.spec_id AND v.talent_type = 'hero' AND v.usage_pct > 15)", "usage")

@@ -16,24 +16,51 @@ class Ladder:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:  # the files' footers are read once
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
-    def entries(self) -> DataFrame:
-        """An order is an entry, its priority the bracket, its price the rating, its customer the character."""
-        games = self.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_if(F.col("l_returnflag") == "N").alias("wins"), F.count_if(F.col("l_returnflag") == "R").alias("losses"))
+    def orders(self) -> DataFrame:
+        """An order is an entry, its priority the bracket, its price the rating, its customer the character: all of it but wins and losses."""
         places = F.broadcast(self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name"))  # 25 rows in every size
-        o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey")).join(games, "o_orderkey", "left")
-        e = o.select(
+        o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+        return o.select(
             F.col("o_orderkey").alias("entry_id"), F.col("o_custkey").alias("character_id"), F.col("o_orderpriority").alias("bracket"), F.col("r_name").alias("region"), F.col("c_nationkey").alias("spec_id"), F.col("c_mktsegment").alias("role"),
-            F.col("o_totalprice").alias("rating"), F.coalesce("wins", F.lit(0)).alias("wins"), F.coalesce("losses", F.lit(0)).alias("losses"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("equipment_at"),
+            F.col("o_totalprice").alias("rating"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("equipment_at"),
             F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("talents_at"), F.col("o_orderdate").alias("snapshot_at"), F.col("c_name").alias("name"), F.lower(F.translate("n_name", " ", "-")).alias("realm"),
             F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3).alias("hero_tree_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 5).alias("tier_set_pieces"), (F.col("o_orderkey") % 4).alias("sync_retry_count"),
             F.when(F.col("o_orderkey") % 5 != 0, F.create_map(F.col("c_nationkey").cast("string"), F.concat(F.lit("code"), (F.col("o_orderkey") % 7).cast("string")))).otherwise(F.create_map(F.lit("-1"), F.lit("other"))).alias("loadout_codes"),
         )
-        return e
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        games = self.table("lineitem").groupBy(F.col("l_orderkey").alias("entry_id")).agg(F.count_if(F.col("l_returnflag") == "N").alias("wins"), F.count_if(F.col("l_returnflag") == "R").alias("losses"))
+        return self.orders.join(games, "entry_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("wins", "losses")})
+
+    @cached_property
+    def lined(self) -> DataFrame:
+        """entries with the talents of their own lines (ids), in one pass over lines and orders."""
+        wins = [F.count_if(F.col("l_returnflag") == "N").alias("wins"), F.count_if(F.col("l_returnflag") == "R").alias("losses")]
+        lines = self.table("lineitem").groupBy(F.col("l_orderkey").alias("entry_id")).agg(*wins, F.collect_list(F.col("l_partkey") % TALENTS + 1).alias("ids"))  # few lines an order
+        return self.orders.join(lines, "entry_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("wins", "losses")})
+
+    @cached_property
+    def best_with_talents(self) -> DataFrame:
+        """The best entry of each character and bracket whose talents are processed, with `talents`: those of the character's newest order.
+
+        Orders are reduced to one a bracket before a character's meet.
+        """
+        ready = F.col("talents_at").isNotNull() & F.col("spec_id").isNotNull()
+        best = F.max_by(F.struct("entry_id", "rating", "wins", "losses", "talents_at"), F.when(ready, F.struct(F.col("rating").isNull(), "rating", -F.col("entry_id"))))
+        rows = self.lined.groupBy("character_id", "spec_id", "bracket").agg(best.alias("best"), F.max(F.struct("snapshot_at", "entry_id", "ids")).alias("newest"))
+        ids = F.max("newest").over(W.partitionBy("character_id"))["ids"]
+        rows = rows.withColumn("ids", ids).where("best is not null").select("character_id", "spec_id", "bracket", "best.*", "ids")
+        rank = lambda t: F.least(F.lit(3), F.size(F.filter("ids", lambda x: x == t))).alias("rank")
+        return rows.withColumn("talents", F.transform(F.array_distinct("ids"), lambda t: F.struct(t.alias("talent_id"), rank(t)))).drop("ids")
 
     @cached_property
     def ranked(self) -> DataFrame:
