@@ -323,18 +323,28 @@ def gate_resets(t: Ladder) -> DataFrame:
     return out.select("entry_id", F.col("equipment_at").isNotNull().alias("has_equipment"), F.col("talents_at").isNotNull().alias("has_talents"))
 
 
-@query("""WITH first AS (SELECT bracket, region, character_id, rank, rating FROM (SELECT *, row_number() OVER (PARTITION BY bracket, region, character_id ORDER BY rank) AS k FROM ranked WHERE rank <= 40) WHERE k = 1), later AS (SELECT bracket, region, character_id, rank, rating FROM (SELECT *, row_number() OVER (PARTITION BY bracket, region, character_id ORDER BY rank) AS k FROM ranked WHERE rank BETWEEN 21 AND 60 AND region <> 'ASIA') WHERE k = 1)
-    SELECT bracket, region, character_id, rank, CAST(floor(rating) AS INTEGER) AS rating FROM later UNION ALL SELECT bracket, region, character_id, rank, CAST(floor(rating) AS INTEGER) FROM first WHERE region = 'ASIA'""", "ranked")
-def merged_ladders(t: Ladder) -> DataFrame:
-    """Ranks 1 to 40 of each ladder, and then a second snapshot of 21 to 60 of all regions but one."""
+#: Ranks of a ladder in one payload.
+_PAGE = 500
+
+
+def ladder_payloads(rows: DataFrame, at: str) -> DataFrame:
+    """Ladder payloads of ranked entries, a page of ranks a payload."""
+    person = F.struct(F.col("character_id").alias("id"), "name", F.struct(F.col("realm").alias("slug")).alias("realm"))
+    games = F.struct(F.col("wins").cast("int").alias("won"), F.col("losses").cast("int").alias("lost"))
+    e = F.struct(person.alias("character"), F.struct(F.lit("HORDE").alias("type")).alias("faction"), "rank", F.col("rating").cast("int").alias("rating"), games.alias("season_match_statistics"))
+    pages = rows.groupBy("bracket", "region", (F.floor((F.col("rank") - 1) / _PAGE) * _PAGE).alias("offset")).agg(F.collect_list(e).alias("entries"))
+    return pages.select(F.lit(1).cast("long").alias("season_id"), "bracket", "region", F.lit(at).cast("timestamp").alias("fetched_at"), "offset", "entries")
 
-    def packed(rows: DataFrame, at: str) -> DataFrame:
-        e = F.struct(F.struct(F.col("character_id").alias("id"), "name", F.struct(F.col("realm").alias("slug")).alias("realm")).alias("character"), F.struct(F.lit("HORDE").alias("type")).alias("faction"), "rank", F.col("rating").cast("int").alias("rating"), F.struct(F.col("wins").cast("int").alias("won"), F.col("losses").cast("int").alias("lost")).alias("season_match_statistics"))
-        p = rows.groupBy("bracket", "region").agg(F.collect_list(e).alias("entries"))  # forty rows a ladder
-        return p.select(F.lit(1).cast("long").alias("season_id"), "bracket", "region", F.lit(at).cast("timestamp").alias("fetched_at"), "entries")
 
-    old = streams.merge_ladders(None, packed(t.ranked.where("rank <= 40"), "2024-01-01 00:00:00"))
-    new = packed(t.ranked.where("rank between 21 and 60 and region <> 'ASIA'"), "2024-01-01 06:00:00")
+_BEST = "SELECT bracket, region, character_id, rank, CAST(floor(rating) AS INTEGER) AS rating FROM (SELECT *, row_number() OVER (PARTITION BY bracket, region, character_id ORDER BY rank) AS k FROM ranked WHERE rank <= CASE WHEN bracket IN ('2v2', '3v3') THEN 2500 ELSE 500 END AND {}) WHERE k = 1"
+#: All ladders, and then newer ones of all regions but one, with fewer entries.
+TWO_SNAPSHOTS = _BEST.format("entry_id % 3 <> 0 AND region <> 'ASIA'") + " UNION ALL " + _BEST.format("region = 'ASIA'")
+
+
+@query(TWO_SNAPSHOTS, "ranked")
+def merged_ladders(t: Ladder) -> DataFrame:
+    old = streams.merge_ladders(None, ladder_payloads(t.ranked, "2024-01-01 00:00:00"))
+    new = ladder_payloads(t.ranked.where("region <> 'ASIA' and entry_id % 3 <> 0"), "2024-01-01 06:00:00")
     return streams.merge_ladders(old, new).select("bracket", "region", "character_id", "rank", "rating")
 
 

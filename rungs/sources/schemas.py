@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-LADDER = "season_id BIGINT, bracket STRING, region STRING, fetched_at TIMESTAMP, entries ARRAY<STRUCT<character: STRUCT<id: BIGINT, name: STRING, realm: STRUCT<slug: STRING>>, faction: STRUCT<type: STRING>, rank: INT, rating: INT, season_match_statistics: STRUCT<won: INT, lost: INT>>>"
+LADDER = "season_id BIGINT, bracket STRING, region STRING, fetched_at TIMESTAMP, offset BIGINT, entries ARRAY<STRUCT<character: STRUCT<id: BIGINT, name: STRING, realm: STRUCT<slug: STRING>>, faction: STRUCT<type: STRING>, rank: INT, rating: INT, season_match_statistics: STRUCT<won: INT, lost: INT>>>"
 
 EQUIPMENT = (
     "character_id BIGINT, spec_id INT, equipped_items ARRAY<STRUCT<item: STRUCT<id: BIGINT>, slot: STRUCT<type: STRING>, level: STRUCT<value: INT>, name: STRING, inventory_type: STRUCT<type: STRING>, "

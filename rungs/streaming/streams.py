@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators.dims import dropped_entries
 from ..sources import ingest, schemas
@@ -54,11 +54,12 @@ def _read(table: Callable[[], DataFrame]) -> DataFrame | None:
         raise
 
 
-def ladder_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def ladder_sink(stream: DataFrame, path: str, checkpoint: str, before_overwrite: Callable[[int], None] | None = None) -> StreamingQuery:
     """Keeps the entries at path, partitioned by ladder: a batch rewrites the ladders that it has payloads of, and no others.
 
     What becomes of them is written aside first and noted, and from there over their partitions: a batch that is
-    repeated after a crash is taken from there, and gives the same.
+    repeated after a crash is taken from there, and gives the same. before_overwrite is called with the batch's number
+    between the two; an error in it ends the query there.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -67,9 +68,11 @@ def ladder_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         if noted is None or noted.where(F.col("batch") == batch_id).isEmpty():
             stored = stored_ladders(spark, path)
             if stored is not None:
-                stored = stored.join(F.broadcast(batch.select(*_LADDER).distinct()), _LADDER, "left_semi")  # a row a payload
+                stored = stored.join(batch.select(*_LADDER).distinct(), _LADDER, "left_semi")
             merge_ladders(stored, batch).write.mode("overwrite").parquet(aside)
             spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{path}/noted")
+        if before_overwrite:
+            before_overwrite(batch_id)
         out = spark.read.parquet(aside).repartition(*_LADDER)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_LADDER).parquet(f"{path}/entries")
 
@@ -83,22 +86,61 @@ def job_windows(metrics: DataFrame, late: str = "2 hours", width: str = "1 hour"
     return out.select(F.col("window.start").alias("hour"), "job_class", "total", "failed", "avg_duration")
 
 
-def milestone_stream(progress: DataFrame, steps: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+class Milestones(StatefulProcessor):
+    """The highest share of each cycle so far, as typed state, and a timer that ends a finished cycle's state."""
+
+    def __init__(self, steps: tuple[int, ...], keep_ms: int):
+        self.steps, self.keep_ms = steps, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.share = handle.getValueState("share", StructType([StructField("pct", IntegerType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        before = self.share.get()[0] if self.share.exists() else 0
+        now, last = before, 0
+        for r in rows:
+            if r["expected"] and r["expected"] > 0 and r["done"] is not None:
+                now = max(now, int(r["done"] * 100 // r["expected"]))
+            if r["at"] is not None:
+                last = max(last, int(r["at"].timestamp() * 1000))
+        self.share.update((now,))
+        if before < 100 <= now:
+            self.handle.registerTimer(last + self.keep_ms)
+        return iter([Row(cycle_id=key[0], milestone=s) for s in self.steps if before < s <= now])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        self.share.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which typed state needs."""
+    before = spark.conf.get(_PROVIDER[0], None)
+    spark.conf.set(*_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER[0], before) if before else spark.conf.unset(_PROVIDER[0])
+
+
+def milestone_stream(progress: DataFrame, steps: tuple[int, ...] = (25, 50, 75), late: str = "1 hour", keep_hours: int = 24) -> DataFrame:
     """cycle_id, milestone: each milestone of a cycle once, when its share of done is first seen to reach it. progress:
-    cycle_id, done, expected; the state is the highest share so far."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else 0
-        now = before
-        for f in frames:
-            f = f[f["expected"] > 0]
-            if len(f):
-                now = max(now, int((f["done"] * 100 // f["expected"]).max()))
-        state.update((now,))
-        crossed = [s for s in steps if before < s <= now]
-        yield pd.DataFrame({"cycle_id": [key[0]] * len(crossed), "milestone": crossed}).astype({"cycle_id": "int64", "milestone": "int32"})
-
-    return progress.groupBy("cycle_id").applyInPandasWithState(run, "cycle_id long, milestone int", "pct int", "append", GroupStateTimeout.NoTimeout)
+    cycle_id, at, done, expected. Start it inside rocksdb_state().
+
+    The state is a number a cycle, and goes keep_hours of event time after the cycle is done; rows that come
+    later than `late` are left out, so that a cycle whose state has gone doesn't begin again.
+    """
+    out = StructType([StructField("cycle_id", LongType()), StructField("milestone", IntegerType())])
+    rows = progress.withWatermark("at", late).select("cycle_id", "at", "done", "expected")
+    return rows.groupBy("cycle_id").transformWithState(Milestones(steps, keep_hours * 3_600_000), out, "append", "eventTime")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:

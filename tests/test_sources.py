@@ -192,7 +192,7 @@ def test_ladder_stream_keeps_the_newest_ladder(spark, tmp_path):
     assert got == [("2v2", 2, 1), ("2v2", 3, 2), ("3v3", 8, 1), ("3v3", 9, 2)]
 
 
-def test_metric_and_milestone_streams(spark, tmp_path):
+def test_metric_stream(spark, tmp_path):
     rows = [(i, "a", NOW + dt.timedelta(minutes=20 * i), float(i), i % 2 == 0, None) for i in range(9)]
     spark.createDataFrame(rows, schemas.METRICS).coalesce(1).write.parquet(str(tmp_path / "m"))
     spark.createDataFrame([(99, "a", NOW + dt.timedelta(hours=9), 1.0, True, None)], schemas.METRICS).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
@@ -200,8 +200,25 @@ def test_metric_and_milestone_streams(spark, tmp_path):
     streams.run_once(streams.job_windows(s), str(tmp_path / "w"), str(tmp_path / "wc")).awaitTermination()
     got = sorted((r.hour.hour, r.total, r.failed) for r in spark.read.parquet(str(tmp_path / "w")).collect())
     assert got == [(0, 3, 1), (1, 3, 2), (2, 3, 1)]
-    p = spark.createDataFrame([(1, 10, 100), (1, 60, 100), (2, 80, 100), (3, 1, 0)], "cycle_id long, done long, expected long")
-    p.write.parquet(str(tmp_path / "p"))
-    q = streams.milestone_stream(spark.readStream.schema(p.schema).parquet(str(tmp_path / "p")))
-    streams.run_once(q, str(tmp_path / "ms"), str(tmp_path / "msc")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "ms")).collect())) == [(1, 25), (1, 50), (2, 25), (2, 50), (2, 75)]
+
+
+def test_milestone_stream_forgets_finished_cycles(spark, tmp_path):
+    schema, at = "cycle_id long, at timestamp, done long, expected long", lambda h: NOW + dt.timedelta(hours=h)
+    batches = [
+        [(1, at(0), 10, 100), (1, at(0), 60, 100), (2, at(0), 80, 100), (3, at(0), 1, 0), (4, at(0), None, 9)],
+        [(1, at(1), 55, 100), (1, at(1), 100, 100), (5, at(1), 30, 100)],
+        [(5, at(30), 50, 100)],
+        [(1, at(1), 100, 100), (2, at(31), 90, 100)],  # late: cycle 1 doesn't begin again
+    ]
+    found, states = [], []
+    with streams.rocksdb_state(spark):
+        for b in batches:
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+            q = streams.run_once(streams.milestone_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "p"))), str(tmp_path / "ms"), str(tmp_path / "msc"))
+            q.awaitTermination()
+            states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+            found.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / "ms")).collect())))
+    assert found[0] == [(1, 25), (1, 50), (2, 25), (2, 50), (2, 75)]
+    assert found[1] == sorted(found[0] + [(1, 75), (5, 25)])
+    assert found[2] == found[3] == sorted(found[1] + [(5, 50)])
+    assert states == [0]
