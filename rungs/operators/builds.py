@@ -61,28 +61,35 @@ def with_talents(cohort: DataFrame, talents: DataFrame) -> DataFrame:
     return cohort.join(own, ["character_id", "spec_id"], "left")
 
 
-def full_usage(cohort: DataFrame, dim: DataFrame, assignments: DataFrame) -> DataFrame:
-    """What with_build() makes of weighted_usage(), modal_build() and modal_rank(), in one pass over a weighted cohort with_talents().
-
-    Each character gives a row of weight to its group, its build and each of its talents at its rank. These are summed
-    together; what is left of a group, its talents by rank and its builds, is weighed in one window.
-    """
+def usage_facts(cohort: DataFrame) -> DataFrame:
+    """bracket, spec_id, kind, talent_id, rank, build, n: weights of a weighted cohort with_talents(), summed: of the group
+    (kind 0), of each build (1) and of each talent at each rank (2). Sums of parts of a cohort add up to the whole's."""
     ids = F.array_sort(F.transform(F.filter("talents", lambda t: t["rank"] > 0), lambda t: t["talent_id"]))
-    talent, build = F.lit(None).cast("struct<talent_id:long,rank:int>"), F.lit(None).cast("array<long>")
-    fact = lambda kind, t, b: F.struct(F.lit(kind).alias("kind"), t.cast("struct<talent_id:long,rank:int>").alias("t"), b.cast("array<long>").alias("build"))
+    none = F.lit(None)
+    fact = lambda kind, talent, rank, build: F.struct(F.lit(kind).alias("kind"), talent.cast("long").alias("talent_id"), rank.cast("int").alias("rank"), build.cast("array<long>").alias("build"))
     facts = F.concat(
-        F.array(fact(0, talent, build)),
-        F.when(F.size(ids) > 0, F.array(fact(1, talent, ids))).otherwise(F.array()),
-        F.coalesce(F.transform("talents", lambda t: fact(2, t, build)), F.array()),
+        F.array(fact(0, none, none, none)),
+        F.when(F.size(ids) > 0, F.array(fact(1, none, none, ids))).otherwise(F.array()),
+        F.coalesce(F.transform("talents", lambda t: fact(2, t["talent_id"], t["rank"], none)), F.array()),
     )
     rows = cohort.select("bracket", "spec_id", "weight", F.explode(facts).alias("f"))
-    rows = rows.groupBy("bracket", "spec_id", "f.kind", "f.t", "f.build").agg(F.sum("weight").alias("w"))
+    return rows.groupBy("bracket", "spec_id", "f.kind", "f.talent_id", "f.rank", "f.build").agg(F.sum("weight").alias("n"))
+
+
+def usage_of(facts: DataFrame, dim: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Usage, tier, in_top_build and top_build_rank of the talents of usage_facts(). What is left of a group there, its
+    talents by rank and its builds, is weighed in one window."""
     group = W.partitionBy("bracket", "spec_id")
-    best = group.orderBy(F.when(F.col("kind") == 1, F.col("w")).desc_nulls_last(), "build").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumns({"total": F.max(F.when(F.col("kind") == 0, F.col("w"))).over(group), "top": F.first("build").over(best)}).where("kind = 2")
-    ranked = F.max_by("t.rank", F.when(F.col("t.rank") > 0, F.struct("w", -F.col("t.rank"))))
-    used = rows.groupBy("bracket", "spec_id", F.col("t.talent_id").alias("talent_id")).agg(F.sum("w").alias("usage_count"), F.max("total").alias("total"), F.bool_or(F.array_contains("top", F.col("t.talent_id"))).alias("in_top_build"), F.coalesce(ranked, F.lit(0)).alias("top_build_rank"))
+    best = group.orderBy(F.when(F.col("kind") == 1, F.col("n")).desc_nulls_last(), "build").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = facts.withColumns({"total": F.max(F.when(F.col("kind") == 0, F.col("n"))).over(group), "top": F.first("build").over(best)}).where("kind = 2")
+    ranked = F.max_by("rank", F.when(F.col("rank") > 0, F.struct("n", -F.col("rank"))))
+    used = rows.groupBy("bracket", "spec_id", "talent_id").agg(F.sum("n").alias("usage_count"), F.max("total").alias("total"), F.bool_or(F.array_contains("top", F.col("talent_id"))).alias("in_top_build"), F.coalesce(ranked, F.lit(0)).alias("top_build_rank"))
     rows = used.join(dim.select("talent_id", "talent_type"), "talent_id").join(assignments.select("talent_id", "spec_id", "default_points"), ["talent_id", "spec_id"], "left")
     rows = rows.withColumns({"default_points": F.coalesce("default_points", F.lit(0)), "in_top_build": F.coalesce("in_top_build", F.lit(False)), "usage_pct": X.pct(F.col("usage_count"), F.col("total"), 4)})
     tier = sql_tier(F.col("default_points"), F.col("usage_pct")).alias("tier")
     return rows.select("bracket", "spec_id", "talent_id", "talent_type", "default_points", "usage_count", "usage_pct", tier, "in_top_build", "top_build_rank")
+
+
+def full_usage(cohort: DataFrame, dim: DataFrame, assignments: DataFrame) -> DataFrame:
+    """What with_build() makes of weighted_usage(), modal_build() and modal_rank(), in one pass over a weighted cohort with_talents()."""
+    return usage_of(usage_facts(cohort), dim, assignments)

@@ -30,26 +30,43 @@ ENCHANTS = PopularitySpec("enchantment_id", ("slot",))
 GEMS = PopularitySpec("gem_id", ("slot", "socket_type"), "entities", ("slot",))
 
 
-def popularity(cohort: DataFrame, facts: DataFrame, spec: PopularitySpec) -> DataFrame:
-    """bracket, spec_id, dims, item, usage_count, total, usage_pct for every item that the cohort has.
+def counts(cohort: DataFrame, facts: DataFrame, spec: PopularitySpec) -> DataFrame:
+    """bracket, spec_id, dims, item, n: how often the cohort has each item; and, where the share is of entities, how many
+    characters have a row in base_dims, as rows without an item (the other dims are null too).
 
-    facts: a row for each thing of a character and spec. Counted first, so that only sums are shuffled on; the total is
-    a sum over the few counted rows.
+    facts: a row for each thing of a character and spec. Counts of parts of a cohort add up to the whole's.
     """
     keys = ["bracket", "spec_id", *spec.dims]
     worn = cohort.select("bracket", "character_id", "spec_id").join(facts, ["character_id", "spec_id"])
+    there = F.col(spec.item).isNotNull()
+    if spec.denominator == "rows":
+        return worn.where(there).groupBy(*keys, spec.item).agg(F.count("*").alias("n"))
+    # each character once for its item, and once for what the item is a share of
+    base = [F.col(d) if d in spec.base_dims else F.lit(None).cast(worn.schema[d].dataType).alias(d) for d in spec.dims]
+    whole = worn.select("bracket", "spec_id", *base, F.lit(None).cast(worn.schema[spec.item].dataType).alias(spec.item), "character_id")
+    return worn.where(there).select(*keys, spec.item, "character_id").union(whole).distinct().groupBy(*keys, spec.item).agg(F.count("*").alias("n"))
+
+
+def shares(counted: DataFrame, spec: PopularitySpec) -> DataFrame:
+    """bracket, spec_id, dims, item, usage_count, total, usage_pct of counts(). The total is a sum over the few counted rows."""
+    keys = ["bracket", "spec_id", *spec.dims]
+    there = F.col(spec.item).isNotNull()
     if spec.denominator == "rows":
-        counted = worn.where(F.col(spec.item).isNotNull()).groupBy(*keys, spec.item).agg(F.count("*").alias("usage_count"))
-        out = counted.withColumn("total", F.sum("usage_count").over(W.partitionBy(*keys)))
+        total = F.sum("n").over(W.partitionBy(*keys))
     else:
-        base = ["bracket", "spec_id", *spec.base_dims]
-        once = worn.where(F.col(spec.item).isNotNull()).select(*keys, spec.item, "character_id").distinct()
-        counted = once.groupBy(*keys, spec.item).agg(F.count("*").alias("usage_count"))
-        totals = worn.select(*base, "character_id").distinct().groupBy(*base).agg(F.count("*").alias("total"))
-        out = counted.join(totals, base)
+        total = F.max(F.when(~there, F.col("n"))).over(W.partitionBy("bracket", "spec_id", *spec.base_dims))
+    out = counted.withColumn("total", total).where(there).withColumnRenamed("n", "usage_count")
     return out.select(*keys, spec.item, "usage_count", "total", X.pct(F.col("usage_count"), F.col("total")).alias("usage_pct"))
 
 
+def popularity(cohort: DataFrame, facts: DataFrame, spec: PopularitySpec) -> DataFrame:
+    """bracket, spec_id, dims, item, usage_count, total, usage_pct for every item that the cohort has.
+
+    Counted first, so that only sums are shuffled on.
+    """
+    return shares(counts(cohort, facts, spec), spec)
+
+
 def popularity_trend(cohorts: DataFrame, facts: DataFrame, spec: PopularitySpec) -> DataFrame:
     """popularity() of each item with the share it had before, and the trend, in one pass: `old` tells the rows of cohorts that are of the version before.
 

@@ -1,4 +1,4 @@
-"""Queries that run a stream to its end, in several batches, over data that the tables give."""
+"""Queries of several steps: streams run to their end in several batches, and whole refreshes."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources import schemas
-from ..sources.scratch import shared_dir
+from ..sources import schemas, tables
+from ..sources.scratch import shared_dir, written
 from ..streaming import streams
+from . import build_all
+from .build_all import LadderTables
 from .payload_queries import TWO_SNAPSHOTS, ladder_payloads
-from .registry import query
+from .queries import _STALE, TOP_N
+from .registry import pct, query
 from .testdata import Ladder
 
 def _folder(t: Ladder, name: str) -> str:
@@ -84,3 +87,72 @@ def milestone_stream(t: Ladder) -> DataFrame:
             stream = t.spark.readStream.schema(schema).parquet(folder)
             streams.run_once(streams.milestone_stream(stream, late="10000 days"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return t.spark.read.schema("cycle_id long, milestone int").parquet(f"{out}/rows")
+
+
+# ---- stored tables -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH old AS (SELECT entry_id, rating, wins, losses FROM entries WHERE entry_id % 3 <> 0), new AS (SELECT entry_id, rating + 10 AS rating, wins + 1 AS wins FROM entries WHERE entry_id % 2 = 0)
+    SELECT coalesce(o.entry_id, n.entry_id) AS entry_id, CASE WHEN n.entry_id IS NOT NULL THEN n.rating ELSE o.rating END AS rating, CASE WHEN o.entry_id IS NULL THEN n.wins ELSE o.wins END AS wins, o.losses FROM old o FULL JOIN new n ON o.entry_id = n.entry_id""", "entries")
+def stored_upsert(t: Ladder) -> DataFrame:
+    path, e = _folder(t, "entries"), t.entries
+    tables.upsert_stored(path, e.where("entry_id % 3 <> 0").select("entry_id", "rating", "wins", "losses"), ["entry_id"], buckets=16)
+    tables.upsert_stored(path, e.where("entry_id % 2 = 0").select("entry_id", (F.col("rating") + 10).alias("rating"), (F.col("wins") + 1).alias("wins")), ["entry_id"], ["rating"])
+    return tables.stored(t.spark, path)
+
+
+# ---- whole refreshes -----------------------------------------------------------------------------------------------
+
+_ROWS = "SELECT '{0}' AS frame, bracket, spec_id, CAST(slot AS VARCHAR) AS slot, CAST(NULL AS VARCHAR) AS socket_type, CAST({1} AS VARCHAR) AS id, usage_count, {2} AS usage_pct FROM (SELECT *, CAST(sum(usage_count) OVER (PARTITION BY bracket, spec_id, slot) AS BIGINT) AS total FROM (SELECT bracket, c.spec_id, slot, {1}, count(*) AS usage_count FROM cohort c JOIN items i ON i.character_id = c.character_id AND i.spec_id = c.spec_id WHERE {1} IS NOT NULL GROUP BY ALL))"
+_SHARE = pct("usage_count", "total")
+_REFRESH = f"""WITH worn AS (SELECT bracket, c.spec_id, slot, socket_type, gem_id, c.character_id FROM cohort c JOIN sockets s ON s.character_id = c.character_id AND s.spec_id = c.spec_id),
+    rv AS (SELECT u.* FROM (SELECT u.* REPLACE (max(default_points) OVER w AS default_points, bool_or(in_top_build) OVER w AS in_top_build, max(top_build_rank) OVER w AS top_build_rank), row_number() OVER (PARTITION BY bracket, spec_id, node_id, name ORDER BY usage_pct DESC, u.talent_id) AS k FROM full_usage u JOIN talent_dim d ON d.talent_id = u.talent_id WINDOW w AS (PARTITION BY bracket, spec_id, node_id, name)) u WHERE k = 1),
+    {_STALE.removeprefix('WITH ').replace('full_usage', 'rv')}
+    {_ROWS.format('items', 'item_id', _SHARE)} UNION ALL {_ROWS.format('enchants', 'enchantment_id', _SHARE)}
+    UNION ALL SELECT 'gems', bracket, spec_id, CAST(slot AS VARCHAR), socket_type, CAST(gem_id AS VARCHAR), usage_count, {_SHARE} FROM (SELECT bracket, spec_id, slot, socket_type, gem_id, count(DISTINCT character_id) AS usage_count FROM worn WHERE gem_id IS NOT NULL GROUP BY ALL) JOIN (SELECT bracket, spec_id, slot, count(DISTINCT character_id) AS total FROM worn GROUP BY ALL) USING (bracket, spec_id, slot)
+    UNION ALL SELECT 'talents', bracket, spec_id, NULL, NULL, CAST(talent_id AS VARCHAR), usage_count, usage_pct FROM stale u WHERE EXISTS (SELECT 1 FROM assignments a WHERE a.talent_id = u.talent_id AND a.spec_id = u.spec_id) OR EXISTS (SELECT 1 FROM talent_dim d WHERE d.talent_id = u.talent_id AND d.icon IS NOT NULL)"""
+_PARTS = ("cohort", "items", "sockets", "full_usage", "talent_dim", "assignments")
+
+
+def _tables(t: Ladder, **changed: DataFrame) -> LadderTables:
+    own = {"entries": t.entries, "items": t.items, "sockets": t.sockets, "talents": t.talents, "dim": t.talent_dim, "assignments": t.assignments, "edges": t.edges}
+    return LadderTables(**(own | changed))
+
+
+def _published(t: Ladder, path: str) -> DataFrame:
+    """The live frames of a refresh as one table."""
+    out = None
+    for name, item in (("items", "item_id"), ("enchants", "enchantment_id"), ("gems", "gem_id"), ("talents", "talent_id")):
+        df = tables.published(t.spark, path, name)
+        column = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)  # noqa: B023, E731
+        rows = df.select(F.lit(name).alias("frame"), "bracket", "spec_id", column("slot"), column("socket_type"), F.col(item).cast("string").alias("id"), "usage_count", F.col("usage_pct").cast("double").alias("usage_pct"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(_REFRESH, *_PARTS)
+def full_refresh(t: Ladder) -> DataFrame:
+    """All frames of a refresh, as they are published."""
+    path = _folder(t, "refresh")
+    build_all.build_all(_tables(t), path, 1, TOP_N)
+    return _published(t, path)
+
+
+@query(_REFRESH, *_PARTS)
+def changed_refresh(t: Ladder) -> DataFrame:
+    """The same out of an older refresh, in which the cohort was another, a seventh of the characters had other items and sockets, and an eighth other talents."""
+    path, id_ = _folder(t, "refresh"), F.col("character_id")
+    now = _tables(t)
+    then = _tables(
+        t,
+        entries=t.entries.where("entry_id % 4 <> 0"),
+        items=t.items.withColumn("item_id", F.when(id_ % 7 == 0, F.lit("Brand#00")).otherwise(F.col("item_id"))),
+        sockets=t.sockets.where((id_ % 7 != 0) | (F.col("slot") > 2)),
+        talents=t.talents.where((id_ % 8 != 0) | (F.col("talent_id") % 2 == 0)),
+    )
+    old = build_all.snapshot(then, TOP_N)
+    before = {name: written(df, name) for name, df in build_all.counted(old).items()}
+    build_all.publish_counts(then, before, path, 1)
+    changed = t.table("customer").where((F.col("c_custkey") % 7 == 0) | (F.col("c_custkey") % 8 == 0)).select(F.col("c_custkey").alias("character_id"), F.col("c_nationkey").alias("spec_id"))
+    build_all.build_changed(now, before, old, changed, path, 2, TOP_N)
+    return _published(t, path)

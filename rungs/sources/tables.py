@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_only: list[str] | None = None) -> DataFrame:
     """target with updates by keys: rows it has get the columns of update_only (all of the updates' by default), others
@@ -27,6 +30,43 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_only:
     return both.select(*cols)
 
 
+#: Beginning of the name of the column by which a stored table is partitioned; the number of buckets follows.
+_BUCKET = "key_bucket_of_"
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What upsert_stored() keeps at path; None where there is nothing yet."""
+    df = _read_or_none(spark, path)
+    return None if df is None else df.drop(*[c for c in df.columns if c.startswith(_BUCKET)])
+
+
+def upsert_stored(path: str, updates: DataFrame, keys: list[str], update_only: list[str] | None = None, buckets: int = 256) -> None:
+    """upsert() into the table at path, which is partitioned by a bucket of its keys: only the buckets that updates have
+    keys in are read and written again, the files of the others stay.
+
+    The first updates make the table, with its columns and number of buckets. Touched buckets are written aside first.
+    After a crash some buckets have the updates and some don't: the same call again gives the whole.
+    """
+    old = _read_or_none(updates.sparkSession, path)
+    column = f"{_BUCKET}{buckets}" if old is None else next(c for c in old.columns if c.startswith(_BUCKET))
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(column.removeprefix(_BUCKET)))).cast("int")
+    merged = updates.withColumn(column, bucket)
+    if old is not None:
+        touched = [r[0] for r in merged.select(column).distinct().collect()]  # no more numbers than buckets
+        merged = upsert(old.where(F.col(column).isin(touched)).drop(column), updates, keys, update_only).withColumn(column, bucket)
+        merged = written(merged, "upsert")
+    merged.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
 def _same(keys: list[str]) -> list[Column]:
     """Keys and their _key_ copies are alike; null is a key like any other."""
     return [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
@@ -49,8 +89,8 @@ def replace_slice(target: DataFrame, slices: DataFrame, rows: DataFrame) -> Data
 def update_from(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """target with the columns of updates where they differ, nulls counting as values; `changed` tells which rows did."""
     cols = [c for c in updates.columns if c != key]
-    u = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_there"))
-    rows = target.join(u, key, "left")
+    u = updates.select(F.col(key).alias(f"_key_{key}"), *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_there"))
+    rows = target.join(u, _same([key]), "left")
     there = F.coalesce("_there", F.lit(False))
     differs = [there & ~F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in cols]
     changed = differs[0]
@@ -61,8 +101,9 @@ def update_from(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def replace_groups(target: DataFrame, rows: DataFrame, groups: list[str], keys: list[str]) -> DataFrame:
-    """Upsert by keys, and then only the rows' keys stay in the groups that rows have; an empty `rows` changes nothing."""
-    rest = target.join(rows.select(*groups).distinct(), groups, "left_anti")
+    """Upsert by keys, and then only the rows' keys stay in the groups that rows have; an empty `rows` changes nothing.
+    Null is a group and a key like any other."""
+    rest = target.join(_keys_of(rows, groups), _same(groups), "left_anti")
     return rest.unionByName(rows.dropDuplicates([*groups, *keys]))
 
 
@@ -84,9 +125,25 @@ def _log(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
 
 
 def _note(spark: SparkSession, path: str, cycle: int, state: str) -> None:
-    """Adds one file to the log; nothing that is there changes, so that a crash leaves the live cycle as it was."""
+    """Adds one file to the log; nothing that is there changes, so that a crash leaves the live cycle as it was. The file's
+    name is the place in the log, and is made only if no one else has: of two publishers one comes after the other."""
     seq = max([r[0] for r in _log(spark, path)], default=0) + 1
-    spark.createDataFrame([(seq, cycle, state)], _LOG).coalesce(1).write.mode("append").json(f"{path}/live")
+    while not _made(spark, f"{path}/live/{seq:012d}.json", f'{{"seq": {seq}, "cycle_id": {cycle}, "state": "{state}"}}\n'):
+        seq += 1
+
+
+def _made(spark: SparkSession, file: str, text: str) -> bool:
+    """Makes a small file of text; False, and nothing is done, if it is there already."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(file)
+    try:
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    except Py4JJavaError as e:
+        if "already exists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
 
 
 def live_cycle(spark: SparkSession, path: str) -> int | None:
@@ -105,8 +162,8 @@ def publish(frames: dict[str, DataFrame], path: str, cycle: int, keep_old: bool
     done: list[str] = []
     try:
         for name, df in frames.items():
-            df.write.mode("overwrite").parquet(_version(path, name, cycle))
             done.append(name)
+            df.write.mode("overwrite").parquet(_version(path, name, cycle))
     except Exception:
         purge(spark, path, done, cycle)
         raise
@@ -131,7 +188,8 @@ def purge(spark: SparkSession, path: str, names: list[str], cycle: int) -> None:
     _note(spark, path, cycle, "purged")
     for name in names:
         version = _version(path, name, cycle)
-        spark.createDataFrame([], spark.read.parquet(version).schema).write.mode("overwrite").parquet(version)
+        if (rows := _read_or_none(spark, version)) is not None:
+            spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(version)
 
 
 def published(spark: SparkSession, path: str, name: str) -> DataFrame | None:

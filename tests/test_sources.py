@@ -221,4 +221,53 @@ def test_milestone_stream_forgets_finished_cycles(spark, tmp_path):
     assert found[0] == [(1, 25), (1, 50), (2, 25), (2, 50), (2, 75)]
     assert found[1] == sorted(found[0] + [(1, 75), (5, 25)])
     assert found[2] == found[3] == sorted(found[1] + [(5, 50)])
-    assert states == [0]
+    assert states == [4, 5, 4, 4]  # cycle 1 has gone
+
+
+def test_upsert_leaves_untouched_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.stored(spark, path) is None
+    tables.upsert_stored(path, spark.createDataFrame([(i, i, "a") for i in range(200)] + [(None, -1, "n")], "k long, v long, w string"), ["k"], buckets=8)
+    files = lambda: {f.parent.name: f.name for f in (tmp_path / "t").glob("*/part-*")}
+    before = files()
+    assert len(before) == 8
+    tables.upsert_stored(path, spark.createDataFrame([(7, 70), (None, 5)], "k long, v long"), ["k"], buckets=99)
+    after = files()
+    assert sorted(after) == sorted(before) and sum(before[b] != after[b] for b in before) <= 2
+    tables.upsert_stored(path, spark.createDataFrame([(1000, 1, "z"), (7, 71, "z")], "k long, v long, w string"), ["k"], ["v"])
+    got = {r.k: (r.v, r.w) for r in tables.stored(spark, path).collect()}
+    assert len(got) == 202 and got[7] == (71, "a") and got[None] == (5, "n") and got[1000] == (1, "z") and got[8] == (8, "a")
+
+
+def test_null_groups_are_replaced(spark):
+    schema = "g string, k int, v int"
+    old = spark.createDataFrame([("a", 1, 1), (None, 1, 1), (None, None, 1), ("b", 1, 1)], schema)
+    new = spark.createDataFrame([(None, 1, 2), ("a", None, 2)], schema)
+    once = tables.replace_groups(old, new, ["g"], ["k"])
+    want = [("a", None, 2), ("b", 1, 1), (None, 1, 2)]
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, tables.replace_groups(once, new, ["g"], ["k"]).collect()), key=repr) == sorted(want, key=repr)
+    changed = tables.update_from(old.select("g", "v"), spark.createDataFrame([(None, 9)], "g string, v int"), "g")
+    assert sorted(map(tuple, changed.collect()), key=repr) == sorted([("a", 1, False), ("b", 1, False), (None, 9, True), (None, 9, True)], key=repr)
+
+
+def test_two_publishers_come_one_after_the_other(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    seen = tables._log(spark, path)
+    tables._note(spark, path, 9, "live")
+    real = tables._log
+    monkeypatch.setattr(tables, "_log", lambda *a: seen)  # the second has looked before the first wrote
+    tables._note(spark, path, 5, "live")
+    monkeypatch.setattr(tables, "_log", real)
+    assert real(spark, path) == [(1, 9, "live"), (2, 5, "live")] and tables.live_cycle(spark, path) == 5
+
+
+def test_frame_that_fails_half_written_is_emptied(spark, tmp_path):
+    path = str(tmp_path / "p")
+    good = spark.range(3)
+    bad = spark.range(3).selectExpr("id", "raise_error('no') AS x")
+    with pytest.raises(Exception, match="no"):
+        tables.publish({"good": good, "bad": bad}, path, 1)
+    assert spark.read.parquet(f"{path}/good/cycle_id=1").count() == 0 and tables.live_cycle(spark, path) is None
+    tables.publish({"good": good}, path, 1)
+    assert tables.published(spark, path, "good").count() == 3
