@@ -24,6 +24,19 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def exponent(*arrays: np.ndarray) -> int:
+    """The power of two over all numbers of arrays: divided by it, none is greater than 1, and squares and their sums stay in range."""
+    return max(int(np.frexp(np.abs(a).max(initial=0.0))[1]) for a in arrays)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows of x to q in doubles, whatever their size: scaled by powers of two, which doesn't change a digit."""
+    diff = x - q
+    by = np.frexp(np.abs(diff).max(axis=1, initial=0.0))[1]
+    scaled = np.ldexp(diff, -by[:, None])
+    return np.ldexp(np.sqrt((scaled**2).sum(axis=1)), by)
+
+
 def square_distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Squared distances of each q (m, d) to its own x (m, k, d)."""
     return np.einsum("mkd,mkd->mk", d := x - q[:, None, :], d)
@@ -98,7 +111,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
 
     From a random graph, each node in turn is searched for in the graph as it is; what the search meets, pruned, are
     its new edges, and each of these gets an edge back, pruned where there are too many. Twice: with no relaxation,
-    and with alpha. The same vectors in the same order give the same graph.
+    and with alpha. The same vectors in the same order give the same graph. Squares of the numbers have to be in range.
     """
     n = len(x)
     rng = np.random.default_rng(seed)
@@ -145,7 +158,7 @@ def build_index(rows: DataFrame, copies: int, vec_id: str = "vec_id", vector: st
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda s: s.map(lambda x: x[0]), ignore_index=True)
         x = np.stack(part["v"].to_numpy())
-        graph, entries = build_graph(x)
+        graph, entries = build_graph(np.ldexp(x, -exponent(x)))
         return pd.DataFrame({"dim": [part["dim"][0]], "shard": [part["shard"][0]], "vectors": [x.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entries": [entries.astype(np.int32).tobytes()], "owners": [list(part["ids"])]})
 
     # a task a shard: shards are few and take seconds each
@@ -173,7 +186,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "v
     both = both.repartition(parts, "dim", "shard").sortWithinPartitions("dim", "shard", "query").select("query", "dim", "shard", "vectors", "graph", "entries", "owners", "id", "vh", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = graph = entries = owners = None
+        x = graph = entries = owners = scaled = None
+        power = 0
         for batch in batches:
             kind = batch["query"].to_numpy(zero_copy_only=False)
             place = batch["dim"].to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch["shard"].to_numpy(zero_copy_only=False)
@@ -185,15 +199,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "v
                     x = np.frombuffer(batch["vectors"][i].as_py()).reshape(-1, batch["dim"][i].as_py())
                     graph = np.frombuffer(batch["graph"][i].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
                     entries, owners = np.frombuffer(batch["entries"][i].as_py(), np.int32).astype(np.int64), batch["owners"][i].as_py()
+                    power = exponent(x)
+                    scaled = np.ldexp(x, -power)
                     continue
                 for at in range(i, j, 256):
                     part = batch.slice(at, min(256, j - at))
                     ids, vs = part["id"].to_pylist(), part["v"].flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    near, _ = beam_search(x, graph, entries, vs, max(beam, 2 * k))
+                    if (larger := exponent(vs)) > power:
+                        power, scaled = larger, np.ldexp(x, -larger)
+                    near, _ = beam_search(scaled, graph, entries, np.ldexp(vs, -power), max(beam, 2 * k))
                     out: tuple[list, list, list, list] = ([], [], [], [])
                     for own, vh, q_, found in zip(ids, part["vh"].to_pylist(), vs, near, strict=True):
                         found = found[found >= 0]
-                        score = np.sqrt(((x[found] - q_) ** 2).sum(axis=1))
+                        score = distances(x[found], q_)
                         rows = sorted((s, o) for s, f in zip(score.tolist(), found.tolist(), strict=True) for o in owners[f] if o != own)[:k]
                         out[0].extend([own] * len(rows)), out[1].extend([vh] * len(rows)), out[2].extend(o for _, o in rows), out[3].extend(s for s, _ in rows)
                     yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["query_id", "vh", "vec_id", "score"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
-#: Hash bits, embedding width, and the bound on labelled rows that a model is fitted on: so many a language, so many languages.
-BITS, WIDTH, ROWS_A_LANGUAGE, LANGUAGES = 14, 16, 400, 256
+#: Hash bits, embedding width, and the bound on labelled rows that a model is fitted on: so many a language, so many in all
+#: (every language keeps a few), and so many bytes of counts, shared evenly by the languages.
+BITS, WIDTH, ROWS_A_LANGUAGE, ROWS, LEAST_ROWS, BYTES = 14, 16, 400, 102_400, 5, 256 << 20
+#: Languages up to which a table with a row for each is broadcast (some 5 MB).
+_BROADCAST = 100_000
 #: Share of rightly labelled validation documents that may fall under the rejection threshold.
 REJECTED = 0.002
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def subwords(text: str) -> np.ndarray:
@@ -54,7 +55,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and calibrated probability; UNDETERMINED and 0 for no letter, or with nothing learned."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0
         h = subwords(text)
         z = (self.logits(h) if len(h) else self.bias) / self.temperature
@@ -64,28 +65,33 @@ class Model:
 
 
 def training_rows(labelled: DataFrame, lang: str = "lang") -> pd.DataFrame:
-    """lang, hashes, counts of a sample for fit(): at most ROWS_A_LANGUAGE of each of the LANGUAGES commonest languages.
+    """lang, hashes, counts of a sample for fit(): at most ROWS_A_LANGUAGE of each language, and fewer where there are so many languages that these exceed ROWS.
 
     The sample goes by the hash of text and id: the least hashes of each language set a limit, and only rows under it
     have their whole texts turned into counts, where they are. Only rows under a first, rougher limit, by the number
     of a language's rows, are put in order, so that no language's rows meet in one task. Repeated rows count once.
+    Of a language whose counts take more than its share of BYTES the rows of the largest hashes are left out.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
     # hashes are even over the longs: under this limit lie about twice the rows wanted, whatever a language has
-    named = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    share = F.least(F.lit(1.0), 2.0 * ROWS_A_LANGUAGE / F.col("d"))
-    named = F.broadcast(named.select("lang", (share * 2.0**64 - 2.0**63).alias("about")))
-    rows = rows.join(named, "lang").where(F.col("h").cast("double") <= F.col("about")).drop("about")
-    first = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= ROWS_A_LANGUAGE)
-    limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))  # a row a language
-    rows = rows.join(limits, "lang").where("h <= limit")
+    named = written(rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("d")), "languages")
+    many = max(1, named.count())
+    wanted = max(LEAST_ROWS, min(ROWS_A_LANGUAGE, ROWS // many))
+    small = F.broadcast if many <= _BROADCAST else lambda df: df
+    share = F.least(F.lit(1.0), 2.0 * wanted / F.col("d"))
+    rows = rows.join(small(named.select("lang", (share * 2.0**64 - 2.0**63).alias("about"))), "lang").where(F.col("h").cast("double") <= F.col("about")).drop("about")
+    first = rows.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("k") <= wanted)
+    rows = rows.join(small(first.groupBy("lang").agg(F.max("h").alias("limit"))), "lang").where("h <= limit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = [np.unique(subwords(t), return_counts=True) for t in b["text"].to_pylist()]
             yield pa.record_batch([b["lang"], b["h"], pa.array([x.astype(np.int32).tobytes() for x, _ in pairs], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in pairs], pa.binary())], names=["lang", "h", "hashes", "counts"])
 
-    return rows.select("lang", "h", "text").mapInArrow(count, "lang string, h long, hashes binary, counts binary").dropDuplicates(["lang", "h"]).toPandas().sort_values(["h", "lang"], ignore_index=True)
+    sample = rows.select("lang", "h", "text").mapInArrow(count, "lang string, h long, hashes binary, counts binary").dropDuplicates(["lang", "h"])
+    size = F.octet_length("hashes") + F.octet_length("counts")
+    before = F.sum(size.cast("long")).over(W.partitionBy("lang").orderBy("h")) - size  # of a bounded number of rows
+    return sample.withColumn("before", before).where(F.col("before") < BYTES // many).drop("before").toPandas().sort_values(["h", "lang"], ignore_index=True)
 
 
 def fit(sample: pd.DataFrame, epochs: int = 12, rate: float = 2.0, batch: int = 64, seed: int = 7) -> Model:
@@ -147,7 +153,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFra
     Rejected are texts that are null or have no letter, and those with a score under the model's threshold.
     """
     name = fresh("language", docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: hash buckets times languages, both bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 KB a language
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:

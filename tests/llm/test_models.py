@@ -302,3 +302,65 @@ def test_thresholds_and_keep_are_what_brute_force_gives(spark):
         assert x.threshold == pytest.approx(1.1 * math.exp((at + 1) * kn_quality.STEP))
         assert x.keep == (x.perplexity is not None and x.perplexity <= x.threshold)
     assert sum(not x.keep for x in out if x.doc_id is not None and x.doc_id < 200 and x.doc_id % 7 == 0) > 20
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-170, 1.7e308, 5e-324])
+def test_vectors_of_any_size_are_searched(spark, size):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(-1, 1, (30, 4)) * 8) * (size if size < 1e-300 else size / 8)
+    x[0] = [size, 0, 0, 0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in graph_ann.search(graph_ann.build_index(df, 11), df.where("vec_id % 10 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [i for i in (0, 10, 20) if x[i].any()]
+    for q, rows in got.items():
+        with np.errstate(over="ignore"):
+            want = sorted((float(graph_ann.distances(x[i : i + 1], x[q])[0]), i) for i in range(30) if i != q and x[i].any())[:10]
+        assert [(s, i) for _, i, s in sorted(rows)] == want
+
+
+def test_distances_are_plain_ones_where_these_are_in_range():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(500, 64)), rng.normal(size=64)
+    assert (graph_ann.distances(x, q) == np.sqrt(((x - q) ** 2).sum(axis=1))).all()
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    model = langid.fit(langid.training_rows(spark.createDataFrame(lang_docs(300, 3), "doc_id long, text string, lang string")))
+    assert {model.predict(t) for t in ("½ ² Ⅷ", "123 ...", "_", "①")} == {("und", 0.0)} and model.predict("é")[0] != "und"
+
+
+def test_sample_and_calibration_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_A_LANGUAGE", 30)
+    docs = lang_docs(400, 4)
+    docs += docs[:40] + [(900 + i, f"word{i} rare", f"x{i}") for i in range(300)]  # many languages of one row
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    hashed = df.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).distinct().collect()
+    want = {}
+    for la in {r.lang for r in hashed}:
+        for r in sorted((r for r in hashed if r.lang == la), key=lambda r: r.h)[:30]:
+            want[r.lang, r.h] = Counter(langid.subwords(r.text).tolist())
+    sample = langid.training_rows(df)
+    assert len(sample["lang"].unique()) > 300  # none is left out
+    got = {(r.lang, r.h): dict(zip(np.frombuffer(r.hashes, np.int32).tolist(), np.frombuffer(r.counts, np.int32).tolist(), strict=True)) for r in sample.itertuples()}
+    assert got == {k: dict(v) for k, v in want.items()}
+    monkeypatch.setattr(langid, "BYTES", 4000 * len(sample["lang"].unique()))
+    fewer = langid.training_rows(df)
+    for la, rows in sample.groupby("lang"):
+        sizes = (rows["hashes"].str.len() + rows["counts"].str.len()).cumsum().shift(fill_value=0)
+        assert fewer[fewer["lang"] == la]["h"].tolist() == rows["h"][sizes < 4000].tolist()
+    common = sample[~sample["lang"].str.startswith("x")].reset_index(drop=True)
+    model = langid.fit(common)
+    valid = [(r.lang, np.repeat(np.frombuffer(r.hashes, np.int32), np.frombuffer(r.counts, np.int32))) for i, r in enumerate(common.itertuples()) if i % 5 == 4]
+
+    def chances(t):
+        for la, h in valid:
+            z = model.logits(h) / t
+            p = np.exp(z - z.max())
+            yield la, p / p.sum()
+
+    loss = {t: np.mean([-np.log(max(p[model.languages.index(la)], 1e-12)) for la, p in chances(t)]) for t in np.geomspace(0.05, 5, 40)}
+    assert loss[min(loss, key=lambda t: abs(t - model.temperature))] <= min(loss.values()) + 1e-4
+    right = [p.max() for la, p in chances(model.temperature) if model.languages[p.argmax()] == la]
+    assert model.threshold == pytest.approx(min(0.5, 0.5 * np.quantile(right, langid.REJECTED)), rel=1e-3)
