@@ -22,6 +22,8 @@ CROWD = 64
 SEED = 42
 #: Bands of a sketch and least hashes in each: of pairs of a similarity of 0.8, 1 - (1 - 0.8**4)**24 (all but 3 in a million) share a band's key.
 BANDS, ROWS = 24, 4
+#: Texts up to which those of one band's key are compared with more than two of them, and slots that they are dealt into.
+SMALL, SLOTS = 64, 16
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -285,13 +287,18 @@ def sketch(s: np.ndarray) -> np.ndarray:
 def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float, bits: int) -> DataFrame:
     """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets.
 
-    prints: what fingerprints() gives for docs, with bands. Candidates are the texts that share a band's key; each is
-    compared with the least and the greatest of its key (by a hash), so that a key of n texts makes 2 * n pairs, less
-    those that the trie links at `bits` bits. Texts of fewer than `words` words have no shingles here.
+    prints: what fingerprints() gives for docs, with bands. Candidates are the different texts that share a band's key.
+    A key's texts are dealt into SLOTS slots by their hash; where a key has no more than SMALL texts, each is compared with
+    the least and the greatest of every slot, which are nearly always all of them, else with the least and the
+    greatest of the key: n texts make 2 * n pairs then. Left out are pairs that the trie links at `bits` bits. Texts of
+    fewer than `words` words have no shingles here.
     """
-    each = prints.where("bands is not null").select(F.struct(F.col("th").alias("t"), F.col("fp").alias("f")).alias("t"), F.explode("bands").alias("band"))
-    ends = written(each.groupBy("band").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi"), "ends")
-    met = each.join(ends.hint("merge"), "band").select("t", F.explode(F.array("lo", "hi")).alias("o")).where(F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits)
+    texts = written(prints.where("bands is not null").groupBy("th").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "texts")
+    each = texts.select(F.struct(F.col("th").alias("t"), F.col("fp").alias("f")).alias("t"), F.explode("bands").alias("band"))
+    slots = each.groupBy("band", F.pmod("t.t", F.lit(SLOTS)).alias("slot")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    ends = slots.groupBy("band").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_distinct(F.concat(F.collect_list("lo"), F.collect_list("hi"))).alias("all")).where("n > 1")
+    ends = written(ends.select("band", F.when(F.col("n") <= SMALL, F.col("all")).otherwise(F.array("lo", "hi")).alias("others")), "ends")
+    met = each.join(ends.hint("merge"), "band").select("t", F.explode("others").alias("o")).where((F.col("t") != F.col("o")) & (F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits))
     pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct().select(F.col("x.t").alias("x"), F.col("x.f").alias("a"), F.col("y.t").alias("y"), F.col("y.f").alias("b")), "candidates")
     named = written(pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct(), "candidate_texts")
 
