@@ -18,10 +18,8 @@ _SPACE_BYTES = SPACE.encode()
 _UNKNOWN, _CONTROL, _USER_DEFINED, _BYTE = 2, 3, 4, 6
 #: Bytes of remembered units and their ids in a worker, about; characters of the longest; what an entry takes besides.
 MEMORY, LONGEST, _ENTRY = 128 << 20, 64, 200
-#: Characters up to which all neighbours are looked through for each merge.
-_SHORT = 128
-#: Characters that are cut into units at a time, and tokens after which a batch of results is closed.
-_STRETCH, _BATCH_TOKENS = 1 << 20, 1 << 20
+#: Characters that are cut into units at a time, and bytes of texts that are encoded together.
+_STRETCH, _BATCH_BYTES = 1 << 20, 1 << 20
 
 
 class CharMap:
@@ -181,7 +179,7 @@ class Pieces:
     _known: dict[str, "Pieces"] = {}
 
     def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
@@ -190,6 +188,12 @@ class Pieces:
         if trainer.model_type != trainer.BPE or trainer.treat_whitespace_as_suffix or _USER_DEFINED in kinds or model.denormalizer_spec.precompiled_charsmap:
             raise ValueError("only BPE models without user-defined symbols, suffix spaces and denormalisation are read")
         self.normalizer = Normalizer(model.normalizer_spec)
+        # texts come to the library in normal form, and in units
+        bare = sentencepiece_model_pb2.ModelProto()
+        bare.CopyFrom(model)
+        bare.normalizer_spec.precompiled_charsmap = b""
+        bare.normalizer_spec.add_dummy_prefix = bare.normalizer_spec.remove_extra_whitespaces = False
+        self.library = SentencePieceProcessor(model_proto=bare.SerializeToString())
         names = [p.piece for p in model.pieces]
         self.ids = {n: i for i, n in enumerate(names) if kinds[i] not in (_UNKNOWN, _CONTROL, _BYTE)}
         self.scores = {n: model.pieces[i].score for n, i in self.ids.items()}
@@ -222,24 +226,6 @@ class Pieces:
 
     def merged(self, unit: str) -> list[str]:
         """The pieces of a unit: again and again the neighbours that make the piece of the best score are joined, the first such pair where several do."""
-        n, scores = len(unit), self.scores
-        if n <= _SHORT:
-            get, none = scores.get, -np.inf
-            parts = list(unit)
-            found = [get(unit[i : i + 2], none) for i in range(n - 1)]
-            while found and (best := max(found)) > none:
-                i = found.index(best)
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-                del found[i]
-                if i:
-                    found[i - 1] = get(parts[i - 1] + parts[i], none)
-                if i < len(found):
-                    found[i] = get(parts[i] + parts[i + 1], none)
-            return parts
-        return self._merged_long(unit)
-
-    def _merged_long(self, unit: str) -> list[str]:
-        """merged() with a heap of neighbours, so that the time doesn't grow with the square of the length."""
         parts: list[str | None] = list(unit)
         ids, scores, n = self.ids, self.scores, len(unit)
         heap = [(-scores[two], i, i + 1, two) for i in range(n - 1) if (two := unit[i : i + 2]) in ids]
@@ -261,25 +247,26 @@ class Pieces:
                 heappush(heap, (-scores[both], before, i, both))
         return [p for p in parts if p is not None]
 
-    def unit_ids(self, unit: str) -> bytes:
-        """The ids of a unit, as little-endian bytes."""
-        found: list[int] = []
-        for p in self.merged(unit):
-            if (i := self.ids.get(p)) is not None:
-                found.append(i)
-            elif self.bytes:
-                found.extend([self.bytes[b] for b in p.encode()])
-            elif not found or found[-1] != self.unknown:
-                found.append(self.unknown)
-        out = array("i", found).tobytes()
-        if len(unit) <= LONGEST:
-            if self.size > MEMORY:
-                self.memory.clear()
-                self.size = 0
-            self.memory[unit] = out
-            self.size += len(unit) + len(out) + _ENTRY
+    def new_ids(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units, as little-endian bytes, from the library's merges; short units are remembered."""
+        out = {u: array("i", ids).tobytes() for u, ids in zip(units, self.library.encode(units, num_threads=1), strict=True)}
+        if self.size > MEMORY:
+            self.memory.clear()
+            self.size = 0
+        short = {u: b for u, b in out.items() if len(u) <= LONGEST}
+        self.memory.update(short)
+        self.size += sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
         return out
 
+    def ids_of(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of units; the library is asked once for all that aren't remembered."""
+        found = [list(map(self.memory.get, units)) for units in lists]
+        missing = {u for units, ids in zip(lists, found, strict=True) if None in ids for u, b in zip(units, ids, strict=True) if b is None}
+        if missing:
+            new = self.new_ids(list(missing))
+            found = [[new[u] if b is None else b for u, b in zip(units, ids, strict=True)] for units, ids in zip(lists, found, strict=True)]
+        return [b"".join(ids) for ids in found]
+
     def units(self, form: str) -> Iterator[list[str]]:
         """The parts of a normal form that no piece reaches out of, a stretch of them at a time."""
         if not self.by_unit or not self.bytes:  # without byte fallback unknown neighbours are one piece
@@ -292,24 +279,29 @@ class Pieces:
             yield self._unit.findall(form, at, end)
             at = end
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of a text, and where in text the bytes that each of them stands for begin and end.
+    def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of each text, and where in it the bytes that each of them stands for begin and end.
 
         Of the byte pieces of one character the last has its whole span, the others an empty one at its beginning.
+        Texts of one stretch are looked up together; longer ones a stretch at a time.
         """
-        form, place = self.normalizer.normalize(text)
-        known, ids_of = self.memory.get, self.unit_ids
-        out = np.frombuffer(b"".join([b"".join([known(u) or ids_of(u) for u in units]) for units in self.units(form.decode())]), "<i4")
+        normal = [(form, form.decode(), place) for form, place in map(self.normalizer.normalize, texts)]
+        short = [form for _, form, _ in normal if len(form) <= _STRETCH]
+        ids = iter(self.ids_of([units for form in short for units in (list(self.units(form)) or [[]])]))
+        return [self._spans(raw, form, place, next(ids) if len(form) <= _STRETCH else b"".join(self.ids_of([u])[0] for u in self.units(form))) for raw, form, place in normal]
+
+    def _spans(self, raw: bytes, form: str, place: np.ndarray, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.frombuffer(ids, "<i4")
         if self.bytes:
             end = np.cumsum(self.length[out])
             begin = end - self.length[out]
             small = self.byte_value[out] >= 0
             if small.any():
-                inside = np.append((np.frombuffer(form, np.uint8) & 0xC0) == 0x80, False)
+                inside = np.append((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80, False)
                 begin[small] = np.maximum.accumulate(np.where(inside, 0, np.arange(len(inside))))[begin[small]]
                 end = np.where(small & inside[end], begin, end)
         else:
-            begin, end = self._without_bytes(form.decode(), out)
+            begin, end = self._without_bytes(form, out)
         return out, place[begin], place[end]
 
     def _without_bytes(self, form: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,14 +375,14 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
         for batch in batches:
-            texts, at, held, n = batch["text"], 0, [], 0
+            texts, at, held, size = batch["text"], 0, [], 0
             for i in range(batch.num_rows):
-                held.append(pieces.encode(texts[i].as_py()))
-                n += len(held[-1][0])
-                if n >= _BATCH_TOKENS or i + 1 == batch.num_rows:
-                    lists = [_lists(list(x), pa.int32()) for x in zip(*held, strict=True)]
+                held.append(texts[i].as_py())
+                size += len(held[-1])
+                if size >= _BATCH_BYTES or i + 1 == batch.num_rows:
+                    lists = [_lists(list(x), pa.int32()) for x in zip(*pieces.encode(held), strict=True)]
                     yield pa.record_batch([batch["doc_id"].slice(at, len(held)), *lists], names=["doc_id", "ids", "begins", "ends"])
-                    at, held, n = i + 1, [], 0
+                    at, held, size = i + 1, [], 0
 
     return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
 

@@ -29,16 +29,17 @@ def random_texts(n, pool="ab e tin▁ \n日é🙂\0th½"):
 
 def test_ids_and_spans_are_the_library_s(own, library):
     for t in [t or "" for t in ODD] + random_texts(1500):
-        ids, begins, ends = own.encode(t.encode())
+        ids, begins, ends = own.encode([t.encode()])[0]
         want = library.encode(t, return_type="proto").pieces
         assert ids.tolist() == [p.id for p in want] == library.encode(t)
         assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == [(p.begin, p.end) for p in want]
         assert own.decode(ids) == library.decode(ids.tolist())
 
 
-def test_short_and_long_merges_agree(own):
+def test_units_are_merged_apart(own, library):
     for t in random_texts(500, "thereinaonst "):
-        assert own.merged(t) == [p for p in own._merged_long(t)]
+        form = own.normalizer.normalize(t.encode())[0].decode()
+        assert [p for u in own._unit.findall(form) for p in own.merged(u)] == library.encode(t, return_type=str)
 
 
 def test_any_ids_are_decoded_as_the_library_does(own, library):
@@ -76,7 +77,7 @@ def test_long_texts_are_cut_into_stretches(own, library, monkeypatch):
     monkeypatch.setattr(pieces, "_STRETCH", 50)
     monkeypatch.setattr(pieces, "MEMORY", 2000)
     t = " ".join(random_texts(400, "there in a on st"))
-    assert own.encode(t.encode())[0].tolist() == library.encode(t)
+    assert own.encode([t.encode(), b"", b"a"])[0][0].tolist() == library.encode(t)
 
 
 def test_query_gives_what_the_library_gives(spark, data, library):
