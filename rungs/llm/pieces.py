@@ -17,7 +17,7 @@ _SPACE_BYTES = SPACE.encode()
 #: Kinds of pieces in a model file (fixed values of the format).
 _UNKNOWN, _CONTROL, _USER_DEFINED, _BYTE = 2, 3, 4, 6
 #: Bytes of remembered units and their ids in a worker, about; characters of the longest; what an entry takes besides.
-MEMORY, LONGEST, _ENTRY = 128 << 20, 64, 200
+MEMORY, LONGEST, _ENTRY = 64 << 20, 64, 200
 #: Characters that are cut into units at a time, and bytes of texts that are encoded together.
 _STRETCH, _BATCH_BYTES = 1 << 20, 1 << 20
 
