@@ -27,9 +27,10 @@ def crowded_nodes(points: DataFrame, near: int = 5, least: int = 8) -> DataFrame
 
 def gateway_repair(talents: DataFrame, near: int = 5, least: int = 8) -> DataFrame:
     """talents with type hero on nodes that hold a hero talent, and then on nodes with many hero nodes around."""
-    by = W.partitionBy("node_id")
-    t = talents.withColumn("_h", F.col("node_id").isNotNull() & F.bool_or(F.col("talent_type") == "hero").over(by))
-    t = t.withColumn("talent_type", F.when(F.col("_h"), "hero").otherwise(F.col("talent_type"))).drop("_h")
+    placed = talents.where("node_id is not null")  # the others may be many, and would be one group
+    hero = F.bool_or(F.col("talent_type") == "hero").over(W.partitionBy("node_id"))
+    t = placed.withColumn("_h", hero).withColumn("talent_type", F.when(F.col("_h"), "hero").otherwise(F.col("talent_type"))).drop("_h")
+    t = t.unionByName(talents.where("node_id is null"))
     points = t.where("node_id is not null").groupBy("node_id").agg(F.bool_or(F.col("talent_type") == "hero").alias("is_hero"))
     close = crowded_nodes(points, near, least).select("node_id", F.lit(True).alias("_near"))
     return t.join(close, "node_id", "left").withColumn("talent_type", F.when(F.col("_near"), "hero").otherwise(F.col("talent_type"))).drop("_near")
@@ -81,7 +82,9 @@ def prune_rare(assignments: DataFrame, talents: DataFrame, used: DataFrame, leas
 def variant_max_rank(talents: DataFrame) -> DataFrame:
     """talents with the number of talents on the node as max_rank where there are several."""
     n = F.count("*").over(W.partitionBy("node_id"))
-    return talents.withColumn("max_rank", F.when(F.col("node_id").isNotNull() & (n > 1), n.cast("int")).otherwise(F.col("max_rank")))
+    placed = talents.where("node_id is not null").withColumn("_n", n)
+    placed = placed.withColumn("max_rank", F.when(F.col("_n") > 1, F.col("_n").cast("int")).otherwise(F.col("max_rank"))).drop("_n")
+    return placed.unionByName(talents.where("node_id is null"))
 
 
 def fake_rank_nodes(talents: DataFrame, used: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.scratch import written
 
 
 def shares(entries: DataFrame, group: list[str], of: list[str], known: str | None = None) -> DataFrame:
@@ -39,13 +40,49 @@ def loadout_distribution(entries: DataFrame, group: list[str] | None = None, lim
 
 
 def stat_priority(entries: DataFrame, characters: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Interpolated median of each stat over the entries of a group, to one decimal; a character with two entries counts twice."""
+    """Interpolated median of each stat over the entries of a group, to one decimal; a character with two entries counts twice.
+
+    characters: character_id, and stat and value a row, or the map stat_totals.
+    """
     group = group or ["bracket", "spec_id"]
-    rows = entries.join(characters.where(F.size("stat_totals") > 0).select("character_id", "stat_totals"), "character_id")
-    # counted by value first, so that a group's buffer holds its different values alone
-    long = rows.select(*group, F.explode("stat_totals").alias("stat", "value")).groupBy(*group, "stat", "value").agg(F.count("*").alias("n"))
-    out = long.groupBy(*group, "stat").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("m"))
-    return out.select(*group, "stat", X.half_up(F.col("m"), 1).alias("median"))
+    if "stat_totals" in characters.columns:
+        characters = characters.select("character_id", F.explode("stat_totals").alias("stat", "value"))
+    rows = entries.select("character_id", *group).join(characters.select("character_id", "stat", "value"), "character_id")
+    m = medians(rows, [*group, "stat"], "value")
+    return m.select(*group, "stat", X.half_up(F.col("median"), 1).alias("median"))
+
+
+def medians(rows: DataFrame, group: list[str], value: str, parts: int = 4096) -> DataFrame:
+    """group and median of `value` (finite numbers, as doubles; nulls don't count) in each group, exact; between two middle
+    values their mean. Groups of nulls alone are left out; null is a group like any other.
+
+    Rows are counted by value once. Then the span of values that holds a middle is divided into parts of equal width, until
+    it is one value: parts are counted, and the one that holds the middle is the next span, from its least value to its
+    greatest. So no task holds the values of a group, and a group has a window of `parts` rows. Whole numbers that span no
+    more than `parts` need one round, each further round a part of the span; rounds are written out.
+    """
+    key = [f"_g{i}" for i in range(len(group))]
+    named = rows.select(*[F.col(g).alias(k) for g, k in zip(group, key)], F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counts = written(named.groupBy(*key, "_v").agg(F.count("*").alias("_n")), "values")
+    ends = counts.groupBy(*key).agg(F.sum("_n").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    # the places of the two middle values among the group's rows in order, from 0 on: one place for odd counts
+    places = F.array_distinct(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)))
+    spans = written(ends.select(*key, F.explode(places).alias("_at"), "_lo", "_hi", F.lit(0).cast("long").alias("_before")), "spans")
+    while True:
+        open_ = spans.where("_lo < _hi")
+        if open_.isEmpty():
+            break
+        marks = open_.select(*[F.col(k).alias(f"_s{k}") for k in key], "_at", "_lo", "_hi", "_before")
+        same = [F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in key]
+        within = counts.join(marks, [*same, F.col("_v").between(F.col("_lo"), F.col("_hi"))])
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+        halves = (v / 2 - lo / 2) / (hi / 2 - lo / 2)  # of spans that are too wide for a double
+        part = F.floor(F.when(F.greatest(F.abs(lo), F.abs(hi)) < 1e300, (v - lo) / (hi - lo)).otherwise(halves) * parts)
+        each = within.groupBy(*key, "_at", "_before", part.alias("_part")).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*key, "_at").orderBy("_part"))
+        found = each.withColumn("_upto", upto).where("_upto > _at and _upto - _n <= _at")
+        spans = written(spans.where("_lo = _hi").unionByName(found.select(*key, "_at", "_lo", "_hi", (F.col("_upto") - F.col("_n")).alias("_before"))), "spans")
+    return spans.groupBy(*key).agg((F.min("_lo") / 2 + F.max("_lo") / 2).alias("median")).select(*[F.col(k).alias(g) for g, k in zip(group, key)], "median")
 
 
 def cohort_stats(cohort: DataFrame, items: DataFrame) -> DataFrame:

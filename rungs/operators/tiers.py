@@ -100,35 +100,89 @@ def jenks_tiers(usage: DataFrame, k: int = 3) -> DataFrame:
     return rows.groupBy("bracket", "spec_id").applyInPandas(tiers, f"bracket string, spec_id {dict(rows.dtypes)['spec_id']}, talent_id {dict(rows.dtypes)['talent_id']}, usage_pct double, tier string")
 
 
+#: Edges that a group's own task may hold.
+FEW = 10_000
+
+
+def least_reached(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node the least node that it is connected with by edges a, b, by union-find: the lesser root stays."""
+    root = {n: n for n in nodes.tolist()}
+
+    def top(n: int) -> int:
+        while root[n] != n:
+            root[n] = root[root[n]]  # halves the way for those who come after
+            n = root[n]
+        return n
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = top(x), top(y)
+        root[max(x, y)] = min(x, y)
+    return np.array([top(n) for n in nodes.tolist()], dtype=np.int64)
+
+
+def components(nodes: DataFrame, links: DataFrame, key: list[str], few: bool = False) -> DataFrame:
+    """nodes (key, node_id) with component, the least node of a group's connected part. links: key, a, b, both ends among nodes.
+
+    Groups of up to FEW links are one task's each, in one pass, by union-find. In larger ones labels spread round by round.
+    `few` says that no group has more, which saves counting them. Nodes are whole numbers; null keys are a group.
+    """
+    if few:
+        return _in_groups(nodes, links, key)
+    nodes, links = cut_lineage(nodes), cut_lineage(links)
+    many = cut_lineage(links.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*[F.col(k).alias(f"_many_{k}") for k in key]))
+    if many.isEmpty():
+        return _in_groups(nodes, links, key)
+    same = [F.col(k).eqNullSafe(F.col(f"_many_{k}")) for k in key]
+    small = _in_groups(nodes.join(many, same, "left_anti"), links.join(many, same, "left_anti"), key)
+    return small.unionByName(_by_rounds(nodes.join(many, same, "left_semi"), links.join(many, same, "left_semi"), key))
+
+
+def _in_groups(nodes: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
+    def connected(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        return n.assign(component=least_reached(n["node_id"].to_numpy(), e["a"].to_numpy(), e["b"].to_numpy()))
+
+    nodes = nodes.select(*key, F.col("node_id").cast("long").alias("node_id"))
+    own = [f"_of_{k}" for k in key]  # links may come out of the nodes: columns of other names are never taken for theirs
+    links = links.select(*[F.col(k).alias(o) for k, o in zip(key, own)], F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    schema = ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", component long"
+    return nodes.groupBy(*key).cogroup(links.groupBy(*own)).applyInPandas(connected, schema).where("node_id is not null")
+
+
+def _by_rounds(nodes: DataFrame, links: DataFrame, key: list[str]) -> DataFrame:
+    """A label, the least node known to be connected, spreads along the links and then from label to label, until none
+    changes: few rounds, for long paths too. Each round is written out."""
+    # keys may be null, which plain joins pass over
+    group = F.to_json(F.struct(*key))
+    ends = links.select(group.alias("_g"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    ends = cut_lineage(ends.union(ends.select("_g", "b", "a")).where("a <> b").distinct())
+    labels = nodes.select(*key, group.alias("_g"), F.col("node_id").cast("long").alias("node_id")).withColumn("component", F.col("node_id"))
+    while True:
+        # a node, and the node that is its label, hear of the labels beside it
+        of = labels.select("_g", "node_id", "component")
+        heard = ends.join(of.toDF("_g", "a", "_ca"), ["_g", "a"]).join(of.toDF("_g", "b", "_cb"), ["_g", "b"])
+        least = heard.select("_g", F.explode(F.array_distinct(F.array("a", "_ca"))).alias("node_id"), "_cb").groupBy("_g", "node_id").agg(F.min("_cb").alias("_near"))
+        spread = labels.join(least, ["_g", "node_id"], "left").withColumn("_near", F.least("component", "_near"))
+        # what the label itself is labelled with
+        spread = spread.join(of.select("_g", F.col("node_id").alias("_near"), F.col("component").alias("_far")), ["_g", "_near"]).withColumn("_new", F.least("_near", "_far"))
+        spread = cut_lineage(spread.select(*key, "_g", "node_id", F.col("_new").alias("component"), (F.col("_new") < F.col("component")).cast("int").alias("_moved")))
+        labels = spread.drop("_moved")
+        if not spread.agg(F.max("_moved")).first()[0]:
+            return labels.drop("_g")
+
+
 def hero_tiers(usage: DataFrame, dim: DataFrame, edges: DataFrame) -> DataFrame:
     """usage rows of hero nodes with component and tier: the connected part with the largest mean share (then the least
     node) is bis, choice nodes split; other parts are situational from a mean of 30 on, else common.
 
-    edges: node_id, prerequisite_id, of which those between present nodes of one bracket and spec count. A label, the
-    least node known to be connected, spreads along the edges and then from label to label, until none changes: few
-    rounds, for long paths too. Each round is written out.
+    edges: node_id, prerequisite_id, of which those between present nodes of one bracket and spec count (see components()).
     """
     rows = node_rows(usage.where("talent_type = 'hero'"), dim)
     key = ["bracket", "spec_id"]
     nodes = rows.select(*key, "node_id").distinct()
     pairs = edges.select(F.col("node_id").alias("a"), F.col("prerequisite_id").alias("b"))
-    pairs = pairs.union(pairs.select("b", "a"))
     present = nodes.join(pairs, nodes["node_id"] == pairs["a"]).select(*key, "a", "b")
-    present = cut_lineage(present.join(nodes.withColumnRenamed("node_id", "b"), [*key, "b"]))
-    labels = nodes.withColumn("component", F.col("node_id"))
-    while True:
-        # a node, and the node that is its label, hear of the labels beside it
-        ends = present.join(labels.withColumnRenamed("node_id", "a").withColumnRenamed("component", "_ca"), [*key, "a"]).join(labels.withColumnRenamed("node_id", "b").withColumnRenamed("component", "_cb"), [*key, "b"])
-        least = ends.select(*key, F.explode(F.array_distinct(F.array("a", "_ca"))).alias("node_id"), "_cb").groupBy(*key, "node_id").agg(F.min("_cb").alias("_near"))
-        spread = labels.join(least, [*key, "node_id"], "left").withColumn("_near", F.least("component", "_near"))
-        # what the label itself is labelled with
-        known = labels.select(*key, F.col("node_id").alias("_near"), F.col("component").alias("_far"))
-        spread = spread.join(known, [*key, "_near"]).withColumn("_new", F.least("_near", "_far"))
-        spread = spread.select(*key, "node_id", F.col("_new").alias("component"), (F.col("_new") < F.col("component")).cast("int").alias("_moved"))
-        spread = cut_lineage(spread)
-        labels = spread.drop("_moved")
-        if not spread.agg(F.max("_moved")).first()[0]:
-            break
+    present = present.join(nodes.withColumnRenamed("node_id", "b"), [*key, "b"])
+    labels = components(nodes, present, key, few=pairs.limit(FEW + 1).count() <= FEW)
     rows = rows.join(labels, [*key, "node_id"])
     means = rows.groupBy(*key, "component").agg(F.avg("usage_pct").alias("mean_pct"))
     first = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("mean_pct"), "component")) == 1

@@ -181,7 +181,7 @@ def stat_totals(t: Ladder) -> DataFrame:
 
 @query(f"""WITH totals AS ({_TOTALS}) SELECT bracket, e.spec_id, stat, floor(quantile_cont(value, 0.5) * 10 + 0.5) / 10 AS median FROM entries e JOIN totals t ON t.character_id = e.character_id GROUP BY ALL""", "entries", "items", "sockets")
 def stat_priority(t: Ladder) -> DataFrame:
-    return spec_stats.stat_priority(t.entries, spec_stats.as_map(_totals(t)))
+    return spec_stats.stat_priority(t.entries, _totals(t))
 
 
 @query("""SELECT bracket, spec_id, count(*) AS players, CAST(floor(avg(level) + 0.5) AS INTEGER) AS avg_item_level, CAST(floor(avg(haste) + 0.5) AS INTEGER) AS haste, CAST(floor(avg(crit) + 0.5) AS INTEGER) AS crit, CAST(floor(avg(mastery) + 0.5) AS INTEGER) AS mastery, 0 AS versatility

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources import schemas, tables
+from ..operators import ladder_store, name_index
+from ..sources import ingest, schemas, tables
 from ..sources.scratch import shared_dir, written
 from ..streaming import streams
 from . import build_all
@@ -101,6 +102,60 @@ def stored_upsert(t: Ladder) -> DataFrame:
     return tables.stored(t.spark, path)
 
 
+_PAGED = "SELECT '{0}' AS page, entry_id, region, spec_id, rank, total_rows, CAST(ceil(total_rows / {1}.0) AS BIGINT) AS total_pages FROM (SELECT *, row_number() OVER (ORDER BY rank, entry_id) AS k, count(*) OVER () AS total_rows FROM ranked WHERE {2}) WHERE {3}"
+
+
+@query(" UNION ALL ".join([
+    _PAGED.format("filtered", 25, "bracket = '1-URGENT' AND region IN ('ASIA', 'EUROPE') AND rating BETWEEN 20000 AND 400000 AND CAST(wins AS DOUBLE) / nullif(wins + losses, 0) >= 0.5 AND name ILIKE 'Customer#0000%'", "k BETWEEN 26 AND 50"),
+    _PAGED.format("last", 50, "bracket = '2-HIGH' AND region IN ('AFRICA', 'AMERICA')", "k > (ceil(total_rows / 50.0) - 1) * 50"),
+    _PAGED.format("spec", 40, "bracket = '3-MEDIUM' AND spec_id = 7", "k BETWEEN 41 AND 80"),
+]), "ranked")
+def stored_ladder_pages(t: Ladder) -> DataFrame:
+    """Pages of stored ladders: one of several filters, the last of two regions, and the second of a spec."""
+    path, regions = _folder(t, "stored-ladders"), ["AFRICA", "AMERICA"]
+    ladder_store.store_ladders(t.ranked, path, width=100)
+    last = ladder_store.stored_page(t.spark, path, "2-HIGH", 1, 50, region=regions).first()
+    pages = {
+        "filtered": ladder_store.stored_page(t.spark, path, "1-URGENT", 2, 25, region=["ASIA", "EUROPE"], rating_min=20000, rating_max=400000, min_winrate=0.5, name="customer#0000"),
+        "last": ladder_store.stored_page(t.spark, path, "2-HIGH", last["total_pages"] if last else 1, 50, region=regions),
+        "spec": ladder_store.stored_page(t.spark, path, "3-MEDIUM", 2, 40, spec_id=7),
+    }
+    out = None
+    for name, rows in pages.items():
+        rows = rows.select(F.lit(name).alias("page"), "entry_id", "region", "spec_id", "rank", "total_rows", "total_pages")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_TEXTS = ("77", "R#0000000", "7", "omer#00000001", "_", "r#", "nobody")
+
+
+@query(f"SELECT text, character_id, count(*) AS n FROM entries, (VALUES {', '.join(f'($${x}$$)' for x in _TEXTS)}) x(text) WHERE contains(lower(name), lower(text)) GROUP BY ALL", "entries")
+def indexed_name_search(t: Ladder) -> DataFrame:
+    """Entries whose name holds a text, for several texts, by the stored pieces of names."""
+    path = _folder(t, "names")
+    name_index.store_names(t.entries.select("entry_id", "character_id", "name"), path)
+    out = None
+    for text in _TEXTS:
+        rows = name_index.search(t.spark, path, text).groupBy("character_id").agg(F.count("*").alias("n")).select(F.lit(text).alias("text"), "character_id", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""SELECT CASE o_orderkey % 7 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'wrong type' WHEN 2 THEN 'without season_id' WHEN 3 THEN 'no JSON object' ELSE 'good' END AS reason, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 7 > 4 THEN o_orderkey END) AS BIGINT) AS ids
+    FROM orders WHERE o_orderkey % 7 <> 4 GROUP BY 1""")
+def rejected_payloads(t: Ladder) -> DataFrame:
+    """Orders as payloads, of which some are cut off, mistyped, without their id, no objects, or blank: what is read and what is rejected."""
+    files, k = _folder(t, "season-files"), F.col("o_orderkey")
+    whole = F.to_json(F.struct(k.alias("season_id"), F.col("o_orderpriority").alias("season_name"), F.lit(0).alias("more")))
+    line = F.when(k % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 1)).when(k % 7 == 1, F.concat(F.lit('{"season_id": "x'), k.cast("string"), F.lit('"}')))
+    line = line.when(k % 7 == 2, F.lit('{"season_name": "s"}')).when(k % 7 == 3, F.lit("[1]")).when(k % 7 == 4, F.lit("  ")).otherwise(whole)
+    t.table("orders").select(line.alias("value")).write.text(files)
+    good, bad = ingest.read_payloads(t.spark, files, schemas.SEASON, ("season_id",))
+    read = good.agg(F.lit("good").alias("reason"), F.count("*").alias("n"), F.sum("season_id").alias("ids"))
+    return read.union(bad.groupBy("reason").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("ids")))
+
+
 # ---- whole refreshes -----------------------------------------------------------------------------------------------
 
 _ROWS = "SELECT '{0}' AS frame, bracket, spec_id, CAST(slot AS VARCHAR) AS slot, CAST(NULL AS VARCHAR) AS socket_type, CAST({1} AS VARCHAR) AS id, usage_count, {2} AS usage_pct FROM (SELECT *, CAST(sum(usage_count) OVER (PARTITION BY bracket, spec_id, slot) AS BIGINT) AS total FROM (SELECT bracket, c.spec_id, slot, {1}, count(*) AS usage_count FROM cohort c JOIN items i ON i.character_id = c.character_id AND i.spec_id = c.spec_id WHERE {1} IS NOT NULL GROUP BY ALL))"

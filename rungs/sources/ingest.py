@@ -18,6 +18,24 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def read_payloads(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Payloads of a folder of JSON lines, and those that are rejected: file, reason, payload (the line as it is).
+
+    Reasons: `no JSON object`; `wrong type`, a field of another type than the schema's; `without <field>`, the first of the
+    required fields that is null. A line is in one of the two, but for blank ones, which are in neither. Fields that the
+    schema lacks are passed over.
+    """
+    bad = "_not_parsed"
+    lines = spark.read.text(path).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file")).where(F.col("payload").rlike(r"\S"))
+    lines = lines.withColumn("_p", F.from_json("payload", f"{schema}, {bad} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    no_object = ~F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    reason = F.when(no_object, "no JSON object").when(F.col(f"_p.{bad}").isNotNull(), "wrong type")
+    for field in required:
+        reason = reason.when(F.col(f"_p.{field}").isNull(), f"without {field}")
+    lines = lines.withColumn("reason", reason)
+    return lines.where("reason is null").select("_p.*").drop(bad), lines.where("reason is not null").select("file", "reason", "payload")
+
+
 def leaderboard(payloads: DataFrame) -> DataFrame:
     """One row an entry of each ladder payload, of the first top-N of its list: season_id, bracket, region, character_id,
     name, realm, faction, rank, rating, wins, losses, and class and spec where the bracket names them. A character that
@@ -128,4 +146,4 @@ def profiles(payloads: DataFrame) -> DataFrame:
     return payloads.select(F.col("id").alias("character_id"), "name", F.col("realm.slug").alias("realm"), F.col("race.id").alias("race_id"), F.col("character_class.id").alias("class_id"), X.slug(F.col("character_class.name")).alias("class_slug"), X.faction_code(F.col("faction.type")).alias("faction"))
 
 
-__all__ = ["best_placement", "equipment", "gear_summary", "item_dims", "leaderboard", "media", "profiles", "read_json", "schemas", "seasons", "specializations", "trees", "valid_items"]
+__all__ = ["best_placement", "equipment", "gear_summary", "item_dims", "leaderboard", "media", "profiles", "read_json", "read_payloads", "schemas", "seasons", "specializations", "trees", "valid_items"]
