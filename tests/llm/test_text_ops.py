@@ -119,8 +119,8 @@ def test_lines(spark):
     r = random.Random(6)
     base = [f"line {k}" for k in range(12)] + ["", "  "]
     docs = [(i, "\n".join(r.choice(base) for _ in range(r.randrange(0, 12)))) for i in range(30)]
-    docs += [(None, None), (40, None), (41, ""), (None, docs[3][1]), (42, "  " + docs[4][1].replace("\n", " \n\t"))]
-    for run in (2, 3):
+    docs += [(None, None), (40, None), (41, ""), (None, docs[3][1]), (43, "line 3"), (44, " line 3"), (42, "  " + docs[4][1].replace("\n", " \n\t"))]
+    for run in (1, 2, 3):  # 1: single lines, and copies of texts of one line
         rows = winnow_lines.drop_repeats(frame(spark, docs), run).collect()
         key = {id(d): (-(2**63) if d[0] is None else d[0], k) for k, d in enumerate(docs)}
         first = {}
