@@ -1,7 +1,7 @@
 import pytest
 from sqlcheck import assert_same, duck
 
-from rungs.plans import payload_queries, queries  # noqa: F401  both register
+from rungs.plans import payload_queries, queries, stream_queries  # noqa: F401  all register
 
 
 @pytest.fixture(scope="module")
