@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
+from ..sources.tables import read_parts, write_parts
 from .cohort import bracket_scope
 from .ladder import filtered
 
@@ -28,17 +26,14 @@ def store_ladders(ranked: DataFrame, path: str, width: int = 500) -> None:
     place = F.when(F.col("rank") >= 1, F.floor((F.col("rank") - 1) / width).cast("int")).otherwise(-1)
     rows = ranked.withColumn("rank_range", F.coalesce(place, F.lit(-1)))
     parts = rows.repartition("bracket", "rank_range").sortWithinPartitions("bracket", "rank_range", "rank", "entry_id")
-    parts.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("bracket", "rank_range").parquet(f"{path}/rows")
-    spark = ranked.sparkSession
-    kept = spark.read.schema(rows.schema).parquet(f"{path}/rows")
-    kept.groupBy("bracket", "region", "spec_id", "rank_range").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
-    spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(f"{path}/schema")
+    write_parts(parts, path, ["bracket", "rank_range"])
+    counts = stored_ladders(ranked.sparkSession, path).groupBy("bracket", "region", "spec_id", "rank_range").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
 
 
 def stored_ladders(spark: SparkSession, path: str) -> DataFrame:
     """The entries of store_ladders() with their rank_range."""
-    schema = StructType.fromJson(json.loads(spark.read.schema("schema string").json(f"{path}/schema").first()[0]))
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    return read_parts(spark, path)
 
 
 def stored_page(spark: SparkSession, path: str, bracket: str, page: int = 1, per_page: int = 50, **filters) -> DataFrame:

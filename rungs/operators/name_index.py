@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs as X
+from ..sources.tables import read_parts, write_parts
 from .ladder import name_contains
 
 #: Stands twice after a name, so that its last letters begin a piece too.
@@ -21,7 +21,7 @@ def store_names(rows: DataFrame, path: str, column: str = "name", buckets: int =
     Rows without a name are kept in the bucket of null, and never found.
     """
     spread = rows.withColumn("name_bucket", F.pmod(F.xxhash64(F.lower(column)), F.lit(buckets)).cast("int"))
-    spread.repartition("name_bucket").sortWithinPartitions("name_bucket", column).write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("name_bucket").parquet(f"{path}/rows")
+    write_parts(spread.repartition("name_bucket").sortWithinPartitions("name_bucket", column), path, ["name_bucket"])
     names = rows.select(F.lower(column).alias("name")).where("name is not null and name <> ''").distinct()
     # a name that is one letter many times over has a piece once
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.concat("name", F.lit(_END * 2)), i, F.lit(3))))
@@ -53,7 +53,7 @@ def names_with(spark: SparkSession, path: str, text: str) -> DataFrame:
 def search(spark: SparkSession, path: str, text: str, column: str = "name") -> DataFrame:
     """The stored rows whose name holds the text in any case, as name_contains() finds them; only the buckets that hold such
     a name are read. An empty text finds all rows with a name."""
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = read_parts(spark, path)
     if text:
         names = names_with(spark, path, text)
         touched = [r[0] for r in names.select("bucket").distinct().collect()]  # no more numbers than buckets

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .scratch import written
 
@@ -76,6 +79,18 @@ def _keys_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
 
 
+def write_parts(df: DataFrame, path: str, by: list[str]) -> None:
+    """Writes df in a folder for each value of `by`, and its schema beside the rows, so that tables without rows can be read."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy(*by).parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").json(f"{path}/schema")
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What write_parts() wrote, with the types it had."""
+    schema = StructType.fromJson(json.loads(spark.read.schema("schema string").json(f"{path}/schema").first()[0]))
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """target and the rows whose keys it lacks, one a key; null is a key like any other."""
     return target.unionByName(rows.dropDuplicates(keys).join(_keys_of(target, keys), _same(keys), "left_anti"), allowMissingColumns=True)

@@ -58,6 +58,12 @@ def test_names_by_their_pieces_are_those_of_ilike(spark, tmp_path, text):
     assert sorted(r.id for r in name_index.search(spark, str(tmp_path), text).collect()) == want
 
 
+def test_names_of_an_empty_table_and_of_nulls(spark, tmp_path):
+    for k, rows in enumerate(([], [(1, None), (2, "")])):
+        name_index.store_names(spark.createDataFrame(rows, "id int, name string"), f"{tmp_path}/{k}")
+        assert [[r.id for r in name_index.search(spark, f"{tmp_path}/{k}", x).collect()] for x in ("anna", "a", "")] == [[], [], [r[0] for r in rows if r[1] == ""]]
+
+
 @pytest.mark.parametrize("parts", [2, 3, 4096])
 def test_medians_are_exact(spark, parts):
     r = random.Random(3)
