@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import fresh, written
+from .common import emptied, fresh, scope, written
 
 #: Words of a tile at least, and the share of an item's words under tiles from which a document counts as contaminated.
 LEAST, COVERAGE = 5, 0.8
@@ -194,14 +194,59 @@ def seeded(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
     return written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"row long, doc_id {kind}, th long, words binary, places binary, seeds array<long>"), "seeded")
 
 
+def telling(found: np.ndarray, docs: np.ndarray, n: int, coverage: float) -> np.ndarray:
+    """The seeds of an item by which it is looked up: its rarest, as many as leave less than `coverage` of its n words under the others.
+
+    found, docs: the item's seeds in the order of its words, and how many documents have each. A document that has none
+    of these seeds can't cover the item.
+    """
+    order = np.lexsort((found, docs))
+    turn = np.empty(len(found), np.int64)  # equal seeds go together
+    turn[order] = np.concatenate([[0], np.cumsum(np.diff(found[order].view(np.int64)) != 0)])
+    least = n - len(found) + 1
+    lasts = np.full(n, -1)  # a word is under a seed until the last of its seeds has gone
+    for k in range(least):
+        lasts[k : k + len(found)] = np.maximum(lasts[k : k + len(found)], turn)
+    under = n - np.cumsum(np.bincount(lasts, minlength=turn.max() + 1))
+    enough = np.flatnonzero(under / n < coverage)
+    return np.unique(found[turn <= (enough[0] if len(enough) else turn.max())])
+
+
+def lookup(items: DataFrame, hits: DataFrame, coverage: float) -> DataFrame:
+    """item, h: the seeds by which each item is looked up among hits (seeded)."""
+    times = hits.select(F.explode("seeds").alias("h")).groupBy("h").agg(F.count("*").alias("docs"))
+    placed = items.select("item", "n", F.posexplode("seeds").alias("place", "h")).join(times, "h", "left")
+    own = placed.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("place", "h", F.coalesce("docs", F.lit(0)).alias("docs")))).alias("s"))  # one item's words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, docs, n in zip(b["h"], b["docs"], b["n"].to_pylist(), strict=True):
+                found = h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                out.append(telling(found, docs.values.to_numpy(zero_copy_only=False), n, coverage).view(np.int64))
+            yield pa.record_batch([b["item"], pa.array(out, pa.list_(pa.int64()))], names=["item", "h"])
+
+    chosen = own.select("item", "n", F.col("s.h").alias("h"), F.col("s.docs").alias("docs")).mapInArrow(run, "item long, h array<long>")
+    return written(chosen.select("item", F.explode("h").alias("h")), "lookup")
+
+
 def _tiled(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
-    """doc_id, th, item_id, coverage, tiles."""
+    """doc_id, th, item_id, coverage, tiles.
+
+    Items are joined by their rarest seeds alone (telling): a phrase that many items and documents share brings a
+    document and an item together only where it makes up so much of the item that the document may cover it.
+    """
+    with scope() as made:
+        out = written(_tiles_of(docs, benchmark, coverage, least), "tiled")
+    emptied(made, out)
+    return out
+
+
+def _tiles_of(docs: DataFrame, benchmark: DataFrame, coverage: float, least: int) -> DataFrame:
     items = item_table(benchmark, least, "item_id", "text")
-    own = written(items.select("item", "n", F.explode("seeds").alias("h")).groupBy("h", "item").agg(F.count("*").alias("times"), F.max("n").alias("n")), "item_seeds")
-    hits = seeded(docs, seed_filter(own.select("h")), least)
-    # of an item's words, each seed can put `least` under tiles at each of its places
-    met = hits.select("row", F.explode("seeds").alias("h")).join(own, "h").groupBy("row", "item").agg(F.sum("times").alias("times"), F.max("n").alias("n"))
-    met = written(met.where(F.col("times") * least >= coverage * F.col("n")).select("row", "item"), "shared_seeds")
+    hits = seeded(docs, seed_filter(items.select(F.explode("seeds").alias("h"))), least)
+    met = hits.select("row", F.explode("seeds").alias("h")).join(lookup(items, hits, coverage), "h")
+    met = written(met.select("row", "item").distinct(), "shared_seeds")
     pairs = met.join(items.select("item", "item_id", F.col("words").alias("own")), "item").join(hits.select("row", "doc_id", "th", "words", "places"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -232,6 +232,36 @@ def test_contaminated_is_what_brute_force_finds(spark, monkeypatch, bits):
     assert sorted(str(x.doc_id) for x in clean.collect()) == sorted(str(d) for d, t in docs if d not in out)
 
 
+def test_items_are_looked_up_by_their_rarest_seeds(spark):
+    r = random.Random(8)
+    for _ in range(200):  # without these seeds, too few words are under the others; with one turn less, enough are
+        n, least = r.randrange(1, 40), 5
+        words = np.array([r.randrange(6) for _ in range(n)], np.uint64)
+        found = tiling.seeds(words, least)
+        docs = np.array([int(h) % 7 for h in found.tolist()])
+        chosen = set(tiling.telling(found, docs, n, 0.8).tolist())
+
+        def under(gone, found=found, n=n):
+            least = n - len(found) + 1
+            return len({i + k for i, h in enumerate(found.tolist()) if h not in gone for k in range(least)})
+
+        assert under(chosen) / n < 0.8
+        last = max(chosen, key=lambda h: (docs[found.tolist().index(h)], h))
+        assert under(chosen - {last}) / n >= 0.8
+        assert all(docs[found.tolist().index(h)] <= docs[found.tolist().index(last)] for h in chosen)
+    # a phrase that all items and documents have looks nothing up, and no copy is lost
+    stock = " ".join(f"stock{k}" for k in range(9))
+    items = [(k, f"{stock} " + " ".join(f"i{k}w{j}" for j in range(11))) for k in range(30)]
+    docs = [(d, f"{stock} and " + " ".join(f"d{d}w{j}" for j in range(9))) for d in range(300)] + [(1000 + k, t) for k, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = tiling.item_table(bench, 5, "item_id", "text")
+    hits = tiling.seeded(frame(spark, docs).selectExpr("doc_id", "text", "th"), tiling.seed_filter(table.selectExpr("explode(seeds) h")), 5)
+    told = tiling.lookup(table, hits, 0.8)
+    common = set(tiling.seeds(rolling.words(stock.encode())[2], 5).view(np.int64).tolist())
+    assert told.count() and not common & {x.h for x in told.collect()}
+    assert sorted((x.doc_id, x.item_id) for x in tiling.contaminated(frame(spark, docs), bench).collect()) == [(1000 + k, k) for k in range(30)]
+
+
 def brute_mix(docs, weights=(3, 1, 2), share=1.5, most=2):
     size = [len((t or "").split()) for _, t, _ in docs]
     names = sorted({s for _, _, s in docs if s is not None}) + ([None] if any(s is None for _, _, s in docs) else [])
