@@ -288,17 +288,22 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float,
     """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets.
 
     prints: what fingerprints() gives for docs, with bands. Candidates are the different texts that share a band's key.
-    A key's texts are dealt into SLOTS slots by their hash; where a key has no more than SMALL texts, each is compared with
-    the least and the greatest of every slot, which are nearly always all of them, else with the least and the
-    greatest of the key: n texts make 2 * n pairs then. Left out are pairs that the trie links at `bits` bits. Texts of
-    fewer than `words` words have no shingles here.
+    A key's texts are dealt into SLOTS slots, differently for each key; where a key has no more than SMALL texts, each is
+    compared with the least and the greatest of every slot: a pair shares some ten keys, and one of them brings it together.
+    In a larger one, each is compared with the least and the greatest of the key, and with its most central text, that
+    whose keys have most texts altogether, from which the copies of a text were made if it is there: n texts make 3 * n
+    pairs then. Left out are pairs that the trie links at `bits` bits. Texts of fewer than `words` words have no shingles here.
     """
     texts = written(prints.where("bands is not null").groupBy("th").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "texts")
     each = texts.select(F.struct(F.col("th").alias("t"), F.col("fp").alias("f")).alias("t"), F.explode("bands").alias("band"))
-    slots = each.groupBy("band", F.pmod("t.t", F.lit(SLOTS)).alias("slot")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
+    slots = each.groupBy("band", F.pmod(F.xxhash64("band", "t.t"), F.lit(SLOTS)).alias("slot")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     ends = slots.groupBy("band").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_distinct(F.concat(F.collect_list("lo"), F.collect_list("hi"))).alias("all")).where("n > 1")
-    ends = written(ends.select("band", F.when(F.col("n") <= SMALL, F.col("all")).otherwise(F.array("lo", "hi")).alias("others")), "ends")
-    met = each.join(ends.hint("merge"), "band").select("t", F.explode("others").alias("o")).where((F.col("t") != F.col("o")) & (F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits))
+    ends = written(ends.select("band", "n", F.when(F.col("n") <= SMALL, F.col("all")).otherwise(F.array("lo", "hi")).alias("others")), "ends")
+    crowd = written(each.join(ends.where(F.col("n") > SMALL).select("band", "n").hint("merge"), "band"), "crowd")
+    weight = crowd.groupBy(F.col("t").alias("m")).agg(F.sum("n").alias("weight"))
+    heads = written(crowd.join(weight.hint("merge"), F.col("t") == F.col("m")).groupBy("band").agg(F.max(F.struct("weight", "t"))["t"].alias("o")), "heads")
+    met = each.join(ends.hint("merge"), "band").select("t", F.explode("others").alias("o")).union(crowd.join(heads.hint("merge"), "band").select("t", "o"))
+    met = met.where((F.col("t") != F.col("o")) & (F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits))
     pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct().select(F.col("x.t").alias("x"), F.col("x.f").alias("a"), F.col("y.t").alias("y"), F.col("y.f").alias("b")), "candidates")
     named = written(pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct(), "candidate_texts")
 

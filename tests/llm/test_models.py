@@ -73,6 +73,42 @@ def test_near_copies_at_a_similarity_of_08(spark):
     assert all(x.doc_id % 3 != 1 for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
 
 
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_classes_of_large_groups_are_those_of_all_pairs(spark, seed):
+    """Copies that are alike to their origin alone, more than a band's texts that are all compared, and a chain."""
+    r = random.Random(seed)
+    texts = []
+    origin = [f"o{r.randrange(10**6)}" for _ in range(400)]
+    texts.append(origin)
+    for _ in range(200):
+        w = list(origin)
+        for k in range(6):
+            w[r.randrange(60) + 65 * k] = f"v{r.randrange(10**6)}"  # 30 of 396 shingles
+        texts.append(w)
+    chain = [f"c{r.randrange(10**6)}" for _ in range(2400)]
+    texts += [chain[30 * k : 30 * k + 400] for k in range(60)]
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_classes(df, words=5, bits=0, share=0.8).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) == 2
+
+
+
 @pytest.mark.parametrize("bits", [2, 4])
 def test_trie_join(bits):
     g = np.random.default_rng(0)
