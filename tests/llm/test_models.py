@@ -315,6 +315,41 @@ def test_quality(spark):
     assert kn_quality.quality(df.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("slots", [3, 21])
+def test_perplexities_are_those_of_a_model_of_all_bytes(spark, monkeypatch, slots):
+    monkeypatch.setattr(kn_quality, "SLOTS", slots)  # with 8 slots, nearly all grams are joined
+    train = ["the cat sat on the mat 1357.", "\u0434\u043e\u043c \u0438 \u043a\u043e\u0442", "\u00c9mile, 1357 cats!", "aaaa aaaa aab"] * 2 + ["one 13 more", "\0\0\0\0\0"]
+    tables = {4: Counter(s[i - 3 : i + 1] for s in (b"\n\n\n" + t.encode() for t in train) for i in range(3, len(s)))}
+    for n in (3, 2, 1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    cuts = {}
+    for n, t in tables.items():
+        m = [sum(c == k for c in t.values()) for k in (1, 2, 3, 4)]
+        y = m[0] / (m[0] + 2 * m[1]) if m[1] else 0
+        cuts[n] = [min(k, max(0, k - (k + 1) * y * m[k] / m[k - 1])) for k in (1, 2, 3)] if all(m) else [0.5, 1.0, 1.5]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        t, cut = tables[len(g)], cuts[len(g)]
+        seen = [c for k, c in t.items() if k[:-1] == g[:-1]]
+        if not seen:
+            return p(g[1:])
+        off = lambda c: min(c, cut[min(c, 3) - 1])
+        c = t.get(g, 0)
+        return ((c - off(c)) if c else 0) / sum(seen) + sum(map(off, seen)) / sum(seen) * p(g[1:])
+
+    texts = ["the cat 1357", "the cat 2468", "\u0434\u043e\u043c", "\u0436\u044d\u0447", "\0\0\0\0", "\0", "zq", None, "", "the cat 1357"]
+    df = spark.createDataFrame([(i if i else None, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    model = kn_quality.probabilities(kn_quality.gram_counts(spark.createDataFrame([(t,) for t in train], "text string"), 8), 8)
+    got = {x.doc_id or 0: x.perplexity for x in kn_quality.perplexities(df, model).collect()}
+    for i, t in enumerate(texts):
+        s = b"\n\n\n" + (t or "").encode()
+        logs = [math.log(max(1e-12, p(s[k - 3 : k + 1]))) for k in range(3, len(s))]
+        assert got[i] == (pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6) if t else None)
+    assert got[0] < 0.7 * got[1] and got[2] < 0.7 * got[3]  # classes made digits alike, and letters of other alphabets
+
+
 def test_thresholds_and_keep_are_what_brute_force_gives(spark):
     r = random.Random(4)
     rows = [(i, r.choice(["aa", "bb", None]), r.choice([None, math.exp(r.uniform(0.5, 3))])) for i in range(300)]
