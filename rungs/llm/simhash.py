@@ -24,6 +24,8 @@ SEED = 42
 BANDS, ROWS = 24, 4
 #: Texts up to which those of one band's key are compared with more than two of them, and slots that they are dealt into.
 SMALL, SLOTS = 64, 16
+#: Texts, about, of one piece of a band, of which pairs are compared at once; and columns of the table in which they are.
+TEXTS, COLUMNS = 128, 4096
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -284,8 +286,87 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return key
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float, bits: int) -> DataFrame:
-    """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets.
+def _sets(docs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """t (hash of a text), s (the hashes of its shingles, as bytes) of the texts that named (t) names."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                yield pa.record_batch([part["t"], pa.array([shingles(t, words).tobytes() for t in part["text"].cast(pa.binary()).to_pylist()], pa.binary())], names=["t", "s"])
+
+    text = F.coalesce("text", F.lit(""))
+    held = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(named.hint("merge"), "t", "left_semi")
+    return written(held.mapInArrow(sets, "t long, s binary").groupBy("t").agg(F.any_value("s").alias("s")), "sets")
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each set of a and each of b, how many members both have."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    held = []
+    for sets, v in ((a, va), (b, vb)):
+        at = np.minimum(np.searchsorted(both, v), max(0, len(both) - 1))
+        hit = both[at] == v if len(both) else np.zeros(len(v), bool)
+        held.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for k in range(0, len(both), COLUMNS):
+        x, y = (np.zeros((len(sets), min(COLUMNS, len(both) - k)), np.float32) for sets in (a, b))
+        for m, (i, at) in zip((x, y), held, strict=True):
+            here = (at >= k) & (at < k + COLUMNS)
+            m[i[here], at[here] - k] = 1
+        out += (x @ y.T).astype(np.int64)
+    return out
+
+
+def other_links(docs: DataFrame, members: DataFrame, roots: DataFrame, words: int, share: float) -> DataFrame:
+    """a, b: roots of texts that share a band's key, have a similarity of `share` or more and are not in one class so far.
+
+    members: band, t (a struct of t, f) of the keys that several texts have; roots: node, root of the links so far. A key whose
+    texts are all in one class needs nothing. Of another, all texts outside its largest class are compared with one another and with
+    those of that class, in pairs of pieces that Spark deals out; keys with the same texts are taken once. Nothing is left out.
+    """
+    spark = docs.sparkSession
+    m = members.select("band", F.col("t.t").alias("t"), F.col("t.f").alias("f")).join(roots.hint("merge"), F.col("f") == F.col("node"), "left")
+    m = written(m.select("band", "t", F.coalesce("root", "f").alias("root")), "members")
+    whole = "decimal(20,0)"
+    parts = m.groupBy("band", "root").agg(F.count("*").alias("k"), F.sum(F.col("t").cast(whole)).alias("s1"), F.sum(F.xxhash64("t", F.lit(1)).cast(whole)).alias("s2"))
+    several = parts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).where("classes > 1")
+    several = written(several.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "most")).alias("b")).select("b.band", "n", F.col("b.most.k").alias("k"), F.col("b.most.root").alias("largest")), "open")
+    odd = F.col("root") != F.col("largest")
+    pieces = F.ceil(F.when(odd, F.col("n") - F.col("k")).otherwise(F.col("k")) / TEXTS)
+    rows = written(m.join(several.hint("merge"), "band").select("band", odd.alias("odd"), F.pmod(F.xxhash64("band", "t"), pieces).alias("piece"), "t", "root"), "dealt")
+    held = _sets(docs, rows.select("t").distinct(), words)
+    dealt = rows.join(held.hint("merge"), "t").groupBy("band", "odd", "piece").agg(F.collect_list("root").alias("r"), F.collect_list("s").alias("s"))
+    dealt = written(dealt, "dealt_sets")
+    left = dealt.where("odd").select("band", "piece", F.col("r").alias("r1"), F.col("s").alias("s1"))
+    right = dealt.select("band", F.col("odd").alias("odd2"), F.col("piece").alias("piece2"), F.col("r").alias("r2"), F.col("s").alias("s2"))
+    met = left.hint("merge").join(right, "band").where("not odd2 or piece2 >= piece").select("r1", "s1", "r2", "s2").repartition(shuffle_partitions(spark))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                one, two = ([np.frombuffer(x.as_py(), np.uint64) for x in b[c][k].values] for c in ("s1", "s2"))
+                r1, r2 = (b[c][k].values.to_numpy() for c in ("r1", "r2"))
+                both = shared(one, two)
+                size = np.array([len(x) for x in one])[:, None] + np.array([len(x) for x in two])[None, :]
+                i, j = np.nonzero((both >= share * (size - both)) & (r1[:, None] != r2[None, :]))
+                if len(i):
+                    found = np.unique(np.stack([r1[i], r2[j]]), axis=1)
+                    yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")  # a row holds the sets of two pieces
+    try:
+        return written(met.mapInArrow(compared, "a long, b long"), "other")
+    finally:
+        spark.conf.set(key, before)
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float, bits: int) -> tuple[DataFrame, DataFrame]:
+    """a, b: fingerprints of texts whose shingles have a Jaccard similarity of `share` or more, by their exact sets; and the
+    members of the bands' keys that several texts have, for other_links(), which compares what these links leave apart.
 
     prints: what fingerprints() gives for docs, with bands. Candidates are the different texts that share a band's key.
     A key's texts are dealt into SLOTS slots, differently for each key; where a key has no more than SMALL texts, each is
@@ -299,23 +380,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float,
     slots = each.groupBy("band", F.pmod(F.xxhash64("band", "t.t"), F.lit(SLOTS)).alias("slot")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"))
     ends = slots.groupBy("band").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_distinct(F.concat(F.collect_list("lo"), F.collect_list("hi"))).alias("all")).where("n > 1")
     ends = written(ends.select("band", "n", F.when(F.col("n") <= SMALL, F.col("all")).otherwise(F.array("lo", "hi")).alias("others")), "ends")
-    crowd = written(each.join(ends.where(F.col("n") > SMALL).select("band", "n").hint("merge"), "band"), "crowd")
+    members = written(each.join(ends.select("band", "n").hint("merge"), "band"), "band_members")
+    crowd = members.where(F.col("n") > SMALL)
     weight = crowd.groupBy(F.col("t").alias("m")).agg(F.sum("n").alias("weight"))
     heads = written(crowd.join(weight.hint("merge"), F.col("t") == F.col("m")).groupBy("band").agg(F.max(F.struct("weight", "t"))["t"].alias("o")), "heads")
-    met = each.join(ends.hint("merge"), "band").select("t", F.explode("others").alias("o")).union(crowd.join(heads.hint("merge"), "band").select("t", "o"))
+    met = members.drop("n").join(ends.hint("merge"), "band").select("t", F.explode("others").alias("o")).union(crowd.join(heads.hint("merge"), "band").select("t", "o"))
     met = met.where((F.col("t") != F.col("o")) & (F.bit_count(F.col("t.f").bitwiseXOR(F.col("o.f"))) > bits))
     pairs = written(met.select(F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y")).distinct().select(F.col("x.t").alias("x"), F.col("x.f").alias("a"), F.col("y.t").alias("y"), F.col("y.f").alias("b")), "candidates")
     named = written(pairs.select(F.explode(F.array("x", "y")).alias("t")).distinct(), "candidate_texts")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                yield pa.record_batch([part["t"], pa.array([shingles(t, words).tobytes() for t in part["text"].cast(pa.binary()).to_pylist()], pa.binary())], names=["t", "s"])
-
-    text = F.coalesce("text", F.lit(""))
-    held = docs.select(F.xxhash64(text).alias("t"), text.alias("text")).join(named.hint("merge"), "t", "left_semi")
-    held = written(held.mapInArrow(sets, "t long, s binary").groupBy("t").agg(F.any_value("s").alias("s")), "sets")
+    held = _sets(docs, named, words)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,7 +401,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int, share: float,
 
     one = pairs.join(held.select(F.col("t").alias("x"), F.col("s").alias("p")).hint("merge"), "x")
     two = one.join(held.select(F.col("t").alias("y"), F.col("s").alias("q")).hint("merge"), "y")
-    return two.select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long")
+    return two.select("a", "b", "p", "q").mapInArrow(confirm, "a long, b long"), members
 
 
 def _classes(docs: DataFrame, words: int, bits: int, share: float | None) -> tuple[DataFrame, DataFrame]:
@@ -336,8 +409,13 @@ def _classes(docs: DataFrame, words: int, bits: int, share: float | None) -> tup
     prints = written(fingerprints(docs, words, share is not None), "simhash")
     links = near_pairs(prints, bits, forest=True)
     if share is not None:
-        links = links.union(written(similar_links(docs, prints, words, share, bits), "similar"))
+        similar, members = similar_links(docs, prints, words, share, bits)
+        links = links.union(written(similar, "similar"))
     roots = components(links)  # node, root
+    if share is not None:
+        more = components(other_links(docs, members, roots, words, share)).select(F.col("node").alias("r"), F.col("root").alias("over"))
+        nodes = roots.union(more.select(F.col("r").alias("node"), F.col("r").alias("root"))).distinct()  # of texts without a link before, too
+        roots = written(nodes.join(more, F.col("root") == F.col("r"), "left").select("node", F.coalesce("over", "root").alias("root")), "roots")
     ids = prints.select("fp").distinct().join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return prints.select("doc_id", "th", "fp"), written(ids, "classes")
 

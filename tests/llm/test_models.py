@@ -108,6 +108,37 @@ def test_classes_of_large_groups_are_those_of_all_pairs(spark, seed):
     assert len(set(got.values())) == 2
 
 
+@pytest.mark.parametrize("pieces", [7, 128])
+def test_no_link_is_lost_in_a_crowded_band(spark, monkeypatch, pieces):
+    """Of 150 texts with the same key in the one band they have, pairs and triples that are alike to one another alone."""
+    r = random.Random(9)
+    origin = [f"o{r.randrange(10**6)}" for _ in range(400)]
+    texts = [origin]
+    for k in range(60):
+        family = list(origin)
+        for at in range(12):
+            family[33 * at + r.randrange(20)] = f"f{r.randrange(10**6)}"  # under 0.8 to the origin and to other families
+        for _ in range(2 + k % 2):
+            w = list(family)
+            w[100], w[300] = f"v{r.randrange(10**6)}", f"v{r.randrange(10**6)}"
+            texts.append(w)
+    r.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                x, y = root[i], root[j]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+    prints = simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: prints(*args).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(simhash, "TEXTS", pieces, raising=False)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_classes(df, words=5, bits=0, share=0.8).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) == 61
+
+
 
 @pytest.mark.parametrize("bits", [2, 4])
 def test_trie_join(bits):
