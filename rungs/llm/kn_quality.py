@@ -20,7 +20,7 @@ from .common import written
 
 #: Classes are those of the small model that log_table() lays out whole; quality() reads bytes as they are.
 ORDER, CLASSES = 4, 64
-#: Slots of grams that the tasks have at hand (8 bytes each), as a power of two.
+#: Slots of grams that the tasks have at hand (12 bytes each), as a power of two.
 SLOTS = 21
 #: Parts of a natural logarithm in whole numbers, so that sums don't depend on their order.
 FINE = 1 << 30
